@@ -47,25 +47,51 @@ class PieceCodec:
         self.bytes[self.unknown] = " ⁇ ".encode()
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
+        self.halves: dict[str, tuple[str, str]] = {}
         self.matches = ahocorasick.Automaton()
-        for p in self.id:
-            if len(p.strip(SPACE)) and self.merged(p) == [p]:
-                self.matches.add_word(p, p)
-        self.matches.add_word(SPACE, SPACE)
+        for p in sorted(self.id, key=len):
+            parts = self.merged(p, 2)
+            if len(parts) < 3 and p.strip(SPACE) and self.merged(p) == [p]:
+                self.halves[p] = tuple(parts)
+                self.matches.add_word(p, (len(p), p))
+        self.matches.add_word(SPACE, (1, SPACE))
         self.matches.make_automaton()
-        self.compatible = Memo(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
+        self.compatible = Memo(lambda pair: self.stay_apart(*pair))
         self.words = Memo(self.word, MEMO_WORDS)
         self.runs = Memo(self.run)
 
-    def merged(self, text: str) -> list[str]:
-        """Merges by rank, then leftmost: for short texts."""
-        parts = list(text)
-        while True:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank), default=None)
+    def merged(self, text: str, until: int = 1) -> list[str]:
+        """Merges by rank, then leftmost, until so many parts are left: for short texts."""
+        parts, rank = list(text), self.rank
+        while len(parts) > until:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                r = rank.get(parts[i] + parts[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
             if best is None:
-                return parts
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def stay_apart(self, a: str, b: str) -> bool:
+        """If merging the text of tokens a and b gives a and b.
+
+        Goes back in time: the later of the two merges that made a and b is undone at the side of the boundary. The
+        tokens stay apart if, at no time, a merge across the boundary would have come before the one undone.
+        """
+        rank, halves, before = self.rank, self.halves, float("inf")
+        while True:
+            across = rank.get(a + b)
+            if across is not None and across < before:
+                return False
+            of_a, of_b = (rank[x] if len(x) > 1 else -1 for x in (a, b))
+            if of_a < 0 and of_b < 0:
+                return True
+            if of_a > of_b:
+                before, a = of_a, halves[a][1]
+            else:
+                before, b = of_b + 0.5, halves[b][0]  # on equal ranks the left merge comes first
 
     def run(self, n: int) -> list[int]:
         """Ids of n space marks. Pairs merge from the left until none is a piece: equal scores."""
@@ -82,10 +108,10 @@ class PieceCodec:
         """The prefix table of a word with one space mark at most, and the way back through it."""
         last: list[str | None] = [None] * len(word)
         compatible = self.compatible
-        for end, piece in self.matches.iter(word):
+        for end, (size, piece) in self.matches.iter(word):
             if last[end] is None:
-                start = end - len(piece)
-                if start < 0 or compatible[(last[start] or word[start], piece)]:
+                start = end - size
+                if start < 0 or compatible[last[start] or word[start], piece]:
                     last[end] = piece
         out, at = [], len(word) - 1
         while at >= 0:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolytics.llm import chat, html_text, langid, piece_bpe, token_count, toxicity
-from convolytics.llm.common import table
+from convolytics.llm import ann, chat, decontam, html_text, langid, piece_bpe, token_count, toxicity, warc
+from convolytics.llm.common import scratch, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +41,22 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_formatting, op4_toxicity, op5_html_extraction, op6_sentencepiece)}
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.knn(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_formatting, op4_toxicity, op5_html_extraction, op6_sentencepiece, op7_nearest_neighbours, op8_decontamination, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from convolytics.llm.common import byte_blocks, put
 
 BATCH_CHARS, MEMO_WORDS = 1 << 20, 600_000
-#: Letters, then ASCII punctuation but the apostrophe: the pre-tokenizer always cuts between the two.
-_CUT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters, then perhaps ASCII punctuation but the apostrophe: the pre-tokenizer always cuts between the two.
+_CUT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _BLANK = str.maketrans("\n\t\r", "   ")
 
 
@@ -32,17 +33,24 @@ class WordCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        library = Tokenizer.from_file(path)
+        self.encode = library.encode_batch_fast
+        self.ends_word = np.array([(library.id_to_token(i) or "").endswith("</w>") for i in range(library.get_vocab_size())])
         self.known: dict[str, int] = {"": 0}
 
     def learn(self, words: set[str]) -> None:
+        """Words of letters only go to the library joined by blanks: the last token of each one is marked as such."""
         if len(self.known) > MEMO_WORDS:
             self.known = {"": 0}
-        cut = {w: m.groups() for w in words if (m := _CUT.fullmatch(w))}
-        plain = list({p for w in words for p in cut.get(w, (w,))} - self.known.keys())
-        for block in byte_blocks(plain, BATCH_CHARS // 16):
-            self.known.update(zip(block, (len(e.ids) for e in self.encode(block, add_special_tokens=False)), strict=True))
-        self.known.update({w: self.known[a] + self.known[b] for w, (a, b) in cut.items()})
+        known, cut = self.known, {w: m.groups() for w in words if (m := _CUT.fullmatch(w))}
+        letters = list({a.lower() for a, _ in cut.values()} - known.keys())
+        others = list(({b for _, b in cut.values()} | (words - cut.keys())) - known.keys())
+        for block in byte_blocks(letters, BATCH_CHARS // 16):
+            ids = np.array(self.encode([" ".join(block)], add_special_tokens=False)[0].ids)
+            known.update(zip(block, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1).tolist(), strict=True))
+        for block in byte_blocks(others, BATCH_CHARS // 16):
+            known.update(zip(block, (len(e.ids) for e in self.encode(block, add_special_tokens=False)), strict=True))
+        known.update({w: known[a.lower()] + (known[b] if b else 0) for w, (a, b) in cut.items()})
 
     def count(self, texts: list[str]) -> list[int]:
         split = [t.translate(_BLANK).split(" ") if len(t) < 64 else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
