@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolytics.llm import ann, chat, decontam, html_text, langid, piece_bpe, token_count, toxicity, warc
+from convolytics.llm import ann, chat, decontam, html_text, jaccard, langid, piece_bpe, token_count, toxicity, warc
 from convolytics.llm.common import scratch, table
 
 
@@ -58,5 +58,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_formatting, op4_toxicity, op5_html_extraction, op6_sentencepiece, op7_nearest_neighbours, op8_decontamination, op9_warc)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_formatting, op4_toxicity, op5_html_extraction, op6_sentencepiece, op7_nearest_neighbours, op8_decontamination, op9_warc, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
