@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from convolytics.plans import session_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**session_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**session_queries.ORACLE_SQL}
