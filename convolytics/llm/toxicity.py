@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +30,7 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 _ENDS = frozenset(".!?\n")
 _PREFIXES, _SAMPLE_SPACE, BLOCK_CHARS = range(3, 7), 1 << 20, 1 << 20
+_HASHES, _DOC_BLOCK = 1 << 22, 256
 
 
 def word_features(word: str) -> list[str]:
@@ -71,24 +74,43 @@ class Model:
         return -np.expm1(-np.bincount(owner, np.logaddexp(0, z), len(texts)))
 
 
-def _telling(y: np.ndarray, doc: np.ndarray, feature: np.ndarray, n_features: int, min_docs: int = 4, min_z: float = 5.0) -> np.ndarray:
-    """Features that stand in toxic texts more often than chance explains. doc, feature: distinct pairs."""
-    n, pos, base = np.bincount(feature, minlength=n_features), np.bincount(feature, y[doc], n_features), y.mean()
+def _telling(y: np.ndarray, n: np.ndarray, pos: np.ndarray, min_docs: int = 4, min_z: float = 5.0) -> np.ndarray:
+    """Features that stand in toxic texts more often than chance explains: n texts have one, pos of them toxic."""
+    base = y.mean()
     z = (pos - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base))
-    return np.flatnonzero((pos >= min_docs) & (z >= min_z))
+    return (pos >= min_docs) & (z >= min_z)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.2, sparse: float = 2e-4) -> Model:
+def _feature_counts(y: np.ndarray, doc: np.ndarray, tok: np.ndarray, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and toxic texts that have a feature of each hash, over blocks of texts."""
+    n, pos = np.zeros(_HASHES, np.int64), np.zeros(_HASHES)
+    cuts = np.searchsorted(doc, np.arange(0, len(y) + _DOC_BLOCK, _DOC_BLOCK))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        pair = np.unique(doc[a:b].astype(np.int64) << 32 | tok[a:b])
+        word = pair & 0xFFFFFFFF
+        size = first[word + 1] - first[word]
+        at = np.repeat(first[word] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        both = np.unique(np.repeat(pair >> 32, size) << 32 | flat[at])
+        n += np.bincount(both & 0xFFFFFFFF, minlength=_HASHES)
+        pos += np.bincount(both & 0xFFFFFFFF, y[both >> 32], _HASHES)
+    return n, pos
+
+
+def _hash(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % _HASHES
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.2, sparse: float = 3e-5) -> Model:
     """Weights, none below 0, that make the noisy-or of the sentences likeliest, by Adam with an L1 penalty.
 
-    Only features that are telling by a test on the labels get a weight. All other words weigh 0.
+    Only features that are telling by a test on the labels get a weight; the test counts features by hash, in a table of
+    fixed size, and all features of a telling hash are fitted. All other words weigh 0.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(bias=-math.inf if not len(y) or y.max() == 0 else 0.0)
-    words, features = Memo(lambda w: len(words)), Memo(lambda f: len(features))
-    words.limit = features.limit = 1 << 40
-    tokens, sentence, owner = [], [], []
+    words: dict[str, int] = {}
+    tokens, sentence, owner = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         inside = False
         for w in _TOKEN.findall(t.lower()):
@@ -98,26 +120,24 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.
             if not inside:
                 owner.append(d)
                 inside = True
-            tokens.append(words[w])
+            tokens.append(words.setdefault(w, len(words)))
             sentence.append(len(owner) - 1)
     if not owner:
         return Model(bias=math.log(y.mean() / (1 - y.mean())))
-    tok, sen, own = np.array(tokens), np.array(sentence), np.array(owner)
-    of_word = [[features[f] for f in word_features(w)] for w in words]
-    first = np.r_[0, np.cumsum([len(f) for f in of_word])]
-    flat = np.array([f for fs in of_word for f in fs])
-    pair = np.unique(own[sen] * len(words) + tok)
-    doc, word = pair // len(words), pair % len(words)
-    size = np.diff(first)[word]
-    spread = np.repeat(first[word] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    both = np.unique(np.repeat(doc, size) * len(features) + flat[spread])
-    chosen = _telling(y, both // len(features), both % len(features), len(features))
-    index = np.full(len(features), -1)
-    index[chosen] = np.arange(len(chosen))
-    pw, pf = np.repeat(np.arange(len(words)), np.diff(first)), index[flat]
-    pw, pf = pw[pf >= 0], pf[pf >= 0]
-    active = np.zeros(len(words), bool)
-    active[pw] = True
+    tok, sen, own = np.frombuffer(tokens, np.int32), np.frombuffer(sentence, np.int32), np.frombuffer(owner, np.int32)
+    hashes, sizes = array("i"), array("i")
+    for w in words:
+        found = word_features(w)
+        hashes.extend(map(_hash, found))
+        sizes.append(len(found))
+    flat, first = np.frombuffer(hashes, np.int32), np.r_[0, np.cumsum(sizes)]
+    telling = _telling(y, *_feature_counts(y, own[sen], tok, flat, first))
+    maybe = np.zeros(len(words), bool)
+    maybe[np.repeat(np.arange(len(words)), sizes)[telling[flat]]] = True
+    features: dict[str, int] = {}
+    pairs = [(i, features.setdefault(f, len(features))) for (w, i), m in zip(words.items(), maybe.tolist(), strict=True) if m for f in word_features(w) if telling[_hash(f)]]
+    pw, pf = np.array(pairs, np.int64).reshape(-1, 2).T
+    chosen, active = list(features), maybe
     tok, sen = tok[active[tok]], sen[active[tok]]
     live, sen = np.unique(sen, return_inverse=True)  # the other sentences have the bias alone
     own_live, silent = own[live], np.bincount(own, minlength=len(y)) - np.bincount(own[live], minlength=len(y))
@@ -135,11 +155,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.
         a, b, r = 1 - 0.9**step, 1 - 0.999**step, rate * (1 - 0.9 * step / rounds)
         theta = np.maximum(0, theta - r * (m / a) / (np.sqrt(v / b) + 1e-6))
         bias -= r * (mb / a) / (math.sqrt(vb / b) + 1e-6)
-    names = list(features)
-    return Model(float(bias), {names[f]: float(w) for f, w in zip(chosen, theta, strict=True) if w > 1e-2})
+    return Model(float(bias), {f: float(w) for f, w in zip(chosen, theta, strict=True) if w > 1e-2})
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000, max_chars: int = 20_000_000, **how) -> Model:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_chars: int = 16_000_000, **how) -> Model:
     """Fit on about max_docs rows and max_chars characters at most, drawn at one rate by a hash of the id.
 
     Rows with a null text or a label other than 0 and 1 aren't used.
