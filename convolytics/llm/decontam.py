@@ -48,8 +48,13 @@ def fingerprints(df: DataFrame, ws: str, short: list[int], whole: bool) -> DataF
     w, n = F.col(ws), F.size(ws)
     least = F.transform(_positions(F.size("_grams") - WINDOW + 1), lambda i: F.array_min(F.slice("_grams", i, WINDOW)))
     rows = df.withColumn("_grams", grams(w, GRAM))
-    kinds = [F.transform(F.array_distinct(least), lambda v: F.struct(F.lit(0).alias("kind"), v.alias("v")))]
-    kinds += [F.transform(F.when(n == length, grams(w, length)).otherwise(F.array().cast("array<bigint>")) if whole else grams(w, length), lambda v, length=length: F.struct(F.lit(length).alias("kind"), v.alias("v"))) for length in short]
+    none = F.array().cast("array<bigint>")
+
+    def of_kind(kind: int, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+
+    kinds = [of_kind(0, F.array_distinct(least))]
+    kinds += [of_kind(length, F.when(n == length, grams(w, length)).otherwise(none) if whole else grams(w, length)) for length in short]
     rows = rows.select(*[c for c in df.columns if c != ws], F.explode(F.concat(*kinds)).alias("f"))
     v = F.col("f.v")
     return rows.withColumns({"kind": F.col("f.kind"), "h": F.shiftright(v, POSITION_BITS), "pos": v.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")}).drop("f")
