@@ -10,10 +10,6 @@ from pyspark.sql.window import Window
 
 from convolytics.functions import text as T
 
-ORDER = Window.partitionBy("session_id").orderBy("utterance_id")
-ALL = Window.partitionBy("session_id")
-
-
 def _joined(value: Column, keep: Column) -> Column:
     """Kept values of a group in order of utterance, joined by line ends."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("utterance_id", value.alias("v"))))), lambda x: x["v"]), "\n")
@@ -33,8 +29,10 @@ def session_features(u: DataFrame) -> DataFrame:
 
 def _placed(u: DataFrame, fraction: float) -> DataFrame:
     """u with is_closing (position >= floor(n * (1 - fraction))) and is_opening (the first max(1, ceil(n * fraction)))."""
-    at, n = F.row_number().over(ORDER) - 1, F.count("*").over(ALL)
-    return u.withColumns({"is_closing": at >= F.floor(n * (1 - fraction)), "is_opening": at < F.greatest(F.lit(1), F.ceil(n * fraction)), "is_switch": F.coalesce(F.lag("role").over(ORDER) != F.col("role"), F.lit(False))})
+    whole = Window.partitionBy("session_id")
+    order = whole.orderBy("utterance_id")
+    at, n = F.row_number().over(order) - 1, F.count("*").over(whole)
+    return u.withColumns({"is_closing": at >= F.floor(n * (1 - fraction)), "is_opening": at < F.greatest(F.lit(1), F.ceil(n * fraction)), "is_switch": F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(False))})
 
 
 def session_texts(u: DataFrame, fraction: float = 0.25) -> DataFrame:
