@@ -86,10 +86,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = ("n_words", "n_hit", "n_items", "items_sha256", "item_ids", "contaminated")
     out = docs.drop(*names).join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
     none = F.array().cast("array<struct<item_id:string,hits:array<int>>>")
-    exact = words(F.col(text_col))
-    hits = F.transform("_found", lambda f: F.struct(f["item_id"].cast("string").alias("item_id"), F.array_distinct(F.flatten(F.transform(f["shifts"], lambda s: _hits(F.col("_words"), f["item_words"], s)))).alias("hits")))
-    out = out.withColumn("_words", F.when(F.col("_found").isNotNull(), exact).otherwise(words(F.col(text_col), exact=False)))
-    out = out.withColumn("_hits", F.when(F.col("_found").isNotNull(), F.filter(hits, lambda x: F.size(x["hits"]) > 0)).otherwise(none))
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "n_hit": F.size(F.array_distinct(F.flatten(F.transform("_hits", lambda x: x["hits"])))).cast("long"), "item_ids": F.array_sort(F.array_distinct(F.transform("_hits", lambda x: x["item_id"])))})
+    known = F.col("_found").isNotNull()
+
+    def hits(ws: Column) -> Column:
+        found_at = F.transform("_found", lambda f: F.struct(f["item_id"].cast("string").alias("item_id"), F.array_distinct(F.flatten(F.transform(f["shifts"], lambda s: _hits(ws, f["item_words"], s)))).alias("hits")))
+        return F.when(known, F.filter(found_at, lambda x: F.size(x["hits"]) > 0)).otherwise(none)
+
+    # One array element per row, exploded: the words are computed once, also where a filter on the result follows.
+    text = F.when(known, words(F.col(text_col))).otherwise(words(F.col(text_col), exact=False))
+    judged = F.transform(F.array(text), lambda ws: F.struct(F.size(ws).alias("n_words"), hits(ws).alias("hits")))
+    out = out.select(*[c for c in out.columns if c != "_found"], F.explode(judged).alias("_r"))
+    each = F.array_distinct(F.flatten(F.transform("_r.hits", lambda x: x["hits"])))
+    out = out.withColumns({"n_words": F.col("_r.n_words").cast("long"), "n_hit": F.size(each).cast("long"), "item_ids": F.array_sort(F.array_distinct(F.transform("_r.hits", lambda x: x["item_id"])))})
     out = out.withColumns({"n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ","), 256), "contaminated": (F.col("n_hit") > 0) & (ratio * F.col("n_hit") >= F.col("n_words"))})
-    return out.drop("_found", "_words", "_hits")
+    return out.drop("_r")
