@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions.text import clip
-from convolytics.operators.metrics import log_loss
+from convolytics.operators.metrics import all_metrics, log_loss
 
 
 def blend(weights: Mapping[str, float]) -> Column:
@@ -53,3 +53,47 @@ def audit(d: DataFrame) -> DataFrame:
 
 def promoted(delta_loss: Column, delta_auc: Column) -> Column:
     return ((delta_loss <= -0.0015) & (delta_auc >= 0)) | ((delta_auc >= 0.005) & (delta_loss <= 0))
+
+
+def pair_blends(df: DataFrame, models: Sequence[str], prior: str, by: Sequence[str] = ("protocol",), first: Sequence[float] = tuple(i / 20 for i in range(21)), model: Sequence[float] = tuple(0.4 + 0.02 * i for i in range(31)), target: str = "target") -> DataFrame:
+    """The best m * (f * a + (1 - f) * b) + (1 - m) * prior of each pair of models (a, b) by log loss, on a grid.
+
+    Rows are repeated for each pair and f and summed up before the shuffle; each m is a column of the aggregation. Ties
+    in log loss (to 9 digits) go to the smaller f, then to the smaller m.
+    """
+    pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(models) for b in models[i + 1 :]]
+    long = df.select(*by, F.col(target).alias("_y"), F.col(prior).alias("_prior"), F.explode(F.array(*pairs)).alias("p")).select("*", "p.*", F.explode(F.array(*map(F.lit, first))).alias("first_weight"))
+    mixed = F.col("first_weight") * F.col("a") + (1 - F.col("first_weight")) * F.col("b")
+    losses = long.withColumn("_mix", mixed).groupBy(*by, "first", "second", "first_weight").agg(*[log_loss(F.col("_y"), clip(m * F.col("_mix") + (1 - m) * F.col("_prior"))).alias(f"_{i}") for i, m in enumerate(model)])
+    grid = losses.select(*by, "first", "second", "first_weight", F.explode(F.array(*[F.struct(F.lit(float(m)).alias("model_weight"), F.round(f"_{i}", 9).alias("log_loss")) for i, m in enumerate(model)])).alias("r")).select(*by, "first", "second", "first_weight", "r.*")
+    return best(grid, [*by, "first", "second"], ["log_loss", "first_weight", "model_weight"])
+
+
+def gate_evaluation(df: DataFrame, by: Sequence[str] = ("protocol",), base: str = "v02", combined: str = "combined") -> DataFrame:
+    """Log loss and AUC of the base, of the combined and of the gated predictions by the columns by, the rate of
+    agreement and what the gate gains (negative deltas of log loss are gains)."""
+    by = list(by)
+    agrees, gated = agreement_gate(combined, base)
+    rows = df.withColumns({"_agrees": agrees, "_gated": gated})
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("p")) for k, c in (("base", base), ("combined", combined), ("gated", "_gated"))])
+    m = all_metrics(rows.select(*by, "target", F.explode(kinds).alias("k")).select(*by, "target", "k.*"), [*by, "kind"])
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c))).alias(f"{kind}_{c}")
+    wide = m.groupBy(*by).agg(*[pick(k, c) for k in ("base", "combined", "gated") for c in ("log_loss", "auc")])
+    out = wide.join(rows.groupBy(*by).agg(F.avg(F.col("_agrees").cast("double")).alias("agreement_rate")), by)
+    minus = lambda a, b, c: F.col(f"{a}_{c}") - F.col(f"{b}_{c}")
+    return out.withColumns({f"{a}_{c}_vs_{b}": minus(a, b, c) for a, b in (("gated", "base"), ("gated", "combined"), ("combined", "base")) for c in ("log_loss", "auc")})
+
+
+def continuation(overall: DataFrame, folds: DataFrame, by: Sequence[str] = ("protocol",)) -> DataFrame:
+    """Whether to go on with the gate, by protocol; overall and folds come from gate_evaluation.
+
+    Path a: it gains 0.0003 over the combined predictions and keeps 80 % of their gain in AUC. Path b: it lessens the
+    worst fold's loss by 0.001 and keeps 80 % of both gains.
+    """
+    by = list(by)
+    worst = folds.groupBy(*by).agg(F.max("combined_log_loss_vs_base").alias("combined_worst_fold"), F.max("gated_log_loss_vs_base").alias("gated_worst_fold"))
+    out = overall.join(worst, by).withColumns({"gain_over_combined": -F.col("gated_log_loss_vs_combined"), "worst_fold_reduction": F.col("combined_worst_fold") - F.col("gated_worst_fold")})
+    out = out.withColumn("keeps_auc", F.col("gated_auc_vs_base") >= 0.8 * F.col("combined_auc_vs_base"))
+    out = out.withColumn("keeps_both", F.col("keeps_auc") & (-F.col("gated_log_loss_vs_base") >= -0.8 * F.col("combined_log_loss_vs_base")))
+    out = out.withColumns({"path_a": (F.col("gain_over_combined") >= 0.0003) & F.col("keeps_auc"), "path_b": (F.col("worst_fold_reduction") >= 0.001) & F.col("keeps_both")})
+    return out.select(*by, "gain_over_combined", "combined_worst_fold", "gated_worst_fold", "worst_fold_reduction", "keeps_auc", "keeps_both", "path_a", "path_b", (F.col("path_a") | F.col("path_b")).alias("continues"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +28,106 @@ def hashed_text_logistic(text: str, features: int = 1 << 15, alpha: float = 1e-4
     return Pipeline(stages=[words, NGram(n=2, inputCol="_w", outputCol="_b"), HashingTF(inputCol="_w", outputCol="_h1", numFeatures=features), HashingTF(inputCol="_b", outputCol="_h2", numFeatures=features), VectorAssembler(inputCols=["_h1", "_h2"], outputCol="_h"), Normalizer(inputCol="_h", outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol=target, regParam=alpha, standardization=False, maxIter=50)])
 
 
+def word_hashes(text: str, out: str, features: int, grams: int = 2, least: int = 2) -> list:
+    """Stages: hashed counts of words and of runs of up to `grams` words, together a row of length 1."""
+    stages = [RegexTokenizer(inputCol=text, outputCol=f"{out}_w1", pattern=r"(?U)\w+", gaps=False, minTokenLength=least)]
+    stages += [NGram(n=n, inputCol=f"{out}_w1", outputCol=f"{out}_w{n}") for n in range(2, grams + 1)]
+    stages += [HashingTF(inputCol=f"{out}_w{n}", outputCol=f"{out}_h{n}", numFeatures=features) for n in range(1, grams + 1)]
+    return [*stages, VectorAssembler(inputCols=[f"{out}_h{n}" for n in range(1, grams + 1)], outputCol=f"{out}_all"), Normalizer(inputCol=f"{out}_all", outputCol=out)]
+
+
+def event_hashes(text: str, out: str, features: int = 1 << 15) -> list:
+    """Stages for symbols: runs of up to three, of which each may be one letter."""
+    return word_hashes(text, out, features, 3, 1)
+
+
+def char_hashes(terms: str, out: str, features: int = 1 << 17) -> list:
+    """Stages over an array column of character n-grams (functions.text.padded_ngrams)."""
+    return [HashingTF(inputCol=terms, outputCol=f"{out}_h", numFeatures=features), Normalizer(inputCol=f"{out}_h", outputCol=out)]
+
+
+def scaled(column: str, out: str, weight: float, size: int) -> ElementwiseProduct:
+    return ElementwiseProduct(inputCol=column, outputCol=out, scalingVec=Vectors.dense([weight] * size))
+
+
+def unit_blocks(blocks: dict[str, tuple[float, int]], out: str) -> list:
+    """Stages that put blocks, name: (weight, size), side by side, weights scaled so that rows keep length 1."""
+    norm = sum(w * w for w, _ in blocks.values()) ** 0.5
+    return [*[scaled(c, f"{c}_s", w / norm, n) for c, (w, n) in blocks.items()], VectorAssembler(inputCols=[f"{c}_s" for c in blocks], outputCol=out)]
+
+
+def dense_block(columns: Sequence[str], out: str, weight: float) -> list:
+    """Stages: median for what is missing, standardised on the rows fitted, then scaled."""
+    filled = [f"_{c}" for c in columns]
+    return [Imputer(strategy="median", inputCols=list(columns), outputCols=filled), VectorAssembler(inputCols=filled, outputCol=f"{out}_raw"), StandardScaler(inputCol=f"{out}_raw", outputCol=f"{out}_std", withMean=True), scaled(f"{out}_std", out, weight, len(columns))]
+
+
+def logistic(features: str, alpha: float, target: str = "target", weight: str | None = None) -> LogisticRegression:
+    model = LogisticRegression(featuresCol=features, labelCol=target, regParam=alpha, standardization=False, maxIter=50)
+    return model.setWeightCol(weight) if weight else model
+
+
+def text_and_dense_logistic(text: str, columns: Sequence[str], features: int = 1 << 15, dense_weight: float = 0.2, alpha: float = 1e-4, weight: str | None = None) -> Pipeline:
+    """Hashed words beside scaled numeric columns; for a penalty C on n rows, alpha = 1 / (C * n)."""
+    return Pipeline(stages=[*word_hashes(text, "_text", features), *dense_block(columns, "_dense", dense_weight), VectorAssembler(inputCols=["_text", "_dense"], outputCol="_features"), logistic("_features", alpha, weight=weight)])
+
+
+def embedding_logistic(vector: str, c: float = 0.1, n: int = 1000, columns: Sequence[str] = (), dense_weight: float = 0.08) -> Pipeline:
+    """On a vector column (array_to_vector of interaction or of a variant), with numeric columns beside it if named."""
+    dense = dense_block(columns, "_dense", dense_weight) if columns else []
+    return Pipeline(stages=[*dense, VectorAssembler(inputCols=[vector, *(["_dense"] if columns else [])], outputCol="_features"), logistic("_features", 1 / (c * n))])
+
+
+class NaiveBayesLogistic:
+    """Logistic regression on hashed words, each bucket scaled by its log ratio between the classes of the rows fitted."""
+
+    def __init__(self, text: str, features: int = 1 << 17, c: float = 1.0, target: str = "target"):
+        self.text, self.features, self.c, self.target = text, features, c, target
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        hashes = Pipeline(stages=word_hashes(self.text, "_text", self.features)).fit(train)
+        sums = {int(r[0]): (r[1].toArray(), r[2]) for r in hashes.transform(train).groupBy(self.target).agg(Summarizer.sum(F.col("_text")), F.count("*")).collect()}
+        (pos, n_pos), (neg, n_neg) = sums[1], sums[0]
+        ratio = np.log(((pos + 1) / (n_pos + 1)) / ((neg + 1) / (n_neg + 1)))
+        by_ratio = ElementwiseProduct(inputCol="_text", outputCol="_features", scalingVec=Vectors.dense(ratio))
+        fitted = logistic("_features", 1 / (self.c * (n_pos + n_neg)), self.target).fit(by_ratio.transform(hashes.transform(train)))
+        return PipelineModel([hashes, by_ratio, fitted])
+
+
+def session_weights(train: DataFrame, power: float = 1.0, session: str = "session_id", out: str = "weight") -> DataFrame:
+    """train with out: the session's rows to the power of -power, with mean 1."""
+    sizes = train.groupBy(session).agg(F.count("*").alias("_n"))
+    mean = sizes.agg((F.sum(F.col("_n") * F.pow("_n", F.lit(-power))) / F.sum("_n")).alias("_mean"))
+    return train.join(sizes, session).crossJoin(mean).withColumn(out, F.pow("_n", F.lit(-power)) / F.col("_mean")).drop("_n", "_mean")
+
+
+class SessionWeighted:
+    """A pipeline whose rows weigh by session; the pipeline's model takes the weight column."""
+
+    def __init__(self, pipeline: Pipeline, power: float = 1.0, session: str = "session_id", weight: str = "weight"):
+        self.pipeline, self.power, self.session, self.weight = pipeline, power, session, weight
+
+    def fit(self, train: DataFrame) -> PipelineModel:
+        return self.pipeline.fit(session_weights(train, self.power, self.session, self.weight))
+
+
+def fit_and_save(df: DataFrame, parts: dict[str, Pipeline | NaiveBayesLogistic | SessionWeighted], folder: str) -> dict[str, PipelineModel]:
+    """Each part fitted on all rows and written below folder; PipelineModel.load reads it again."""
+    fitted = {name: p.fit(df) for name, p in parts.items()}
+    for name, model in fitted.items():
+        model.write().overwrite().save(f"{folder.rstrip('/')}/{name}")
+    return fitted
+
+
+def as_vector(df: DataFrame, array: str, out: str) -> DataFrame:
+    return df.withColumn(out, array_to_vector(array))
+
+
 def numeric_trees(columns: Sequence[str], target: str = "target") -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep"), GBTClassifier(featuresCol="_features", labelCol=target, stepSize=0.1, maxIter=10, maxDepth=3, minInstancesPerNode=20, seed=7)])
 
 
-def out_of_fold(df: DataFrame, pipeline: Callable[[], Pipeline] | Pipeline, folds: int = 5, key: str = "response_id", purge: str = "session_id") -> DataFrame:
+def out_of_fold(df: DataFrame, pipeline: Callable[[], Pipeline] | Pipeline | NaiveBayesLogistic | SessionWeighted, folds: int = 5, key: str = "response_id", purge: str = "session_id") -> DataFrame:
     """key, fold, target, p. A fold whose training rows hold one class only gets their mean."""
 
     def one(fold: int) -> DataFrame:

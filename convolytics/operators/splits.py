@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,3 +80,35 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: str, se
     quota = sizes.crossJoin(left).withColumn("_quota", F.col("_floor") + (F.row_number().over(by) <= F.col("_left")).cast("long")).select(*strata, "_quota")
     own = Window.partitionBy(*strata).orderBy(_drawn(seed, key), key)
     return df.join(quota, list(strata)).withColumn("_nth", F.row_number().over(own)).where("_nth <= _quota").drop("_nth", "_quota")
+
+
+# The protocols of a sweep: families, cluster seed, fold seed.
+PROTOCOLS = {
+    "semantic_k25_s0": (25, 20260716, 20260716),
+    "semantic_k50_s0": (50, 20260716, 20260717),
+    "semantic_k50_s1": (50, 20260717, 20260718),
+    "semantic_k80_s0": (80, 20260716, 20260719),
+}
+
+
+def objective_families(objectives: DataFrame, k: int, seed: int, tries: int = 5, vector: str = "vector", objective: str = "objective_id") -> DataFrame:
+    """objective_id, family: k-means on the unit vectors of objectives (one row each), the best of several tries by cost."""
+    n = objectives.count()
+    if k > n:
+        raise ValueError(f"{k} families of {n} objectives")
+    rows = objectives.select(objective, array_to_vector(vector).alias("_v")).repartition(objective)
+    fits = [KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="_v", predictionCol="family").fit(rows) for i in range(tries)]
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(rows).select(objective, "family")
+
+
+def family_folds(df: DataFrame, objectives: DataFrame, k: int, cluster_seed: int = 7, fold_seed: int = 7, folds: int = 5, tries: int = 5) -> DataFrame:
+    """df with family and fold: whole families of like objectives share a fold. Purge sessions with purged_pairs."""
+    if k < folds:
+        raise ValueError(f"{k} families for {folds} folds")
+    return group_folds(df.join(objective_families(objectives, k, cluster_seed, tries), "objective_id"), "family", k=folds, seed=fold_seed)
+
+
+def protocol_sweep(df: DataFrame, objectives: DataFrame, protocols: Mapping[str, tuple[int, int, int]] = PROTOCOLS, folds: int = 5, tries: int = 5) -> DataFrame:
+    """family_folds for each protocol, below one another, with the protocol's name."""
+    parts = [family_folds(df, objectives, k, c, f, folds, tries).withColumn("protocol", F.lit(name)) for name, (k, c, f) in protocols.items()]
+    return reduce(DataFrame.unionByName, parts)

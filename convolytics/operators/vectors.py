@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +16,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+# The parts of each variant of evidence features, (kind, block, scale); "x" is the product with the objective,
+# "d" the absolute difference from it, "v" the block itself.
+_PAIR = lambda b: [("v", b, 0.7), ("v", "objective", 0.7), ("x", b, 6.0), ("d", b, 0.7)]
+_BESIDE = lambda b: [("v", b, 0.55), ("x", b, 4.0), ("d", b, 0.5)]
+VARIANTS: dict[str, list[tuple[str, str, float]]] = {
+    **{name: _PAIR("context") for name in ("semantic_reference", "feedback_geometry", "trajectory_geometry", "context_geometry")},
+    **{f"{b}_interaction": _PAIR(b) for b in ("student", "feedback", "trajectory")},
+    **{f"context_{b}_interaction": _PAIR("context") + _BESIDE(b) for b in ("trajectory", "feedback")},
+    "evidence_mean_interaction": [*_PAIR("mean"), ("v", "trajectory", 0.35)],
+    "multiview_interaction": [
+        ("v", "objective", 0.7), ("v", "context", 0.7), ("v", "student", 0.45), ("v", "tutor", 0.45), ("v", "feedback", 0.65), ("v", "trajectory", 0.3),
+        ("x", "context", 6.0), ("d", "context", 0.7), ("x", "student", 3.0), ("x", "tutor", 3.0), ("x", "feedback", 4.0), ("x", "trajectory", 2.0),
+    ],
+}
+
+
 def unit(v: Column, guard: float = 1e-12) -> Column:
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(guard))
     return F.transform(v, lambda x: x / norm)
@@ -21,6 +42,67 @@ def interaction(c: Column, o: Column) -> Column:
     return F.concat(F.transform(c, lambda x: 0.7 * x), F.transform(o, lambda x: 0.7 * x), F.zip_with(c, o, lambda x, y: 6.0 * x * y), F.zip_with(c, o, lambda x, y: 0.7 * F.abs(x - y)))
 
 
+def mean_of(*vectors: Column) -> Column:
+    """The mean of several vectors, of length 1 again."""
+    return unit(reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), vectors))
+
+
+def variant(name: str, blocks: Mapping[str, Column]) -> Column:
+    """The features of a named variant from the vectors objective, context, student, tutor, feedback, trajectory."""
+    if name not in VARIANTS:
+        raise ValueError(f"unknown variant: {name}")
+
+    def part(kind: str, block: str, scale: float) -> Column:
+        b = mean_of(blocks["student"], blocks["tutor"], blocks["feedback"]) if block == "mean" else blocks[block]
+        if kind == "v":
+            return F.transform(b, lambda x: scale * x)
+        return F.zip_with(b, blocks["objective"], (lambda x, y: scale * x * y) if kind == "x" else (lambda x, y: scale * F.abs(x - y)))
+
+    return F.concat(*[part(*p) for p in VARIANTS[name]])
+
+
+def view_cosines(blocks: Mapping[str, Column], views: Sequence[str]) -> dict[str, Column]:
+    """Cosines of each view with the objective and the context, and of each two views, by name; blocks are unit vectors."""
+    with_both = {f"cos_{a}_{v}": dot(blocks[a], blocks[v]) for v in views for a in ("objective", "context")}
+    return with_both | {f"cos_{a}_{b}": dot(blocks[a], blocks[b]) for a, b in combinations(views, 2)}
+
+
+def overlap_block(a: DataFrame, b: DataFrame, doc: str = "doc", bucket: str = "bucket", weight: str = "weight") -> DataFrame:
+    """doc, bucket, weight: products of two sparse rows of a document where both have a value."""
+    return a.join(b.withColumnRenamed(weight, "_w"), [doc, bucket]).select(doc, bucket, (F.col(weight) * F.col("_w")).alias(weight))
+
+
+def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], Sequence[Sequence[float]]], out: str = "embedding", batch: int = 64) -> DataFrame:
+    """df with a unit vector for each text: each distinct text is encoded once, in batches of near length.
+
+    encoder runs inside tasks and must be picklable. Null texts have a null vector. Write the result (write_table) to
+    keep it; on another run join what is known and encode the rest.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                texts = frame["_text"].iloc[at : at + batch]
+                yield pd.DataFrame({"_text": texts.to_numpy(), "_vector": [[float(x) for x in v] for v in encoder(texts.tolist())]})
+
+    distinct = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+    vectors = distinct.mapInPandas(run, "_text string, _vector array<double>").select("_text", unit(F.col("_vector")).alias(out))
+    return df.join(vectors, F.col(text) == F.col("_text"), "left").drop("_text")
+
+
+def score_pairs(df: DataFrame, left: str, right: str, scorer: Callable[[list[str], list[str]], Sequence[Sequence[float]]], key: str, batch: int = 64) -> DataFrame:
+    """key, outputs: what a model of pairs of texts gives for each row, batch by batch inside the tasks; null is empty."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                yield pd.DataFrame({key: part[key].to_numpy(), "outputs": [[float(x) for x in v] for v in scorer(part._left.tolist(), part._right.tolist())]})
+
+    rows = df.select(key, *[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((left, "_left"), (right, "_right"))])
+    return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, outputs array<double>")
+
+
 def mean_vectors(df: DataFrame, by: str, vector: str, out: str) -> DataFrame:
     """Normalised mean vector of each group."""
     m = df.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("x"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convolytics.plans import feature_queries, session_queries
+from convolytics.plans import evidence_queries, feature_queries, session_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**session_queries.QUERIES, **feature_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**session_queries.ORACLE_SQL, **feature_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**session_queries.QUERIES, **feature_queries.QUERIES, **evidence_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**session_queries.ORACLE_SQL, **feature_queries.ORACLE_SQL, **evidence_queries.ORACLE_SQL}
