@@ -158,18 +158,23 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.
     return Model(float(bias), {f: float(w) for f, w in zip(chosen, theta, strict=True) if w > 1e-2})
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_chars: int = 16_000_000, **how) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_chars: int = 16_000_000, **how) -> Model:
     """Fit on about max_docs rows and max_chars characters at most, drawn at one rate by a hash of the id.
 
-    Rows with a null text or a label other than 0 and 1 aren't used.
+    Rows with a null text or a label other than 0 and 1 aren't used. Lengths are counted before labels are joined, and
+    rows are drawn before texts are, so that no join moves more texts than the sample has.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    known = {int(r[0]): (r[1], r[2] or 1) for r in rows.groupBy(label_col).agg(F.count("*"), F.sum(F.length(text_col))).collect()}
-    if not known:
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
+    lengths = texts.select("_doc", F.length("_text").alias("_chars")).join(known, F.col("_doc") == F.col("_id"))
+    found = {int(r[0]): (r[1], r[2] or 1) for r in lengths.groupBy("_label").agg(F.count("*"), F.sum("_chars")).collect()}
+    if not found:
         return Model()
-    rate = min(1.0, max_docs / sum(n for n, _ in known.values()), max_chars / sum(c for _, c in known.values()))
-    drawn = F.pmod(F.xxhash64(F.col(id_col)), F.lit(_SAMPLE_SPACE))
-    sample = sorted(rows.where(drawn < math.ceil(_SAMPLE_SPACE * rate)).select(drawn, id_col, label_col, text_col).collect(), key=lambda r: (r[0], str(r[1]), r[2], r[3]))
+    rate = min(1.0, max_docs / sum(n for n, _ in found.values()), max_chars / sum(c for _, c in found.values()))
+    drawn = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(_SAMPLE_SPACE))
+    limit = math.ceil(_SAMPLE_SPACE * rate)
+    rows = texts.where(drawn("_doc") < limit).join(known, F.col("_doc") == F.col("_id"))
+    sample = sorted(rows.select(drawn("_doc"), "_doc", "_label", "_text").collect(), key=lambda r: (r[0], str(r[1]), r[2], r[3]))
     return fit([r[3] for r in sample], [r[2] for r in sample], **how)
 
 
@@ -210,8 +215,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Learns from rows of docs that aren't held out and have a label. Where an id has several labels, each row counts.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    rows = docs.where(~held_out(id_col)).select(id_col, text_col).join(known, F.col(id_col) == F.col("_id"))
-    model = learn(rows, id_col, text_col, "_label", **how)
+    model = learn(docs.where(~held_out(id_col)), labels, id_col, text_col, label_col, **how)
     out = docs.withColumns({"held_out": held_out(id_col), "score": toxicity(F.col(text_col), model)})
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
