@@ -86,11 +86,13 @@ class NaiveBayesLogistic:
 
     def fit(self, train: DataFrame) -> PipelineModel:
         hashes = Pipeline(stages=word_hashes(self.text, "_text", self.features)).fit(train)
-        sums = {int(r[0]): (r[1].toArray(), r[2]) for r in hashes.transform(train).groupBy(self.target).agg(Summarizer.sum(F.col("_text")), F.count("*")).collect()}
+        hashed = hashes.transform(train).select("_text", self.target).persist()
+        sums = {int(r[0]): (r[1].toArray(), r[2]) for r in hashed.groupBy(self.target).agg(Summarizer.sum(F.col("_text")), F.count("*")).collect()}
         (pos, n_pos), (neg, n_neg) = sums[1], sums[0]
         ratio = np.log(((pos + 1) / (n_pos + 1)) / ((neg + 1) / (n_neg + 1)))
         by_ratio = ElementwiseProduct(inputCol="_text", outputCol="_features", scalingVec=Vectors.dense(ratio))
-        fitted = logistic("_features", 1 / (self.c * (n_pos + n_neg)), self.target).fit(by_ratio.transform(hashes.transform(train)))
+        fitted = logistic("_features", 1 / (self.c * (n_pos + n_neg)), self.target).fit(by_ratio.transform(hashed))
+        hashed.unpersist()
         return PipelineModel([hashes, by_ratio, fitted])
 
 
