@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,14 @@ def put(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: Spark keeps workers between tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Memo(dict):
     """A memo of a function of one key. It starts again when it is full, so that its memory stays bounded."""
 

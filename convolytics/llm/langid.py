@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.llm.common import byte_blocks, held_out
+from convolytics.llm.common import byte_blocks, give_back, held_out
 
 UNDETERMINED = "und"
 #: Letters with a class of their own, classes that other letters are hashed to, the blank and the end of a text.
@@ -180,6 +180,7 @@ def language(text: Column, samples: dict[str, str]) -> Column:
         for texts in batches:
             found = [_PARSERS[key].predict(block) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS)]
             yield pa.StructArray.from_arrays([pa.array([x for f in found for x in f[0]], pa.string()), pa.array([x for f in found for x in f[1]], pa.float64())], ["lang", "score"])
+        give_back()
 
     return predict(text)
 

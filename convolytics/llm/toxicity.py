@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.llm.common import Memo, byte_blocks, held_out
+from convolytics.llm.common import Memo, byte_blocks, give_back, held_out
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -189,6 +189,7 @@ def toxicity(text: Column, model: Model) -> Column:
             _MEMOS[model.key] = Memo(model.word)
         for texts in batches:
             yield pa.array([x for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for x in model.scores(block, _MEMOS[model.key]).tolist()], pa.float64())
+        give_back()
 
     return score(text)
 
