@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -52,6 +53,25 @@ def give_back() -> None:
         trim(0)
 
 
+_RESIDENT: dict[tuple, object] = {}
+
+
+def resident(key: tuple, build: Callable):
+    """build(), kept by this worker until a task asks for another key: one model a worker, also in a chain of stages."""
+    if key not in _RESIDENT:
+        release()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Drop what this worker has kept, for tasks that need the memory and no model."""
+    if _RESIDENT:
+        _RESIDENT.clear()
+        gc.collect()
+        give_back()
+
+
 class Memo(dict):
     """A memo of a function of one key. It starts again when it is full, so that its memory stays bounded."""
 

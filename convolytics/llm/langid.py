@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.llm.common import byte_blocks, give_back, held_out
+from convolytics.llm.common import byte_blocks, give_back, held_out, resident
 
 UNDETERMINED = "und"
 #: Letters with a class of their own, classes that other letters are hashed to, the blank and the end of a text.
@@ -145,9 +145,6 @@ class Parser:
         return [self.languages[b] if n else UNDETERMINED for b, n in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters > 0, np.clip(score, 0, 1), 0.0).tolist()
 
 
-_PARSERS: dict[str, Parser] = {}
-
-
 def learn_samples(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chars_per_language: int = 24_000, rows_per_language: int = 96) -> dict[str, str]:
     """Labelled text by language: whole texts in order of a hash of the id, at most chars_per_language characters.
 
@@ -174,11 +171,9 @@ def language(text: Column, samples: dict[str, str]) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = Parser(samples)
+        parser = resident(("language", key), lambda: Parser(samples))
         for texts in batches:
-            found = [_PARSERS[key].predict(block) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS)]
+            found = [parser.predict(block) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS)]
             yield pa.StructArray.from_arrays([pa.array([x for f in found for x in f[0]], pa.string()), pa.array([x for f in found for x in f[1]], pa.float64())], ["lang", "score"])
         give_back()
 

@@ -16,13 +16,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.llm.common import Memo, byte_blocks, put
+from convolytics.llm.common import Memo, byte_blocks, give_back, put, resident
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -155,9 +154,8 @@ class PieceCodec:
         return sum(counts), sha(",".join(ids)), sha("".join(texts).removeprefix(" "))
 
 
-@cache
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return resident(("pieces", path), lambda: PieceCodec(path))
 
 
 def encode(text: Column, path: str) -> Column:
@@ -165,8 +163,9 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = codec(path)
         for texts in batches:
-            yield pa.array([codec(path).encode(t) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for t in block], pa.list_(pa.int32()))
+            yield pa.array([pieces.encode(t) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for t in block], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -176,8 +175,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = codec(path)
         for rows in batches:
-            yield pa.array([codec(path).decode(r or []) for r in rows.to_pylist()], pa.string())
+            yield pa.array([pieces.decode(r or []) for r in rows.to_pylist()], pa.string())
 
     return text(ids)
 
@@ -188,9 +188,11 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = codec(path)
         for texts in batches:
-            rows = [codec(path).digests(t) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for t in block]
+            rows = [pieces.digests(t) for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for t in block]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     out = df.withColumn("_digests", digests(F.col(text_col)))
     return put(out, **{c: F.col(f"_digests.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_digests")

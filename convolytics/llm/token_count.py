@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.llm.common import byte_blocks, put
+from convolytics.llm.common import byte_blocks, put, resident
 
 BATCH_CHARS, MEMO_WORDS = 1 << 20, 600_000
 #: Letters, then perhaps ASCII punctuation but the apostrophe: the pre-tokenizer always cuts between the two.
@@ -63,12 +62,11 @@ class WordCounter:
         return [sum(map(get, words)) for words in split]
 
 
-@cache
 def _counter(path: str) -> WordCounter:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordCounter(path)
+    return resident(("counts", path), lambda: WordCounter(path))
 
 
 def n_tokens(text: Column, path: str) -> Column:

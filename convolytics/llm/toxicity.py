@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.llm.common import Memo, byte_blocks, give_back, held_out
+from convolytics.llm.common import Memo, byte_blocks, give_back, held_out, resident
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
@@ -178,17 +178,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r[3] for r in sample], [r[2] for r in sample], **how)
 
 
-_MEMOS: dict[str, Memo] = {}
-
-
 def toxicity(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if model.key not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[model.key] = Memo(model.word)
+        memo = resident(("toxicity", model.key), lambda: Memo(model.word))
         for texts in batches:
-            yield pa.array([x for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for x in model.scores(block, _MEMOS[model.key]).tolist()], pa.float64())
+            yield pa.array([x for block in byte_blocks(texts.to_pylist(), BLOCK_CHARS) for x in model.scores(block, memo).tolist()], pa.float64())
         give_back()
 
     return score(text)
