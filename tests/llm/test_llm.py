@@ -247,3 +247,31 @@ def test_pipeline_keeps_clean_documents(spark):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     bad = {r.doc_id for r in decontam.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
     assert kept < all_docs and not kept & bad and len(kept) > 0.5 * len(all_docs)
+
+
+def test_cell_components_match_brute_force():
+    import numpy as np
+
+    from convolytics.llm.jaccard import Cell
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        base, sets = [set(rng.choice(200, 40, replace=False).tolist()) for _ in range(4)], []
+        for _ in range(25):
+            s = set(base[rng.integers(4)])
+            for _ in range(rng.integers(0, 9)):
+                s.discard(int(rng.choice(sorted(s))))
+                s.add(int(rng.integers(200, 400)))
+            sets.append(s)
+        ids = rng.permutation(25) + 7
+        cell = Cell(ids, [np.array(sorted(s), np.int64) for s in sets], 75)
+        root, changed = {int(i): int(i) for i in ids}, True
+        while changed:
+            changed = False
+            for a in range(25):
+                for b in range(a):
+                    x, y = int(ids[a]), int(ids[b])
+                    if root[x] != root[y] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                        root[x] = root[y] = min(root[x], root[y])
+                        changed = True
+        assert dict(zip(cell.ids.tolist(), cell.components().tolist(), strict=True)) == root
