@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from convolytics.functions.text import clip
 from convolytics.operators.metrics import all_metrics, log_loss
@@ -51,6 +52,27 @@ def audit(d: DataFrame) -> DataFrame:
     return out.withColumns({"gain_gate": F.col("median_gain") >= 0.002, "all_gate": F.col("win_fraction") == 1, "win_gate": F.col("win_fraction") >= 0.7, "regression_gate": F.col("worst_regression") <= 0.001})
 
 
+def audit_scorecard(card: DataFrame, baseline: str, outside: Sequence[str] = ("overall", "fold", "session_objectives"), least: int = 100) -> DataFrame:
+    """Promotion gates of each model, from metrics.scorecard by protocol and model.
+
+    Gain and consistency come from the overall rows of protocols, wins from the rows of all protocols and folds, the
+    worst regression from the values of regimes not in `outside` with at least `least` rows; without any, its gate fails.
+    """
+    own = Window.partitionBy("protocol", "regime", "value")
+    less = lambda c: F.col(c) - F.max(F.when(F.col("model") == baseline, F.col(c))).over(own)
+    d = card.withColumns({"delta_log_loss": less("log_loss"), "delta_auc": less("auc")}).where(F.col("model") != baseline)
+    loss, auc = F.col("delta_log_loss"), F.coalesce("delta_auc", F.lit(0.0))
+    overall, fold = F.col("regime") == "overall", F.col("regime") == "fold"
+    legal = ~F.col("regime").isin(*outside) & (F.col("rows") >= least)
+    share = lambda of, won: F.avg(F.when(of, won.cast("double")))
+    out = d.groupBy("model").agg(
+        F.count_if(overall).alias("protocols"), F.count_if(overall & (loss < 0)).alias("protocol_loss_wins"), F.count_if(overall & (auc > 0)).alias("protocol_auc_wins"),
+        F.median(F.when(overall, -loss)).alias("median_gain"), F.avg(F.when(overall, -loss)).alias("mean_gain"), F.avg(F.when(overall, F.col("delta_auc"))).alias("mean_auc_gain"),
+        share(fold, loss < 0).alias("fold_loss_wins"), share(fold, auc > 0).alias("fold_auc_wins"), F.max(F.when(fold, loss)).alias("worst_fold"), F.max(F.when(legal, loss)).alias("worst_regime"),
+    )
+    return out.withColumns({"gain_gate": F.col("median_gain") >= 0.002, "all_gate": F.col("protocol_loss_wins") == F.col("protocols"), "win_gate": F.col("fold_loss_wins") >= 0.7, "regression_gate": F.coalesce(F.col("worst_regime") <= 0.001, F.lit(False))})
+
+
 def promoted(delta_loss: Column, delta_auc: Column) -> Column:
     return ((delta_loss <= -0.0015) & (delta_auc >= 0)) | ((delta_auc >= 0.005) & (delta_loss <= 0))
 

@@ -84,6 +84,18 @@ def test_agreement_gate(spark):
     assert [tuple(r) for r in df.select(agrees, gated).collect()] == [(True, 0.65), (False, 0.5), (True, 0.35), (False, 0.5)]
 
 
+def test_audit_sees_folds_and_regimes(spark):
+    rows = [("base", r, v, n, 0.6, 0.6) for r, v, n in (("overall", "all", 900), *(("fold", str(f), 180) for f in range(5)), ("length", "q1", 100), ("length", "q2", 99), ("session_objectives", "one", 500))]
+    change = {("overall", "all"): -0.01, ("fold", "0"): -0.1, ("fold", "1"): -0.1, ("length", "q1"): 0.002, ("length", "q2"): 0.3, ("session_objectives", "one"): 0.3}
+    rows += [("new", r, v, n, loss + change.get((r, v), 0.001), auc) for _, r, v, n, loss, auc in rows]
+    card = spark.createDataFrame([("p0", *r) for r in rows], "protocol string, model string, regime string, value string, rows long, log_loss double, auc double")
+    got = ensembles.audit_scorecard(card, "base").first()
+    assert (got.gain_gate, got.all_gate, got.win_gate, got.regression_gate) == (True, True, False, False)
+    assert got.fold_loss_wins == pytest.approx(0.4) and got.worst_regime == pytest.approx(0.002) and got.worst_fold == pytest.approx(0.001)
+    small = ensembles.audit_scorecard(card.where("rows <> 100"), "base").first()
+    assert small.worst_regime is None and small.regression_gate is False
+
+
 def test_check_raises(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(expect.ExpectationFailed, match="unique: 1"):
