@@ -91,24 +91,25 @@ PROTOCOLS = {
 }
 
 
-def objective_families(objectives: DataFrame, k: int, seed: int, tries: int = 5, vector: str = "vector", objective: str = "objective_id") -> DataFrame:
+def objective_families(objectives: DataFrame, k: int, seed: int, tries: int = 20, vector: str = "vector", objective: str = "objective_id") -> DataFrame:
     """objective_id, family: k-means on the unit vectors of objectives (one row each), the best of several tries by cost."""
     n = objectives.count()
     if k > n:
         raise ValueError(f"{k} families of {n} objectives")
-    rows = objectives.select(objective, array_to_vector(vector).alias("_v")).repartition(objective)
-    fits = [KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="_v", predictionCol="family").fit(rows) for i in range(tries)]
+    rows = objectives.select(objective, array_to_vector(vector).alias("_v")).repartition(objective).persist()
+    fits = [KMeans(k=k, seed=seed + i, maxIter=500, featuresCol="_v", predictionCol="family").fit(rows) for i in range(tries)]
+    rows.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost).transform(rows).select(objective, "family")
 
 
-def family_folds(df: DataFrame, objectives: DataFrame, k: int, cluster_seed: int = 7, fold_seed: int = 7, folds: int = 5, tries: int = 5) -> DataFrame:
+def family_folds(df: DataFrame, objectives: DataFrame, k: int, cluster_seed: int = 7, fold_seed: int = 7, folds: int = 5, tries: int = 20) -> DataFrame:
     """df with family and fold: whole families of like objectives share a fold. Purge sessions with purged_pairs."""
     if k < folds:
         raise ValueError(f"{k} families for {folds} folds")
     return group_folds(df.join(objective_families(objectives, k, cluster_seed, tries), "objective_id"), "family", k=folds, seed=fold_seed)
 
 
-def protocol_sweep(df: DataFrame, objectives: DataFrame, protocols: Mapping[str, tuple[int, int, int]] = PROTOCOLS, folds: int = 5, tries: int = 5) -> DataFrame:
+def protocol_sweep(df: DataFrame, objectives: DataFrame, protocols: Mapping[str, tuple[int, int, int]] = PROTOCOLS, folds: int = 5, tries: int = 20) -> DataFrame:
     """family_folds for each protocol, below one another, with the protocol's name."""
     parts = [family_folds(df, objectives, k, c, f, folds, tries).withColumn("protocol", F.lit(name)) for name, (k, c, f) in protocols.items()]
     return reduce(DataFrame.unionByName, parts)

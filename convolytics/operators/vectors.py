@@ -127,7 +127,16 @@ def nb_ratio(terms: DataFrame, term: str = "term", target: str = "target", doc:
     return c.select(term, F.ln(((F.col("cp") + 1) / (F.col("p") + 1)) / ((F.col("cn") + 1) / (F.col("n") + 1))).alias("ratio"))
 
 
-def knn_predictions(df: DataFrame, m: int = 3, k: int = 5, w: float = 0.5, temperature: float = 8.0, mass: float = 1.0) -> DataFrame:
+# The configurations of a sweep: objectives, neighbours, the objective's weight, temperature, prior mass.
+KNN_CONFIGS = {
+    "m8_k64_balanced": (8, 64, 0.35, 12.0, 2.0),
+    "m20_k128_balanced": (20, 128, 0.35, 12.0, 2.0),
+    "m40_k256_balanced": (40, 256, 0.35, 12.0, 2.0),
+    "m20_k128_objective": (20, 128, 0.6, 12.0, 2.0),
+}
+
+
+def knn_predictions(df: DataFrame, m: int = 20, k: int = 128, w: float = 0.35, temperature: float = 12.0, mass: float = 2.0) -> DataFrame:
     """response_id, prediction for each row from the training rows of other folds (sessions of the fold purged).
 
     df: response_id, session_id, objective_id, target, fold and the unit vectors context, objective. The m nearest

@@ -166,7 +166,7 @@ def family_folds(spark, d):
     """Folds of whole families of objectives that k-means finds in the objectives' mean vectors."""
     e = _embedded(spark, d)
     objectives = e.groupBy("objective_id").agg(F.min_by("objective", "response_id").alias("vector"))
-    return splits.family_folds(e, objectives, 8, tries=2).select("response_id", "objective_id", "session_id", "family", "fold")
+    return splits.family_folds(e, objectives, 8).select("response_id", "objective_id", "session_id", "family", "fold")
 
 
 @query()

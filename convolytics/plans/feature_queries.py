@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
@@ -63,11 +66,21 @@ def ordered_features_all(spark, d):
     return ordered.ordered_features(_texts(spark, d), B.responses(spark, d), CUES)
 
 
-@query()
-def objective_contexts(spark, d):
+def _contexts(spark, d, *limits):
     lines = retrieval.scored_lines(_texts(spark, d), B.responses(spark, d))
     stats = retrieval.statistics(lines)
-    return stats.join(retrieval.contexts(retrieval.retrieve(lines, 2, 1, 4, 2)), "response_id")
+    return stats.join(retrieval.contexts(retrieval.retrieve(lines, *limits)), "response_id")
+
+
+@query()
+def objective_contexts(spark, d):
+    return _contexts(spark, d)
+
+
+@query()
+def objective_contexts_small(spark, d):
+    """Limits that bite on short sessions."""
+    return _contexts(spark, d, 2, 1, 4, 2)
 
 
 @query(f"WITH {P} SELECT response_id, protocol, round(0.25 * v02 + 0.25 * semantic + 0.5 * bge_base, 6) AS blended, (bge_base - semantic) * (nbsvm - v02) >= 0 AS agrees, round(least(greatest(CASE WHEN (bge_base - semantic) * (nbsvm - v02) >= 0 THEN combined ELSE v02 END, 1e-6), 1 - 1e-6), 6) AS gated, round(0.7 * (0.7 * v02 + 0.3 * nbsvm) + 0.3 * bge_base, 6) AS nested FROM predictions")
@@ -164,7 +177,26 @@ def embedding_geometry(spark, d):
  top AS (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY round(score, 9) DESC, t_id) AS nth FROM scored QUALIFY nth <= 5), wt AS (SELECT *, exp(8 * (score - max(score) OVER (PARTITION BY response_id))) AS wgt FROM top), s AS (SELECT response_id, sum(wgt) AS sw, sum(wgt * target) AS swy FROM wt GROUP BY response_id)
  SELECT response_id, round(least(greatest((coalesce(swy, 0) + prior) / (coalesce(sw, 0) + 1), 1e-5), 1 - 1e-5), 6) AS prediction FROM folded JOIN prior ON eval_fold = fold LEFT JOIN s USING (response_id)""")
 def knn_predictions(spark, d):
-    return rounded(vectors.knn_predictions(splits.group_folds(_embedded(spark, d), "session_id")), "prediction")
+    """Limits that bite on small tables."""
+    return rounded(vectors.knn_predictions(splits.group_folds(_embedded(spark, d), "session_id"), 3, 5, 0.5, 8.0, 1.0), "prediction")
+
+
+def _knn_sql(m, k, w, temperature, mass):
+    return f"""WITH {_PROTO}, rows_ AS (SELECT e.*, p.objective FROM embedded e JOIN protos p USING (objective_id)), {folds_sql('session_id', source='rows_')},
+ train AS (SELECT e.f AS eval_fold, a.* FROM folded a, (SELECT unnest(range(5)) AS f) e WHERE a.fold <> e.f AND a.session_id NOT IN (SELECT session_id FROM folded h WHERE h.fold = e.f)), prior AS (SELECT eval_fold, avg(target) AS prior FROM train GROUP BY eval_fold),
+ near AS (SELECT eval_fold, q.objective_id, t.objective_id AS t_objective, list_dot_product(q.objective, t.objective) AS os, row_number() OVER (PARTITION BY eval_fold, q.objective_id ORDER BY round(list_dot_product(q.objective, t.objective), 9) DESC, t.objective_id) AS nth
+  FROM (SELECT DISTINCT fold AS eval_fold, objective_id FROM folded) JOIN protos q USING (objective_id) JOIN (SELECT DISTINCT eval_fold, objective_id AS t_id FROM train) k USING (eval_fold) JOIN protos t ON t.objective_id = k.t_id QUALIFY nth <= {m}),
+ scored AS (SELECT a.response_id, t.target, t.response_id AS t_id, {1 - w} * list_dot_product(a.context, t.context) + {w} * os AS score FROM folded a JOIN near n ON n.eval_fold = a.fold AND n.objective_id = a.objective_id JOIN train t ON t.eval_fold = a.fold AND t.objective_id = n.t_objective),
+ top AS (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY round(score, 9) DESC, t_id) AS nth FROM scored QUALIFY nth <= {k}), wt AS (SELECT *, exp({temperature} * (score - max(score) OVER (PARTITION BY response_id))) AS wgt FROM top), s AS (SELECT response_id, sum(wgt) AS sw, sum(wgt * target) AS swy FROM wt GROUP BY response_id)
+ SELECT response_id, round(least(greatest((coalesce(swy, 0) + {mass} * prior) / (coalesce(sw, 0) + {mass}), 1e-5), 1 - 1e-5), 6) AS prediction FROM folded JOIN prior ON eval_fold = fold LEFT JOIN s USING (response_id)"""
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS config, * FROM ({_knn_sql(*c)})" for name, c in vectors.KNN_CONFIGS.items()))
+def knn_configs(spark, d):
+    """Predictions of each configuration of the sweep."""
+    folded = splits.group_folds(_embedded(spark, d), "session_id")
+    parts = [vectors.knn_predictions(folded, *c).withColumn("config", F.lit(name)) for name, c in vectors.KNN_CONFIGS.items()]
+    return rounded(reduce(DataFrame.unionByName, parts), "prediction")
 
 
 _BT = f"SELECT item_id AS doc, unnest({tokens_sql('text')}) AS term FROM benchmark"

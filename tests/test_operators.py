@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from convolytics import queries
 from convolytics.functions import text as T
 from convolytics.operators import ensembles, expect, metrics, ordered, retrieval, splits
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
@@ -96,6 +99,17 @@ def test_audit_sees_folds_and_regimes(spark):
     assert small.worst_regime is None and small.regression_gate is False
 
 
+def test_queries_have_the_reference_limits(spark, monkeypatch):
+    fits, real = [], splits.KMeans
+    monkeypatch.setattr(splits, "KMeans", lambda **a: fits.append(a) or real(**a))
+    queries.QUERIES["family_folds"](spark, SMALL)
+    assert len(fits) == 20 and {a["maxIter"] for a in fits} == {500}
+    got = {r.response_id: r for r in queries.QUERIES["objective_contexts"](spark, SMALL).collect()}
+    assert max(r.selected for r in got.values()) > 4
+    assert all(r.selected == min(r.lines, 36) for r in got.values() if r.positive_lines == 0)
+    assert all(r.selected >= min(r.positive_lines, 24) for r in got.values())
+
+
 def test_check_raises(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(expect.ExpectationFailed, match="unique: 1"):
