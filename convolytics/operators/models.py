@@ -125,8 +125,13 @@ def as_vector(df: DataFrame, array: str, out: str) -> DataFrame:
     return df.withColumn(out, array_to_vector(array))
 
 
-def numeric_trees(columns: Sequence[str], target: str = "target") -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep"), GBTClassifier(featuresCol="_features", labelCol=target, stepSize=0.1, maxIter=10, maxDepth=3, minInstancesPerNode=20, seed=7)])
+#: Depths of trees with about as many leaves as those of the two sizes that are compared: 7 and 15.
+TREE_DEPTHS = {"trees_7": 3, "trees_15": 4}
+
+
+def numeric_trees(columns: Sequence[str], target: str = "target", rounds: int = 250, step: float = 0.03, depth: int = 3, leaf: int = 100, bins: int = 255) -> Pipeline:
+    """Boosted trees of at least `leaf` rows a leaf. Trees grow by level, without an L2 term on leaves."""
+    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep"), GBTClassifier(featuresCol="_features", labelCol=target, stepSize=step, maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins, checkpointInterval=10, seed=7)])
 
 
 def out_of_fold(df: DataFrame, pipeline: Callable[[], Pipeline] | Pipeline | NaiveBayesLogistic | SessionWeighted, folds: int = 5, key: str = "response_id", purge: str = "session_id") -> DataFrame:

@@ -234,6 +234,22 @@ def text_logistic_oof(spark, d):
     return models.out_of_fold(_base(spark, d), lambda: models.hashed_text_logistic("objective", 1 << 12))
 
 
+_RETRIEVED = ["lines", "positive_lines", "terms", "matched_terms", "coverage", "first_match", "last_match", "mean_positive_score", "max_score"]
+
+
+def _dense(spark, d):
+    """The base with the statistics of retrieval and the features of turn order, and the names of all numeric columns."""
+    r, texts = B.responses(spark, d), _texts(spark, d)
+    turns = ordered.ordered_features(texts, r, CUES)
+    found = retrieval.statistics(retrieval.scored_lines(texts, r)).select("response_id", *_RETRIEVED)
+    names = [*_NUMERIC, "duration_seconds", "n_background", "n_other", "n_unclear", "n_empty", "tutor_fraction", "background_fraction", "unclear_fraction", *_RETRIEVED, *[c for c in turns.columns if c != "response_id"]]
+    df = _base(spark, d).join(found, "response_id", "left").join(turns, "response_id", "left")
+    return df.select("response_id", "session_id", "fold", "target", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), names
+
+
 @query()
 def trees_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda: models.numeric_trees(_NUMERIC))
+    """Both tree sizes; model names the size."""
+    df, names = _dense(spark, d)
+    parts = [models.out_of_fold(df, lambda depth=depth: models.numeric_trees(names, depth=depth)).withColumn("model", F.lit(model)) for model, depth in models.TREE_DEPTHS.items()]
+    return reduce(DataFrame.unionByName, parts)
