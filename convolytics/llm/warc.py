@@ -2,7 +2,8 @@
 
 Headers, without payloads, are shuffled by payload digest; of records with equal payloads of at least min_bytes bytes
 that with the smallest id is the response, the others become revisit records that refer to it. Only revisits are
-joined to the pages again, by id, so that a payload moves at most once, by a key that isn't skewed.
+joined to the pages again, by id and digest, so that a payload moves at most once, by a key that isn't skewed. Where an
+id comes again with another payload (a recrawl), each payload has its own response or revisit.
 
 Archives are written with Spark's text writer: a row is a record, the line separator the two line ends that close it.
 So they go to any store that Spark writes to, and failed tasks leave nothing behind. Reading goes by Content-Length.
@@ -41,7 +42,7 @@ def record_id(page_id: Column) -> Column:
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, refers_to of the revisits, from page_id, payload_bytes, payload_digest of all records."""
+    """page_id, refers_to, payload_digest of the revisits, from page_id, payload_bytes, payload_digest of all records."""
     long = headers.where(F.col("payload_bytes") >= min_bytes)
     first = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     return long.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "refers_to", "payload_digest").distinct()
@@ -51,8 +52,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, payload_col: str = "h
     """Write the pages (page_id, url, payload) as deduplicated archives into the new folder path."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     headed = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
-    revisits = materialize(resolve(headed.select("page_id", "payload_bytes", "payload_digest"), min_bytes).select("page_id", "refers_to"), "warc-revisits")
-    rows = headed.join(revisits, "page_id", "left")
+    revisits = materialize(resolve(headed.select("page_id", "payload_bytes", "payload_digest"), min_bytes), "warc-revisits")
+    rows = headed.join(revisits, ["page_id", "payload_digest"], "left")
     text = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "%0A")
     page_id = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -106,5 +107,5 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 def restore(archive: DataFrame) -> DataFrame:
     """The archive's records with the payloads of revisits taken from the responses they refer to."""
-    originals = archive.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload").alias("_original"))
-    return archive.join(originals, "refers_to", "left").withColumn("payload", F.coalesce("payload", "_original")).drop("_original")
+    originals = archive.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload").alias("_original")).dropDuplicates(["refers_to", "payload_digest"])
+    return archive.join(originals, ["refers_to", "payload_digest"], "left").withColumn("payload", F.coalesce("payload", "_original")).drop("_original")

@@ -193,6 +193,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_of_a_recrawled_page(spark, tmp_path):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "own"), (4, "own"), (1, "other")]
+    warc.write(spark.createDataFrame([(i, f"u{i}", h) for i, h in rows], "page_id long, url string, html string"), str(tmp_path / "w"))
+    archive = warc.read(spark, str(tmp_path / "w"))
+    kinds = {(1, "a", None), (2, "b", None), (3, "a", 1), (3, "b", 2), (3, "own", None), (4, "own", 3), (1, "other", None)}
+    out = warc.restore(archive).collect()
+    assert len(out) == len(rows) and {(r.page_id, r.payload.decode(), r.refers_to) for r in out} == kinds
+    assert archive.where("record_type = 'response'").count() == 4
+
+
 def brute_components(texts, k=5, percent=75):
     sets = [set(s.tolist()) for s in shingles.shingle_sets(texts, k)]
     root = list(range(len(texts)))
