@@ -24,9 +24,14 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def lowered(text: Column) -> Column:
+    """All letters in lower case, with one small sigma: which one lower() takes depends on what stands around it."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def words(text: Column, exact: bool = True) -> Column:
     """Words of a text, A-Z in lower case; not exact: all letters in lower case, which is faster."""
-    lower = F.translate(text, _UPPER, _LOWER) if exact else F.lower(text)
+    lower = F.translate(text, _UPPER, _LOWER) if exact else lowered(text)
     return F.coalesce(F.array_remove(F.split(lower, SEPARATOR), ""), F.array().cast("array<string>"))
 
 
@@ -63,7 +68,7 @@ def fingerprints(df: DataFrame, ws: str, short: list[int], whole: bool) -> DataF
 def alignments(docs: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
     """id_col, item_id, shifts: where, by a shared fingerprint, an item may stand in a document."""
     short = sorted(r[0] for r in items.where(F.size("item_words").between(1, SPAN - 1)).select(F.size("item_words")).distinct().collect())
-    of_items = fingerprints(items.select("item_id", F.transform("item_words", F.lower).alias("ws")), "ws", short, True).withColumnRenamed("pos", "item_pos")
+    of_items = fingerprints(items.select("item_id", F.transform("item_words", lowered).alias("ws")), "ws", short, True).withColumnRenamed("pos", "item_pos")
     of_docs = fingerprints(docs.select(id_col, words(F.col("text"), exact=False).alias("ws")), "ws", short, False)
     found = of_docs.join(of_items, ["kind", "h"]).select(id_col, "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     return found.groupBy(id_col, "item_id").agg(F.collect_set("shift").alias("shifts"))

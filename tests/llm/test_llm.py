@@ -181,6 +181,13 @@ def test_decontamination_against_all_windows(spark):
     assert decontam.decontaminate(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_capital_sigmas(spark):
+    item = " ".join(f"ΛΟΓΟΣ{i}.ΣΟΣ.Α" for i in range(12))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(1, item), (2, f"x {item} y")], "doc_id long, text string")
+    assert {r.doc_id: r.contaminated for r in decontam.decontaminate(d, b).collect()} == {1: True, 2: True}
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u1", "same"), (2, None, "same"), (3, "u3", None), (4, "u4", ""), (5, "u5\r\nX: y", "a\r\n\r\nWARC/1.1 b é")], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"))
