@@ -6,12 +6,15 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, HashingTF, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, Imputer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,37 @@ def embedding_logistic(vector: str, c: float = 0.1, n: int = 1000, columns: Sequ
     return Pipeline(stages=[*dense, VectorAssembler(inputCols=[vector, *(["_dense"] if columns else [])], outputCol="_features"), logistic("_features", 1 / (c * n))])
 
 
+class DampedCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln of the counts of a sparse vector."""
+
+    @keyword_only
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        damped = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+        return df.withColumn(self.getOutputCol(), damped(self.getInputCol()))
+
+
+def tf_idf_terms(terms: str, out: str, features: int, least: int) -> list:
+    """Stages over an array column of terms: (1 + ln tf) * idf of the most frequent terms, rows of length 1."""
+    counts = CountVectorizer(inputCol=terms, outputCol=f"{out}_c", vocabSize=features, minDF=least)
+    return [counts, DampedCounts(inputCol=f"{out}_c", outputCol=f"{out}_t"), IDF(inputCol=f"{out}_t", outputCol=f"{out}_i"), Normalizer(inputCol=f"{out}_i", outputCol=out)]
+
+
+def tf_idf_words(text: str, out: str, features: int = 30_000, least: int = 2) -> list:
+    """Stages: words and pairs of words as one vocabulary."""
+    words = RegexTokenizer(inputCol=text, outputCol=f"{out}_w1", pattern=r"(?U)\w+", gaps=False, minTokenLength=2)
+    both = SQLTransformer(statement=f"SELECT *, concat({out}_w1, {out}_w2) AS {out}_terms FROM __THIS__")
+    return [words, NGram(n=2, inputCol=f"{out}_w1", outputCol=f"{out}_w2"), both, *tf_idf_terms(f"{out}_terms", out, features, least)]
+
+
+def tf_idf_logistic(blocks: dict[str, list], alpha: float = 1e-4) -> Pipeline:
+    """On the blocks, name: stages that make it, side by side; for a penalty C on n rows, alpha = 1 / (C * n)."""
+    return Pipeline(stages=[*(x for stages in blocks.values() for x in stages), VectorAssembler(inputCols=list(blocks), outputCol="_features"), logistic("_features", alpha)])
+
+
 class NaiveBayesLogistic:
     """Logistic regression on hashed words, each bucket scaled by its log ratio between the classes of the rows fitted."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
 from convolytics.operators import ensembles, models, splits, vectors, views
-from convolytics.plans.feature_queries import _BT, _NUMERIC, _TURNS, _base, _embedded, _texts
+from convolytics.plans.feature_queries import _BT, _NUMERIC, _TURNS, _base, _embedded, _spoken, _texts
 from convolytics.plans.session_queries import P, R, metrics_sql, rounded, terms_sql, tokens_sql
 from convolytics.sources import bindings as B
 from convolytics.sources import sinks
@@ -169,19 +169,24 @@ def family_folds(spark, d):
     return splits.family_folds(e, objectives, 8).select("response_id", "objective_id", "session_id", "family", "fold")
 
 
+def _prefixed(spark, d):
+    """The base with the role-prefixed words of each response's feedback windows."""
+    return _base(spark, d).join(feedback_symbols(spark, d).select("response_id", "prefixed"), "response_id", "left").fillna("", ["prefixed"])
+
+
 @query()
 def text_and_dense_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda: models.text_and_dense_logistic("objective", _NUMERIC, 1 << 12))
+    return models.out_of_fold(_spoken(spark, d), lambda: models.text_and_dense_logistic("full_text", _NUMERIC))
 
 
 @query()
 def nb_logistic_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), models.NaiveBayesLogistic("objective", 1 << 12))
+    return models.out_of_fold(_prefixed(spark, d), models.NaiveBayesLogistic("prefixed"))
 
 
 @query()
 def session_weighted_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), models.SessionWeighted(models.text_and_dense_logistic("objective", _NUMERIC, 1 << 12, weight="weight")))
+    return models.out_of_fold(_spoken(spark, d), models.SessionWeighted(models.text_and_dense_logistic("full_text", _NUMERIC, weight="weight")))
 
 
 @query()

@@ -229,9 +229,39 @@ def logistic_oof(spark, d):
     return models.out_of_fold(_base(spark, d), lambda: models.numeric_logistic(_NUMERIC))
 
 
+def _spoken(spark, d):
+    """The base with the session's transcript."""
+    return _base(spark, d).join(_texts(spark, d), "session_id", "left").fillna("", ["full_text", "closing_text"])
+
+
 @query()
 def text_logistic_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda: models.hashed_text_logistic("objective", 1 << 12))
+    return models.out_of_fold(_spoken(spark, d), lambda: models.hashed_text_logistic("full_text"))
+
+
+@query()
+def objective_logistic_oof(spark, d):
+    return models.out_of_fold(_base(spark, d), lambda: models.hashed_text_logistic("objective", 1 << 14))
+
+
+@query()
+def objective_tf_idf_oof(spark, d):
+    return models.out_of_fold(_base(spark, d), lambda: models.tf_idf_logistic({"_o": models.tf_idf_words("objective", "_o")}))
+
+
+@query()
+def transcript_tf_idf_oof(spark, d):
+    """Words of the transcript beside those of the objective."""
+    blocks = lambda: {"_t": models.tf_idf_words("full_text", "_t", 60_000, 3), "_o": models.tf_idf_words("objective", "_o", 20_000)}
+    return models.out_of_fold(_spoken(spark, d), lambda: models.tf_idf_logistic(blocks()))
+
+
+@query()
+def closing_tf_idf_oof(spark, d):
+    """Characters of the transcript's end beside those of the objective."""
+    grams = _spoken(spark, d).withColumns({f"_{c}": T.padded_ngrams(F.col(c), 3, 5) for c in ("closing_text", "objective")})
+    blocks = lambda: {"_t": models.tf_idf_terms("_closing_text", "_t", 60_000, 4), "_o": models.tf_idf_terms("_objective", "_o", 20_000, 2)}
+    return models.out_of_fold(grams, lambda: models.tf_idf_logistic(blocks()))
 
 
 _RETRIEVED = ["lines", "positive_lines", "terms", "matched_terms", "coverage", "first_match", "last_match", "mean_positive_score", "max_score"]

@@ -5,6 +5,8 @@ import os
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from convolytics import queries
@@ -163,3 +165,22 @@ def test_trees_have_the_reference_size(spark, monkeypatch):
 def test_small_trees_learn(spark):
     df = spark.createDataFrame([(float(i % 10), int(i % 10 > 4)) for i in range(60)], "x double, target int")
     assert models.numeric_trees(["x"], rounds=3, step=0.5, leaf=5).fit(df).transform(df).where("prediction <> target").count() == 0
+
+
+def test_tf_idf_model_learns(spark, tmp_path):
+    df = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", i % 2) for i in range(20)], "k int, t string, target int")
+    fitted = models.fit_and_save(df, {"m": models.tf_idf_logistic({"_o": models.tf_idf_words("t", "_o")})}, str(tmp_path))["m"]
+    out = fitted.transform(df)
+    assert out.where("prediction <> target").count() == 0 and sorted(fitted.stages[3].vocabulary) == ["bad", "bad poor", "fine", "good", "good fine", "poor"]
+    assert PipelineModel.load(str(tmp_path / "m")).transform(df).where("prediction <> target").count() == 0
+
+
+@pytest.mark.parametrize(("name", "width", "text"), [("text_logistic_oof", 1 << 15, "full_text"), ("text_and_dense_oof", 1 << 15, "full_text"), ("session_weighted_oof", 1 << 15, "full_text"), ("nb_logistic_oof", 1 << 17, "prefixed")])
+def test_text_models_read_what_was_said(spark, monkeypatch, name, width, text):
+    made = []
+    monkeypatch.setattr(models, "out_of_fold", lambda df, pipeline: made.append((df, pipeline() if callable(pipeline) else pipeline)) or df)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df, p = made[0]
+    stages = models.word_hashes(p.text, "_text", p.features) if isinstance(p, models.NaiveBayesLogistic) else getattr(p, "pipeline", p).getStages()
+    assert {s.getNumFeatures() for s in stages if isinstance(s, HashingTF)} == {width} and stages[0].getInputCol() == text
+    assert df.where(F.length(text) > 20).count() > 0
