@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolytics.llm import ann, chat, decontam, html_text, jaccard, langid, piece_bpe, token_count, toxicity, warc
@@ -19,12 +19,28 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def chat_log(rows: DataFrame) -> DataFrame:
+    """An event log that folds into the rows (conv_id, turn, role, text): each is a message with a reference of its own,
+    whose text comes as two deltas; by turn also after a draft that is edited or regenerated."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), text.cast("string").alias("text")) for i, (kind, text) in enumerate(events)])
+
+    none, draft, way = F.lit(None), F.lit("draft"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    plain = log(("message", none), ("delta", first), ("delta", second))
+    edited, again = log(("message", draft), ("edit", first), ("delta", second)), log(("message", draft), ("regenerate", none), ("delta", first), ("delta", second))
+    events = F.when(F.col("turn").isNull(), log(("message", F.col("text")))).when(way == 1, edited).when(way == 2, again).otherwise(plain)
+    rows = rows.withColumn("ref", F.monotonically_increasing_id().cast("string")).select("conv_id", "turn", "ref", "role", F.explode(events).alias("e"))
+    return rows.select("conv_id", (F.col("turn").cast("long") * 4 + F.col("e.i")).alias("seq"), "e.kind", "ref", "role", "e.text")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("ref"), "role", "text")
-    return chat.read_back(chat.format_chats(events), ordered=True)
+    return chat.read_back(chat.format_chats(chat_log(rows)), ordered=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

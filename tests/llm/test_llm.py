@@ -111,6 +111,23 @@ def test_chat_events_fold_into_messages(spark):
     assert chat.format_chats(e.limit(0)).count() == 0
 
 
+def test_chat_query_goes_through_the_fold(spark, monkeypatch):
+    from convolytics.llm import queries
+
+    seen, real = [], chat.format_chats
+    monkeypatch.setattr(chat, "format_chats", lambda events: seen.append(events) or real(events))
+    out = queries.op3_chat_formatting(spark, "/root/testdata/sf0.001")
+    assert {r.kind for r in seen[0].select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and seen[0].where("ref is null").count() == 0
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    said = collections.defaultdict(list)
+    for r in sorted([tuple(r) for r in rows] + [(-1, i, x, "</s>[INST] ok [/INST]") for i, x in enumerate(("user", "assistant"))]):
+        said[r[0]].append(f"{r[2]}\n{r[3]}\n")
+    assert {r.conv_id: (r.n_turns, r.turns_sha256) for r in out.collect()} == {c: (len(x), hashlib.sha256("".join(x).encode()).hexdigest()) for c, x in said.items()}
+    odd = spark.createDataFrame([(1, 0, None, None), (1, 1, "user", ""), (1, 1, "user", ""), (1, 2, "user", "é𝒳x"), (2, None, "user", "z")], "conv_id long, turn long, role string, text string")
+    got = chat.messages(queries.chat_log(odd)).collect()
+    assert sorted((r.conv_id, r.role or "", r.text) for r in got) == [(1, "", ""), (1, "user", ""), (1, "user", ""), (1, "user", "é𝒳x"), (2, "user", "z")]
+
+
 @pytest.mark.parametrize("text", ["", "\\<[", "<\\|", "[INST]</s><|turn|>", "a\\\\b<[\\"])
 def test_escapes_are_reversible(text):
     assert chat.unescape(chat.escape(text)) == text
