@@ -172,6 +172,21 @@ def test_nearest_neighbours_with_copies_and_unusable_vectors(spark):
     assert ann.knn(few, few.where("vec_id = 0")).count() == 2 and ann.knn(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_of_a_part_of_the_leaves(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 16)), 50, 0) + 0.2 * rng.normal(size=(2000, 16))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = ann.knn(v, v.where("vec_id % 40 = 0"), leaf_rows=16, probes=24, sample_rows=2000).collect()
+    found = 0
+    for q in range(0, 2000, 40):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = {i for i in np.argsort(d, kind="stable").tolist() if i != q and i in set(np.argsort(d)[:11].tolist())}
+        got = {r.vec_id: r.score for r in out if r.query_id == q}
+        assert all(abs(s - d[i]) < 1e-9 for i, s in got.items())
+        found += len(best & set(got))
+    assert 0.8 * 500 <= found
+
+
 def test_decontamination_against_all_windows(spark):
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(30)] + ["É", "é"]
