@@ -25,12 +25,17 @@ def held_out(id_col: str) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new folder that all executors share, below spark.checkpoint.dir, in one folder for each application.
+
+    Where that is unset, a local folder serves a local master; a cluster is refused, since its executors couldn't see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-convolytics-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/convolytics-{spark.conf.get('spark.app.id', 'local')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -86,15 +91,20 @@ class Memo(dict):
         return value
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def byte_blocks(texts: Iterable[str | None], limit: int) -> Iterator[list[str]]:
-    """Runs of whole texts of about limit characters each; null becomes empty. A longer text is a run of its own."""
+    """Runs of whole texts of about limit bytes (UTF-8) each; null becomes empty. A longer text is a run of its own."""
     block, size = [], 0
     for text in texts:
         text = text or ""
-        if block and size + len(text) > limit:
+        more = n_bytes(text)
+        if block and size + more > limit:
             yield block
             block, size = [], 0
         block.append(text)
-        size += len(text)
+        size += more
     if block:
         yield block
