@@ -1,16 +1,22 @@
 """Main text of web pages by tree scoring.
 
-Blocks of text pass points for their length and commas to the elements around them, less with each level; an element's
-points are discounted by its link density. The best container is taken, widened to the article or main element that it
-stands in, and joined by those of its siblings that look like text. Menus, headers, footers, sidebars, notices,
-adverts, forms, comments and markup are cut from the tree beforehand, by element, role and the words of class and id.
+Blocks of text pass points for their length and commas to the elements around them, half as many with each level; an
+element's points are discounted by its link density. The best container is taken, widened to the article or main element
+that it stands in, and joined by those of its siblings that look like text. Elements that can't be the article (menus,
+headers, footers, sidebars, forms, scripts and so on, by name or role) are left out, and so are those whose class or id
+speaks against them on balance; if nothing is left without the latter, the page is scored again with them.
 
-Broken markup is read leniently: missing end tags are implied, wrong ones ignored. Null and empty pages give "".
+Broken markup is read leniently: missing end tags are implied, wrong ones ignored. The time is linear in the length of
+a page, also where it is nested deeply: open elements are counted by name, scores are summed once from the leaves up.
+References are decoded in each piece of text by itself. Null, empty and textless pages give "". Each row is its own
+page: repeated rows and ids give repeated results, empty tables empty ones.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,37 +41,97 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget pagination pager skip login paywall disclaimer".split())
 KEPT = frozenset("html body article main".split())
+ARTICLE_WORDS = frozenset("article content main story post entry body text page hentry blog news column".split())
+HEADING_WORDS = frozenset("header banner masthead".split())
+STATE_WORDS = frozenset("has with no without is not show hide".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "points", "score", "chars", "link_chars", "enter", "leave")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, unlikely: bool = False):
+        self.tag, self.parent, self.children, self.dropped, self.unlikely = tag, parent, [], dropped, unlikely
 
 
-def _unlikely(tag: str, attributes: str, in_article: bool) -> bool:
+def _verdict(token: str) -> int:
+    """What one class token says: 1 for the article, -1 against it, 0 nothing."""
+    words = [w.lower() for w in _NAME_WORD.findall(token)]
+    against = [w for w in words if w in UNLIKELY]
+    if not against:
+        return int(any(w in ARTICLE_WORDS for w in words))
+    if any(w in STATE_WORDS for w in words):
+        return 0
+    return 0 if all(w in HEADING_WORDS for w in against) and any(w in ARTICLE_WORDS for w in words) else -1
+
+
+def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """If the element is left out, and if its class and id speak against it."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attributes or attributes.isspace() or tag in ("a", "br"):
-        return False
+        return False, False
+    balance, against = 0, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "role" and value.lower() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in KEPT and any(w.lower() in UNLIKELY for w in _NAME_WORD.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in KEPT:
+            said = [_verdict(token) for token in value.split()]
+            balance, against = balance + sum(said), against or -1 in said
+    return False, against and balance < 0
+
+
+class _Open:
+    """The open elements, innermost last, and the depths at which each name is open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.depths, self.blocks = [root], defaultdict(list), []
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close all from this depth on."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def deepest(self, tags: frozenset[str]) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        depth = self.deepest(frozenset((tag,)))
+        if depth and (tag in BLOCK or not self.blocks or self.blocks[-1] < depth):
+            self.cut(depth)
+
+    def imply(self, shut: frozenset[str], fence: frozenset[str]) -> None:
+        """Close the outermost element of shut inside the innermost one of fence; of paragraphs the innermost one."""
+        barrier, found = self.deepest(fence), []
+        for t in shut:
+            at = self.depths.get(t)
+            if at and at[-1] > barrier:
+                found.append(at[-1] if t == "p" else at[bisect_right(at, barrier)])
+        if found:
+            self.cut(min(found))
+
+
+_P, _P_FENCE = frozenset("p"), frozenset("table td th button".split())
 
 
 def parse(html: str) -> Node:
     """Tree of the page; text below dropped elements isn't kept."""
-    root = top = Node("html", None)
-    at, end, articles = 0, len(html), 0
+    root = Node("html", None)
+    opened = _Open(root)
+    at, end = 0, len(html)
     lower: str | None = None
     while at < end:
         m = _MARKUP.search(html, at)
+        top = opened.stack[-1]
         if (stop := m.start() if m else end) > at and not top.dropped:
             top.children.append(html[at:stop])
         if not m:
@@ -76,53 +142,50 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            node, crossed = top, False
-            while node is not root and node.tag != tag:
-                crossed |= node.tag in BLOCK
-                node = node.parent
-            if node is root or crossed and tag not in BLOCK:
-                continue
-            while top is not node.parent:
-                articles -= top.tag in ("article", "main")
-                top = top.parent
+            opened.end(tag)
             continue
         if tag in ("html", "body"):
             continue
-        shut, fence = IMPLIED.get(tag, (frozenset("p") if tag in CLOSES_P else frozenset(), frozenset("table td th button".split())))
-        if shut:
-            node = top
-            while node is not root and node.tag not in fence:
-                if node.tag in shut:
-                    top = node.parent
-                    if shut == frozenset("p"):
-                        break
-                node = node.parent
-        node = Node(tag, top, top.dropped or _unlikely(tag, attributes, articles > 0))
-        if not node.dropped:
+        if tag in IMPLIED:
+            opened.imply(*IMPLIED[tag])
+        elif tag in CLOSES_P:
+            opened.imply(_P, _P_FENCE)
+        top = opened.stack[-1]
+        dropped, unlikely = (True, False) if top.dropped else _judge(tag, attributes, bool(opened.depths.get("article") or opened.depths.get("main")))
+        node = Node(tag, top, dropped, unlikely)
+        if not dropped:
             top.children.append(node)
         if tag in RAW:
             lower = lower or html.lower()
             at = lower.find(f"</{tag}", at)
             at = end if at < 0 else at
             at = end if (shut_at := html.find(">", at)) < 0 else shut_at + 1
-        elif tag not in VOID and not attributes.endswith("/") or tag in BLOCK and tag not in VOID:
-            top = node
-            articles += tag in ("article", "main")
+        elif tag not in VOID and (tag in BLOCK or not attributes.endswith("/")):
+            opened.push(node)
     return root
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """(block element, text) in page order; chars and link_chars of all elements are set."""
+def blocks(root: Node, strict: bool = True) -> list[tuple[Node, str]]:
+    """(block element, text) in page order, without unlikely elements if strict. Sets the nodes' points, score, chars,
+    link_chars, and enter and leave: a node stands inside another if it is entered while the other is."""
     out: list[tuple[Node, str]] = []
     buffer: list[str] = []
+    clock = 0
 
     def flush(owner: Node) -> None:
         if buffer:
-            if text := " ".join(unescape("".join(buffer)).split()):
+            if text := " ".join("".join(buffer).split()):
                 out.append((owner, text))
+                owner.points.append((len(text), text.count(",")))
             buffer.clear()
 
-    stack: list[tuple[Node, Node, Iterator, bool]] = [(root, root, iter(root.children), False)]
+    def begin(node: Node) -> Node:
+        nonlocal clock
+        clock += 1
+        node.enter, node.points, node.score, node.chars, node.link_chars = clock, [], 0.0, 0, 0
+        return node
+
+    stack: list[tuple[Node, Node, Iterator, bool]] = [(begin(root), root, iter(root.children), False)]
     while stack:
         node, owner, children, linked = stack[-1]
         child = next(children, None)
@@ -130,20 +193,29 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
             stack.pop()
             if node.tag in BLOCK:
                 flush(owner)
+            node.leave = clock
+            texts = node.points if node.link_chars * 2 <= node.chars else []
+            node.points = sum(1 + commas + length / 100 for length, commas in texts)
+            node.score += node.points * (node.parent is None)
             if node.parent:
                 node.parent.chars += node.chars
                 node.parent.link_chars += node.link_chars
+                node.parent.score += node.points + node.score / 2
         elif isinstance(child, str):
-            buffer.append(child)
-            n = len(child.strip())
+            piece = unescape(child) if "&" in child else child
+            buffer.append(piece)
+            n = len(piece.strip())
             node.chars += n
             node.link_chars += n * linked
+        elif strict and child.unlikely:
+            continue
         else:
             if child.tag in BLOCK:
                 flush(owner)
             elif child.tag == "br":
                 buffer.append(" ")
-            stack.append((child, child if child.tag in BLOCK else owner, iter(child.children), linked or child.tag == "a"))
+            inner = child if child.tag in BLOCK else owner
+            stack.append((begin(child), inner, iter(child.children), linked or child.tag == "a"))
     flush(root)
     return out
 
@@ -152,48 +224,65 @@ def _density(node: Node) -> float:
     return node.link_chars / node.chars if node.chars else 0.0
 
 
-def main_text(html: str | None) -> str:
-    root = parse(html or "")
-    found = blocks(root)
-    if not found:
-        return ""
-    above: dict[int, Node] = {}
-    for owner, text in found:
-        if _density(owner) > 0.5 and owner.link_chars:
-            continue
-        points = 1 + text.count(",") + len(text) / 100
-        node, level = owner.parent or owner, 0
-        while node is not None:
-            node.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            above[id(node)] = node
-            node, level = node.parent, level + 1
-    if not above:
-        return ""
-    best = max(above.values(), key=lambda n: n.score * (1 - _density(n)))
-    node = best
+def _ancestors(node: Node | None) -> Iterator[Node]:
     while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-            if node.tag == "article":
-                break
+        yield node
         node = node.parent
-    kept = {id(best)}
-    if best.tag not in KEPT and best.parent:
-        least = max(1.0, 0.2 * best.score)
-        for x in best.parent.children:
-            if isinstance(x, Node) and _density(x) < 0.33 and (x.score >= least or x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") or x.chars > 80):
-                kept.add(id(x))
-
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.parent
+
+
+def _looks_like_text(node: Node, least: float) -> bool:
+    if _density(node) >= 0.33 or not node.chars:
         return False
+    return node.score + node.points >= least or node.tag in ("p", "h1", "h2", "h3", "blockquote", "pre") or node.chars > 80
+
+
+def _best(root: Node) -> Node | None:
+    best, most, stack = None, 0.0, [root]
+    while stack:
+        node = stack.pop()
+        value = node.score * (1 - _density(node))
+        if value > most or value == most > 0 and node.enter < best.enter:
+            best, most = node, value
+        stack.extend(x for x in node.children if isinstance(x, Node) and x.enter)
+    return best
+
+
+def _pick(root: Node, strict: bool) -> str:
+    _clear(root)
+    found = blocks(root, strict)
+    best = _best(root) if found else None
+    if best is None:
+        return ""
+    around = [x for x in _ancestors(best) if x.tag in ("article", "main")]
+    best = next((x for x in around if x.tag == "article"), around[-1] if around else best)
+    kept = [best]
+    if best.parent:
+        least = max(1.0, 0.2 * best.score)
+        alike = (lambda x: x.tag == best.tag) if best.tag in KEPT else (lambda x: True)
+        kept += [x for x in best.parent.children if isinstance(x, Node) and x.enter and x is not best and alike(x) and _looks_like_text(x, least)]
+    spans = sorted((x.enter, x.leave) for x in kept)
+    starts = [a for a, _ in spans]
+
+    def inside(node: Node) -> bool:
+        i = bisect_right(starts, node.enter) - 1
+        return i >= 0 and node.enter <= spans[i][1]
 
     return "\n".join(text for owner, text in found if inside(owner))
 
 
+def _clear(root: Node) -> None:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.enter = 0
+        stack.extend(x for x in node.children if isinstance(x, Node))
+
+
+def main_text(html: str | None) -> str:
+    root = parse(html or "")
+    return _pick(root, True) or _pick(root, False)
+
+
 def extract(html: Column) -> Column:
     """Column of the main text of each page."""
 
@@ -206,5 +295,5 @@ def extract(html: Column) -> Column:
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with text and n_chars (code points), which replace columns of these names."""
+    """pages with text and n_chars (code points), which replace columns of these names; whole pages of any length."""
     return put(put(pages, text=extract(F.col(html_col))), n_chars=F.length("text").cast("long"))
