@@ -156,7 +156,7 @@ def test_nearest_neighbours_with_copies_and_unusable_vectors(spark):
     x[50:90] = x[5]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0] * 7 + [float("nan")]), (903, [1.0, None] * 4), (904, [1.0] * 3)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    out = ann.knn(v, v.where("vec_id % 20 = 0"), leaf_rows=32, probes=60, sample_rows=100).collect()
+    out = ann.knn(v, v.where("vec_id % 20 = 0"), leaf_rows=32, sample_rows=100).collect()
     got = collections.defaultdict(list)
     for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
         got[r.query_id].append((r.vec_id, r.score))
@@ -172,19 +172,32 @@ def test_nearest_neighbours_with_copies_and_unusable_vectors(spark):
     assert ann.knn(few, few.where("vec_id = 0")).count() == 2 and ann.knn(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_nearest_neighbours_of_a_part_of_the_leaves(spark):
+def test_nearest_neighbours_scan_few_rows_of_structured_vectors(spark):
     rng = np.random.default_rng(4)
-    x = np.repeat(rng.normal(size=(40, 16)), 50, 0) + 0.2 * rng.normal(size=(2000, 16))
-    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    out = ann.knn(v, v.where("vec_id % 40 = 0"), leaf_rows=16, probes=24, sample_rows=2000).collect()
-    found = 0
-    for q in range(0, 2000, 40):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        best = {i for i in np.argsort(d, kind="stable").tolist() if i != q and i in set(np.argsort(d)[:11].tolist())}
-        got = {r.vec_id: r.score for r in out if r.query_id == q}
-        assert all(abs(s - d[i]) < 1e-9 for i, s in got.items())
-        found += len(best & set(got))
-    assert 0.8 * 500 <= found
+    x = np.repeat(rng.normal(size=(400, 32)), 50, 0) + 0.15 * rng.normal(size=(20_000, 32))
+    ids = range(len(x))
+    v = spark.createDataFrame([(i, r) for i, r in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>").repartition(4).cache()
+    q = v.where("vec_id % 200 = 0")
+    distinct, points = v.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v")), q.select(F.col("vec_id").alias("point"), F.col("embedding").alias("v"))
+    forest = ann.grow_forest(distinct, points, len(x), 10, 12, 65_536, 64, 64, 0.95)
+    leaves = forest.leaf_of(x)
+    assert max(np.bincount(leaves[:, t]).max() for t in range(12)) <= 72
+    scanned = [sum((leaves[:, c >> 32] == (c & 0xFFFFFFFF)).sum() for c in ann.search(forest.trees, x[i], forest.threshold).tolist()) for i in range(0, len(x), 200)]
+    assert np.mean(scanned) < 0.05 * len(x)
+    out, found = ann.knn(v, q).collect(), 0
+    for i in range(0, len(x), 200):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        got = {r.vec_id: r.score for r in out if r.query_id == i}
+        assert all(abs(s - d[j]) < 1e-9 for j, s in got.items())
+        found += len(set(np.argsort(d, kind="stable")[1:11].tolist()) & set(got))
+    assert found >= 0.9 * 1000
+
+
+def test_nearest_neighbours_with_repeated_ids_ties_and_clashing_names(spark):
+    rows = [(0, [0.0, 1.0], 9, 9.0), (1, [1.0, 0.0], 9, 9.0), (1, [0.0, 1.0], 9, 9.0), (1, [0.0, 1.0], 9, 9.0), (5, [0.0, 2.0], 9, 9.0), (4, [0.0, 0.5], 9, 9.0), (3, [0.0, 1.5], 9, 9.0), (None, [0.0, 1.0], 9, 9.0)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double")
+    out = [(r["rank"], r.vec_id, round(r.score, 6)) for r in ann.knn(v, v.where("vec_id = 0"), k=5).orderBy("rank").collect()]
+    assert out == [(1, 1, 0.0), (2, 1, 0.0), (3, 3, 0.5), (4, 4, 0.5), (5, 5, 1.0)]
 
 
 def test_decontamination_against_all_windows(spark):
