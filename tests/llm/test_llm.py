@@ -256,7 +256,11 @@ def test_warc_of_a_recrawled_page(spark, tmp_path):
 
 
 def brute_components(texts, k=5, percent=75):
-    sets = [set(s.tolist()) for s in shingles.shingle_sets(texts, k)]
+    """Components and set sizes by the contract's words, without the operator's code."""
+    lower, sets = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)}), []
+    for t in texts:
+        w = re.findall("[^\\x20\\x09-\\x0d]+", (t or "").translate(lower))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()})
     root = list(range(len(texts)))
 
     def find(i):
@@ -272,27 +276,49 @@ def brute_components(texts, k=5, percent=75):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-def near_copies(seed, groups, size, words=40):
+def near_copies(seed, groups, size, words=40, changes=3):
     rng = np.random.default_rng(seed)
     out = []
     for g in range(groups):
         base = [f"g{g}w{x}" for x in rng.integers(0, 500, words)]
         for _ in range(size):
             w = list(base)
-            for p in rng.integers(0, words, rng.integers(0, 3)):
+            for p in rng.integers(0, words, rng.integers(0, changes)):
                 w[p] = f"e{rng.integers(0, 9)}"
             out.append(" ".join(w))
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"cell_shingles": 400, "n_pivots": 3, "depth": 1}, {"cell_shingles": 200, "depth": 0}])
+@pytest.mark.parametrize("how", [{}, {"max_sets": 5, "region_sets": 5, "n_pivots": 3}, {"max_sets": 6, "depth": 0}, {"cell_shingles": 300, "n_pivots": 4, "depth": 1}])
 def test_jaccard_join_is_exact(spark, how):
-    texts = [None, "", "a b", "A  b", "a", *near_copies(1, 6, 12), "x y z " * 30, "x y z " * 31]
+    texts = [None, "", "a b", "A  b", "a", *near_copies(1, 3, 14), *near_copies(2, 2, 14, changes=9), "x y z " * 30, "x y z " * 31, "q " * 20_000, "a\x0bb\x1cc d e f"]
     want, sizes = brute_components(texts)
-    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, component_id int")
+    d = spark.createDataFrame([(i, t, 1, 7) for i, t in enumerate(texts)], "doc_id long, text string, component_id int, id int")
     out = {r.doc_id: r for r in jaccard.near_duplicates(d, **how).collect()}
     assert [out[i].component_id for i in range(len(texts))] == want and [out[i].n_shingles for i in range(len(texts))] == sizes
-    assert jaccard.near_duplicates(d.limit(0)).count() == 0
+    assert out[3].id == 7 and len(set(want)) > 8
+
+
+def test_voronoi_regions_divide_large_cells(spark, monkeypatch):
+    seen, real = [], jaccard.regions
+    monkeypatch.setattr(jaccard, "regions", lambda s, r: seen.append((s.count(), s.where("done").count())) or real(s, r))
+    texts = near_copies(3, 1, 150, words=60, changes=2) + near_copies(4, 1, 80, words=60, changes=5)
+    want, _ = brute_components(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(d, region_sets=20).collect()} == dict(enumerate(want))
+    assert len(seen) > 1 and seen[0][1] > 0.4 * seen[0][0]
+
+
+def test_jaccard_join_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    rows = [(4, a), (4, b), (4, b), (2, b), (9, a), (None, a), (None, None), (7, None), (7, None), (7, a), (1, "other words")]
+    d = spark.createDataFrame([(*r, "s") for r in rows], "id long, text string, n string")
+    out = jaccard.near_duplicates(d, id_col="id")
+    got = collections.Counter((r.id, r.text, r.component_id) for r in out.collect())
+    assert got == collections.Counter([(4, a, 4), (4, b, 2), (4, b, 2), (2, b, 2), (9, a, 4), (None, a, None), (None, None, None), (7, None, 7), (7, None, 7), (7, a, 4), (1, "other words", 1)])
+    left = collections.Counter((r.id, r.text) for r in jaccard.survivors(d, id_col="id").collect())
+    assert left == collections.Counter([(4, a), (2, b), (None, a), (None, None), (7, None), (7, None), (1, "other words")])
+    assert jaccard.near_duplicates(d.limit(0), id_col="id").count() == 0 and out.columns == ["id", "text", "n", "n_shingles", "component_id"]
 
 
 def test_components(spark):
