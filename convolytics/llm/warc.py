@@ -8,8 +8,12 @@ id comes again with another payload (a recrawl), each payload has its own respon
 Archives are written with Spark's text writer: a row is a record, the line separator the two line ends that close it.
 So they go to any store that Spark writes to, and failed tasks leave nothing behind. Reading goes by Content-Length.
 
+Archives are rolled by bytes: records of alike size go to files of so many records that a file, which is read as one
+cell, stays small (SIZES). Sizes that no record has are not written.
+
 Null payloads count as empty. Rows that repeat the smallest id of a payload are responses too; a null id never is
-referred to. Other columns than those named are left out.
+referred to, and its rows are responses. Other columns than those named are left out, whatever their names. An empty
+table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from pyspark.sql import functions as F
 from convolytics.llm.common import materialize
 
 EOL, CLOSE = "\r\n", "\r\n\r\n"
+#: (payload bytes up to, records a file): a file holds about 64 MB at most, or one larger record.
+SIZES = ((1 << 15, 2000), (1 << 20, 64), (None, 1))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 2000
 
 
 def payload_digest(payload: Column) -> Column:
@@ -38,7 +43,8 @@ def payload_digest(payload: Column) -> Column:
 
 def record_id(page_id: Column) -> Column:
     h = F.md5(F.concat(F.lit("page "), page_id.cast("string")))
-    return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -48,20 +54,43 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     return long.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "refers_to", "payload_digest").distinct()
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, payload_col: str = "html", date: str = "2020-01-01T00:00:00Z") -> None:
-    """Write the pages (page_id, url, payload) as deduplicated archives into the new folder path."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    headed = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
-    revisits = materialize(resolve(headed.select("page_id", "payload_bytes", "payload_digest"), min_bytes), "warc-revisits")
-    rows = headed.join(revisits, ["page_id", "payload_digest"], "left")
-    text = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))
+def _line(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(EOL))
+
+
+def _record(date: str) -> Column:
+    """A row's record without the line ends that close it."""
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "%0A")
     page_id = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CLOSE))
-    common = F.concat(text("WARC-Record-ID", record_id(page_id)), text("WARC-Date", F.lit(date)), text("WARC-Target-URI", url), text("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), text("X-Page-ID", page_id), text("X-Payload-Length", F.col("payload_bytes")))
-    revisit = F.concat(F.lit(f"WARC/1.1{EOL}WARC-Type: revisit{EOL}"), common, text("WARC-Profile", F.lit(PROFILE)), text("WARC-Refers-To", record_id(F.col("refers_to"))), text("X-Refers-To-Page-ID", F.col("refers_to")), F.lit(f"Content-Length: 0{CLOSE}")).cast("binary")
-    response = F.concat(F.concat(F.lit(f"WARC/1.1{EOL}WARC-Type: response{EOL}"), common, F.lit(f"Content-Type: application/http; msgtype=response{EOL}"), text("Content-Length", F.octet_length(http) + F.col("payload_bytes")), F.lit(EOL), http).cast("binary"), F.col("payload"))
-    rows.select(F.when(F.col("refers_to").isNotNull(), revisit).otherwise(response).cast("string").alias("value")).write.option("lineSep", CLOSE).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    common = F.concat(
+        _line("WARC-Record-ID", record_id(page_id)), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", url),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), _line("X-Page-ID", page_id), _line("X-Payload-Length", F.col("payload_bytes")),
+    )
+    revisit = F.concat(
+        F.lit(f"WARC/1.1{EOL}WARC-Type: revisit{EOL}"), common, _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id(F.col("refers_to"))),
+        _line("X-Refers-To-Page-ID", F.col("refers_to")), F.lit(f"Content-Length: 0{CLOSE}"),
+    )
+    head = F.concat(
+        F.lit(f"WARC/1.1{EOL}WARC-Type: response{EOL}"), common, F.lit(f"Content-Type: application/http; msgtype=response{EOL}"),
+        _line("Content-Length", F.octet_length(http) + F.col("payload_bytes")), F.lit(EOL), http,
+    )
+    response = F.concat(head.cast("binary"), F.col("payload"))
+    return F.when(F.col("refers_to").isNotNull(), revisit.cast("binary")).otherwise(response).cast("string")
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0, payload_col: str = "html", date: str = "2020-01-01T00:00:00Z", sizes: tuple = SIZES) -> None:
+    """Write the pages (page_id, url, payload) as deduplicated archives below the new folder path, one folder a size."""
+    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+    size = F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long")
+    least = [0, *(most + 1 for most, _ in sizes[:-1])]
+    tier = sum(((size >= x).cast("int") for x in least[1:]), F.lit(0))
+    headed = pages.select("page_id", "url", payload.alias("payload"), size.alias("payload_bytes"), tier.alias("tier")).withColumn("payload_digest", payload_digest(F.col("payload")))
+    used = {r[0] for r in pages.select(tier.alias("tier")).distinct().collect()} or {0}
+    revisits = materialize(resolve(headed.select("page_id", "payload_bytes", "payload_digest"), min_bytes), "warc-revisits")
+    for i in sorted(used):
+        rows = headed.where(F.col("tier") == i).join(revisits, ["page_id", "payload_digest"], "left")
+        rows.select(_record(date).alias("value")).write.option("lineSep", CLOSE).option("maxRecordsPerFile", sizes[i][1]).text(f"{path}/size-{i}")
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -101,7 +130,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
