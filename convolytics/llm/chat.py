@@ -2,13 +2,15 @@
 
 A log has one row per event: conversation, sequence, kind, message reference, role, text. Kinds: `message` (a whole
 text), `delta` (text to append), `edit` (a new text), `regenerate` (empties the text for the deltas that follow),
-`delete`. Events with a reference are folded message by message first, so that a long conversation isn't folded in one
-task; events without a reference are messages of their own. The messages are then partitioned by conversation, sorted
-by sequence and rendered as a stream: only one part of PART_CHARS of a conversation is in memory.
+`delete`. Events are folded message by message first, so that a long conversation isn't folded in one task. An event
+without a reference belongs to the last `message` event without one before it in its conversation, by sequence; such
+events before any message are a message of their own. The messages are then partitioned by conversation, sorted by
+sequence and rendered as a stream: only one part of PART_CHARS of a conversation is in memory.
 
 In the template a turn is `<|turn|>ROLE`, a line end, the text, `<|end|>`, a line end. Inside roles and texts a
 backslash is put behind each backslash, `<` and `[`, so that no control string survives, and taken away on reading.
-Nulls count as empty. Events of one sequence are ordered by kind, role and text; repeated rows are kept.
+Nulls count as empty. Events of one sequence are ordered by kind, role and text; repeated rows are kept. Other columns
+of the log are left out, whatever their names; an empty log gives no parts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TURN, END = "<|turn|>", "<|end|>\n"
 PART_CHARS, MAX_BATCH = 1 << 18, 512
@@ -36,17 +39,24 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def _referred(events: DataFrame) -> DataFrame:
+    """The events, with a reference of their own for those that have none: how many such messages came up to them."""
+    e = events.select(*EVENT)
+    so_far = Window.partitionBy("conv_id").orderBy("seq", F.col("kind") != "message", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    own = e.where(F.col("ref").isNull()).withColumn("ref", F.concat(F.lit("\0"), F.count_if(F.col("kind") == "message").over(so_far).cast("string")))
+    return e.where(F.col("ref").isNotNull()).unionByName(own)
+
+
 def messages(events: DataFrame) -> DataFrame:
     """conv_id, seq, role, text of the messages that remain when all events are folded; seq is a message's first."""
-    e = events.select(*EVENT)
-    alone = e.where(F.col("ref").isNull() & F.col("kind").isin("message", "delta", "edit"))
-    folded = e.where(F.col("ref").isNotNull()).groupBy("conv_id", "ref").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"), F.min("seq").alias("seq"), F.min_by("role", F.struct("seq", "kind", "role")).alias("role"))
+    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log")
+    folded = _referred(events).groupBy("conv_id", "ref").agg(log, F.min("seq").alias("seq"), F.min_by("role", F.struct("seq", F.col("kind") != "message", "kind", "role")).alias("role"))
+    # All but deltas begin the text anew: what is left counts from the last of them on.
     begins = F.filter(F.sequence(F.lit(1), F.size("log")), lambda i: F.element_at("log", i)["kind"] != "delta")
     tail = F.expr("slice(log, greatest(1, coalesce(array_max(begins), 1)), size(log))")
-    last = F.col("tail")[0]["kind"]
-    folded = folded.withColumn("begins", begins).withColumn("tail", tail).where(last != "delete")
-    text = F.array_join(F.transform(F.filter("tail", lambda x: x["kind"] != "regenerate"), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return alone.select("conv_id", "seq", "role", "text").unionByName(folded.select("conv_id", "seq", "role", text.alias("text")))
+    folded = folded.withColumn("begins", begins).withColumn("tail", tail).where(F.col("tail")[0]["kind"] != "delete")
+    pieces = F.transform(F.filter("tail", lambda x: x["kind"] != "regenerate"), lambda x: F.coalesce(x["text"], F.lit("")))
+    return folded.select("conv_id", "seq", "role", F.array_join(pieces, "").alias("text"))
 
 
 _PART = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
