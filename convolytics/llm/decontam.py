@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM, WINDOW, SPAN = 6, 8, 13
-POSITION_BITS = 26
+#: Room for the positions of all words that a string can hold: it has less than 2**31 bytes, a word and its blank two.
+POSITION_BITS = 30
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
