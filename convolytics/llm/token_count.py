@@ -5,7 +5,9 @@ can cross (its normalizer turns white space into one blank and its pre-tokenizer
 to the library in one piece, and the count of a text is the sum over its words. A memo keeps the counts of words seen
 before; unseen ones go to the library in batches of about equal bytes.
 
-Null and empty texts have 0 tokens. Special strings inside a word stay in one piece, so that the library finds them.
+Null and empty texts have 0 tokens. Special strings inside a word stay in one piece, so that the library finds them; a
+word without any blank stays whole, however long it is (the library's merging takes n log n time), and only short words
+are remembered. Repeated rows count alike, columns of the results' names are replaced, empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from convolytics.llm.common import byte_blocks, put, resident
 
-BATCH_CHARS, MEMO_WORDS = 1 << 20, 600_000
+BATCH_BYTES, MEMO_WORDS, LONG_WORD = 1 << 20, 600_000, 256
 #: Letters, then perhaps ASCII punctuation but the apostrophe: the pre-tokenizer always cuts between the two.
 _CUT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _BLANK = str.maketrans("\n\t\r", "   ")
@@ -44,10 +46,10 @@ class WordCounter:
         known, cut = self.known, {w: m.groups() for w in words if (m := _CUT.fullmatch(w))}
         letters = list({a.lower() for a, _ in cut.values()} - known.keys())
         others = list(({b for _, b in cut.values()} | (words - cut.keys())) - known.keys())
-        for block in byte_blocks(letters, BATCH_CHARS // 16):
+        for block in byte_blocks(letters, BATCH_BYTES // 16):
             ids = np.array(self.encode([" ".join(block)], add_special_tokens=False)[0].ids)
             known.update(zip(block, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1).tolist(), strict=True))
-        for block in byte_blocks(others, BATCH_CHARS // 16):
+        for block in byte_blocks(others, BATCH_BYTES // 16):
             known.update(zip(block, (len(e.ids) for e in self.encode(block, add_special_tokens=False)), strict=True))
         known.update({w: known[a.lower()] + (known[b] if b else 0) for w, (a, b) in cut.items()})
 
@@ -59,7 +61,18 @@ class WordCounter:
             if missing := seen - self.known.keys():  # the memo has started again
                 self.learn(missing)
         get = self.known.__getitem__
-        return [sum(map(get, words)) for words in split]
+        counts = [sum(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > LONG_WORD:
+                self.forget(w)
+        return counts
+
+    def forget(self, word: str) -> None:
+        """Long words aren't remembered, so that the memo's bytes are bounded."""
+        cut = _CUT.fullmatch(word)
+        for w in (word, *((cut[1].lower(), cut[2]) if cut else ())):
+            if len(w) > LONG_WORD:
+                self.known.pop(w, None)
 
 
 def _counter(path: str) -> WordCounter:
@@ -76,7 +89,7 @@ def n_tokens(text: Column, path: str) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counter(path)
         for texts in batches:
-            yield pa.array([n for block in byte_blocks(texts.to_pylist(), BATCH_CHARS) for n in counter.count(block)], pa.int64())
+            yield pa.array([n for block in byte_blocks(texts.to_pylist(), BATCH_BYTES) for n in counter.count(block)], pa.int64())
 
     return count(text)
 

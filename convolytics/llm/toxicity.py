@@ -5,8 +5,10 @@ bias; a text's score is their noisy-or, 1 - prod(1 - sentence score). Only texts
 through the noisy-or; sentences of a high score are then the offending ones. A word's weight is the sum of the
 weights of the word and of its beginnings of 3 to 6 letters, which lets inflected forms share what is learned.
 
-The fit uses a bounded sample of labelled rows (max_docs and max_chars, drawn by a hash of the id) on the driver; scoring is an Arrow function over all whole texts. Null and empty texts have no sentence and so score 0.
-Repeated rows score alike; nothing depends on the order of rows.
+The fit uses a bounded sample of labelled rows on the driver: max_docs rows and max_chars characters, drawn by a hash of
+the id, and of a text of more than max_text_chars only a slice at a place that the hash names. Scoring is an Arrow
+function over all whole texts. Null and empty texts have no sentence and so score 0. Repeated rows score alike; nothing
+depends on the order of rows. Empty tables give no rows; without labels, or with one label only, all score alike.
 """
 
 from __future__ import annotations
@@ -158,7 +160,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 250, rate: float = 0.
     return Model(float(bias), {f: float(w) for f, w in zip(chosen, theta, strict=True) if w > 1e-2})
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_chars: int = 16_000_000, **how) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 6000, max_chars: int = 16_000_000,
+    max_text_chars: int = 200_000, **how,
+) -> Model:
     """Fit on about max_docs rows and max_chars characters at most, drawn at one rate by a hash of the id.
 
     Rows with a null text or a label other than 0 and 1 aren't used. Lengths are counted before labels are joined, and
@@ -166,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    lengths = texts.select("_doc", F.length("_text").alias("_chars")).join(known, F.col("_doc") == F.col("_id"))
+    lengths = texts.select("_doc", F.least(F.length("_text"), F.lit(max_text_chars)).alias("_chars")).join(known, F.col("_doc") == F.col("_id"))
     found = {int(r[0]): (r[1], r[2] or 1) for r in lengths.groupBy("_label").agg(F.count("*"), F.sum("_chars")).collect()}
     if not found:
         return Model()
@@ -174,7 +179,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(_SAMPLE_SPACE))
     limit = math.ceil(_SAMPLE_SPACE * rate)
     rows = texts.where(drawn("_doc") < limit).join(known, F.col("_doc") == F.col("_id"))
-    sample = sorted(rows.select(drawn("_doc"), "_doc", "_label", "_text").collect(), key=lambda r: (r[0], str(r[1]), r[2], r[3]))
+    room = F.greatest(F.length("_text") - max_text_chars, F.lit(0)) + 1
+    part = F.substring(F.col("_text"), (F.pmod(F.xxhash64("_doc"), room) + 1).cast("int"), F.lit(max_text_chars))
+    sample = sorted(rows.select(drawn("_doc"), "_doc", "_label", part).collect(), key=lambda r: (r[0], str(r[1]), r[2], r[3]))
     return fit([r[3] for r in sample], [r[2] for r in sample], **how)
 
 
@@ -199,7 +206,7 @@ def offending(text: Column, model: Model, at_least: float = 0.3) -> Column:
             out = []
             for t in texts.to_pylist():
                 spans = [(m.start(), m.end()) for m in SENTENCE.finditer(t or "")]
-                scores = [float(s[0]) for s in (model.scores([t[a:b]], memo) for a, b in spans)]
+                scores = model.scores([t[a:b] for a, b in spans], memo).tolist()
                 out.append([{"start": a, "end": b, "score": s} for (a, b), s in zip(spans, scores, strict=True) if s >= at_least])
             yield pa.array(out, kind)
 
