@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from convolytics.llm import ann, chat, decontam, html_text, jaccard, langid, piece_bpe, token_count, toxicity, warc
 from convolytics.llm.common import scratch, table
+from convolytics.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_formatting, op4_toxicity, op5_html_extraction, op6_sentencepiece, op7_nearest_neighbours, op8_decontamination, op9_warc, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+
