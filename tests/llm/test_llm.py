@@ -327,16 +327,6 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_pipeline_keeps_clean_documents(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    all_docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    kept = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
-    bad = {r.doc_id for r in decontam.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
-    assert kept < all_docs and not kept & bad and len(kept) > 0.5 * len(all_docs)
-
-
 def test_cell_components_match_brute_force():
     import numpy as np
 
