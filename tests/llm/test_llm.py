@@ -301,7 +301,7 @@ def test_jaccard_join_is_exact(spark, how):
 
 def test_voronoi_regions_divide_large_cells(spark, monkeypatch):
     seen, real = [], jaccard.regions
-    monkeypatch.setattr(jaccard, "regions", lambda s, r: seen.append((s.count(), s.where("done").count())) or real(s, r))
+    monkeypatch.setattr(jaccard, "regions", lambda s, *how: seen.append((s.count(), s.where("done").count())) or real(s, *how))
     texts = near_copies(3, 1, 150, words=60, changes=2) + near_copies(4, 1, 80, words=60, changes=5)
     want, _ = brute_components(texts)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
