@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convolytics.functions.text import clip
-from convolytics.operators.metrics import all_metrics, log_loss
+from convolytics.operators import expect
+from convolytics.operators.metrics import all_metrics, log_loss, pooled_and_by_fold
 
 
 def blend(weights: Mapping[str, float]) -> Column:
@@ -119,3 +120,65 @@ def continuation(overall: DataFrame, folds: DataFrame, by: Sequence[str] = ("pro
     out = out.withColumn("keeps_both", F.col("keeps_auc") & (-F.col("gated_log_loss_vs_base") >= -0.8 * F.col("combined_log_loss_vs_base")))
     out = out.withColumns({"path_a": (F.col("gain_over_combined") >= 0.0003) & F.col("keeps_auc"), "path_b": (F.col("worst_fold_reduction") >= 0.001) & F.col("keeps_both")})
     return out.select(*by, "gain_over_combined", "combined_worst_fold", "gated_worst_fold", "worst_fold_reduction", "keeps_auc", "keeps_both", "path_a", "path_b", (F.col("path_a") | F.col("path_b")).alias("continues"))
+
+
+# Weights of the named recipes.
+RECIPES = {
+    "semantic_quarter": {"v02": 0.75, "semantic": 0.25},
+    "encoder_hybrid": {"v02": 0.5, "semantic": 0.25, "bge_base": 0.25},
+    "encoder_replaced": {"v02": 0.5, "bge_base": 0.5},
+    "session_weighted": {"v02": 0.7, "nbsvm": 0.3},
+}
+
+
+def recipes(df: DataFrame, named: Mapping[str, Mapping[str, float]] = RECIPES, keep: Sequence[str] = ("protocol", "response_id", "target")) -> DataFrame:
+    """keep, recipe, p: the blend of each named recipe, in one pass."""
+    each = F.array(*[F.struct(F.lit(n).alias("recipe"), clip(blend(w)).alias("p")) for n, w in named.items()])
+    return df.select(*keep, F.explode(each).alias("r")).select(*keep, "r.*")
+
+
+def component_chain(components: Mapping[str, DataFrame], keys: Sequence[str] = ("protocol", "response_id")) -> DataFrame:
+    """The components' predictions side by side, joined one to one on the keys; components that don't have just the same
+    keys, each once, are refused."""
+    (first, chain), *rest = [(n, df.select(*keys, F.col("p").alias(n))) for n, df in components.items()]
+    expect.check(expect.all_of(*[expect.aligned(chain, df, keys, f"{first} and {n}") for n, df in rest]))
+    for _, df in rest:
+        chain = chain.join(df, list(keys))
+    return chain
+
+
+def shrink_search(df: DataFrame, p: str, prior: str, by: Sequence[str] = ("protocol",), steps: int = 100) -> DataFrame:
+    """by, weight, log_loss: the weight of p against the prior, of steps + 1, with the least log loss (to 9 digits; ties
+    to the smaller weight)."""
+    sweep = weight_sweep(df, prior, p, [i / steps for i in range(steps + 1)], by)
+    return best(sweep.withColumn("log_loss", F.round("log_loss", 9)), by, ["log_loss", "weight"])
+
+
+def fold_deltas(df: DataFrame, p: str, baseline: str, by: Sequence[str] = ("protocol",), fold: str = "fold", target: str = "target") -> DataFrame:
+    """by, fold (-1: all), delta_log_loss, delta_auc and wins: metrics of p less those of baseline, and in how many folds
+    p has the lower log loss."""
+    both = F.array(*[F.struct(F.lit(k).alias("model"), F.col(c).alias("p")) for k, c in (("own", p), ("base", baseline))])
+    long = df.select(*by, fold, target, F.explode(both).alias("m")).select(*by, fold, target, "m.*")
+    m = pooled_and_by_fold(long, [*by, "model"])
+    d = deltas(m, "base", [*by, fold]).drop("model")
+    wins = d.where(F.col(fold) >= 0).groupBy(*by).agg(F.count_if(F.col("delta_log_loss") < 0).alias("wins"))
+    return d.join(wins, list(by))
+
+
+def leaderboard(metrics: DataFrame, n: int) -> DataFrame:
+    """The n best rows: least log loss, then greatest AUC."""
+    return metrics.orderBy("log_loss", F.desc_nulls_last("auc"), *[c for c in ("protocol", "model") if c in metrics.columns]).limit(n)
+
+
+def softmax(logits: Sequence[str], names: Sequence[str]) -> dict[str, Column]:
+    """Probabilities of the logits and the differences of neighbours, as columns by name."""
+    top = F.greatest(*logits)
+    e = [F.exp(F.col(c) - top) for c in logits]
+    total = sum(e[1:], e[0])
+    p = {f"p_{n}": x / total for n, x in zip(names, e, strict=True)}
+    pairs = [(0, len(names) - 1), (0, 1)]
+    out = {**{f"logit_{n}": F.col(c) for n, c in zip(names, logits, strict=True)}, **p}
+    for i, j in pairs:
+        out[f"p_{names[i]}_less_{names[j]}"] = list(p.values())[i] - list(p.values())[j]
+    out[f"logit_{names[0]}_less_{names[-1]}"] = F.col(logits[0]) - F.col(logits[-1])
+    return out

@@ -90,3 +90,50 @@ def all_of(*rules: DataFrame) -> DataFrame:
 def check(rules: DataFrame) -> None:
     if broken := rules.where("violations > 0").collect():
         raise ExpectationFailed(", ".join(f"{r.rule}: {r.violations}" for r in broken))
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "aligned") -> DataFrame:
+    """Both sides have the keys once each, and the same ones."""
+    either = unique(a, keys).unionByName(unique(b, keys)).unionByName(same_keys(a, b, keys))
+    return either.agg(F.sum("violations").alias("violations")).select(F.lit(name).alias("rule"), "violations")
+
+
+def named_by_file(df: DataFrame, key: str, name: str = "named_by_file") -> DataFrame:
+    """Rows whose file isn't named by their key; df must come straight from files."""
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    return _rule(name, df.where(~stem.eqNullSafe(F.col(key).cast("string"))))
+
+
+def purged(pairs: DataFrame, folded: DataFrame, keys: Sequence[str], name: str = "purged") -> DataFrame:
+    """Keys that stand on both sides of a fold, over all folds: pairs has the training rows by eval_fold."""
+    held = folded.withColumnRenamed("fold", "eval_fold")
+    both = [pairs.select("eval_fold", k).distinct().join(held.select("eval_fold", k).distinct(), ["eval_fold", k]).select(F.lit(k).alias("key")) for k in keys]
+    return _rule(name, reduce(DataFrame.unionByName, both))
+
+
+def row_counts(recorded: DataFrame, found: DataFrame, key: str, name: str = "row_counts") -> DataFrame:
+    """Tables whose number of rows isn't the recorded one; both sides have key and rows."""
+    both = recorded.select(key, F.col("rows").alias("_a")).join(found.select(key, F.col("rows").alias("_b")), key, "full_outer")
+    return _rule(name, both.where("not (_a <=> _b)"))
+
+
+def matches(pattern: str, text: Column) -> Column:
+    """True for a row whose text isn't all of the pattern."""
+    return ~F.coalesce(text.rlike(f"^(?:{pattern})$"), F.lit(False))
+
+
+def identical_settings(runs: DataFrame, settings: Sequence[str], fold: str = "fold", k: int = 5, name: str = "identical_settings") -> DataFrame:
+    """Runs by fold have one setting, and each fold from 0 to k - 1 once."""
+    n = runs.agg(F.count_distinct(F.struct(*settings)).alias("s"), F.count_distinct(F.when(F.col(fold).between(0, k - 1), F.col(fold))).alias("f"), F.count("*").alias("n"))
+    return n.select(F.lit(name).alias("rule"), (F.greatest(F.col("s") - 1, F.lit(0)) + (k - F.col("f")) + (F.col("n") - F.col("f"))).alias("violations"))
+
+
+def complete(df: DataFrame, column: str, wanted: Sequence[str], name: str = "complete") -> DataFrame:
+    """Values that the column should have and hasn't, or has and shouldn't."""
+    have = df.agg(F.collect_set(F.col(column).cast("string")).alias("h"))
+    listed = F.array(*map(F.lit, wanted))
+    return have.select(F.lit(name).alias("rule"), (F.size(F.array_except(listed, "h")) + F.size(F.array_except("h", listed))).cast("long").alias("violations"))
+
+
+def single_value(df: DataFrame, column: str, name: str = "single_value") -> DataFrame:
+    return df.agg(F.count_distinct(column).alias("n")).select(F.lit(name).alias("rule"), F.abs(F.col("n") - 1).alias("violations"))

@@ -20,7 +20,7 @@ def dialogue_turns(texts: DataFrame, text_col: str = "full_text") -> DataFrame:
 
 def turn_overlaps(texts: DataFrame, responses: DataFrame, cues: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """One row per response and turn: position, overlap with the objective, words and cue flags."""
-    cues = cues or T.lexicon(T.TURN_CUES)
+    cues = cues or T.TURN_CUES
     content = F.col("content")
     flag = lambda name, role: F.when(F.col("role") == role, T.has_cue(content, cues[name])).otherwise(0.0).alias(name)
     turns = dialogue_turns(texts).select("session_id", "at", "n", "role", T.tokens(content).alias("tokens"), T.space_words(content).cast("double").alias("words"), flag("affirm", "tutor"), flag("correction", "tutor"), flag("uncertainty", "student"), flag("reasoning", "student"))

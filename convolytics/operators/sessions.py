@@ -51,7 +51,7 @@ def role_texts(u: DataFrame, fraction: float = 0.25) -> DataFrame:
 
 def behavior(u: DataFrame, cues: Mapping[str, Sequence[str]] | None = None, fraction: float = 0.25) -> DataFrame:
     """16 lexical counters of a session. Counts are per utterance, then summed: no cue spans two of them."""
-    cues = cues or T.lexicon(T.SESSION_CUES)
+    cues = cues or T.SESSION_CUES
     content, role = F.col("content"), F.col("role")
     tutor, student = role == "tutor", role == "student"
     total = lambda value, keep: F.sum(F.when(keep, value).otherwise(0))
@@ -82,3 +82,34 @@ def modeling_base(resp: DataFrame, features: DataFrame) -> DataFrame:
     share = lambda c: F.col(c) / F.col("n_utterances")
     out = resp.join(features, "session_id", "left")
     return out.withColumns({"objective_chars": F.length("objective"), "objective_words": T.space_words(F.col("objective")), "student_fraction": share("n_student"), "tutor_fraction": share("n_tutor"), "background_fraction": share("n_background"), "unclear_fraction": share("n_unclear")})
+
+
+def token_lengths(df: DataFrame, text_col: str = "text", by: Sequence[str] = ()) -> DataFrame:
+    """texts, mean_tokens, p95_tokens (interpolated), max_tokens of the texts' words between blanks; null texts have none."""
+    n = T.space_words(F.col(text_col))
+    one = [F.count("*").alias("texts"), F.avg("_n").alias("mean_tokens"), F.percentile("_n", 0.95).alias("p95_tokens"), F.max("_n").alias("max_tokens")]
+    return df.withColumn("_n", n).groupBy(*by).agg(*one)
+
+
+def log_counts(df: DataFrame, counts: Sequence[str]) -> DataFrame:
+    """df with each of the counts replaced by the logarithm of 1 + it; below 0 counts as 0."""
+    return df.withColumns({c: F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in counts})
+
+
+def replace_rows(stored: DataFrame, computed: DataFrame, key: str, over: Column) -> DataFrame:
+    """stored, but with the computed rows where `over` holds for the stored one: only those need to be computed."""
+    stale = stored.where(over).select(key)
+    fresh = computed.join(stale, key, "left_semi").select(*stored.columns)
+    return stored.where(~F.coalesce(over, F.lit(False))).unionByName(fresh)
+
+
+def changed_rows(before: DataFrame, after: DataFrame, allowed: Column) -> DataFrame:
+    """Rows that differ between the two though `allowed` doesn't hold for them: the audit of replace_rows."""
+    keep = ~F.coalesce(allowed, F.lit(False))
+    a, b = before.where(keep), after.where(keep)
+    return a.exceptAll(b).unionByName(b.exceptAll(a))
+
+
+def remaining(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What isn't done yet: a run that was broken off goes on with these."""
+    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from convolytics.functions import text as T
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
@@ -160,3 +162,28 @@ def knn_predictions(df: DataFrame, m: int = 20, k: int = 128, w: float = 0.35, t
     out = df.select("response_id", F.col("fold").alias("eval_fold")).join(priors, "eval_fold").join(sums, "response_id", "left")
     p = (F.coalesce("swy", F.lit(0.0)) + mass * F.col("prior")) / (F.coalesce("sw", F.lit(0.0)) + mass)
     return out.select("response_id", F.least(F.greatest(p, F.lit(1e-5)), F.lit(1 - 1e-5)).alias("prediction"))
+
+
+def hashed_counts(terms: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """by, bucket, tf: term counts in n buckets, long, so that no wide vector is made before a model asks for one."""
+    return terms.groupBy(*by, T.bucket(F.col("term"), n).alias("bucket")).agg(F.count("*").alias("tf"))
+
+
+def unit_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """counts with w: tf over the length of its group's vector."""
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*by)))
+    return counts.withColumn("w", F.col("tf") / norm)
+
+
+def fold_tf_idf(terms: DataFrame, min_df: int = 2, k: int = 5) -> DataFrame:
+    """fold, doc, term, weight: TF-IDF rows of unit length, fitted for each fold on the documents of the other folds. terms
+    has fold, doc (one fold each) and term. Frequencies are totals less those of the fold: no document is read k times."""
+    tf = terms.groupBy("fold", "doc", "term").agg(F.count("*").alias("tf"))
+    of_fold = tf.groupBy("fold", "term").agg(F.count("*").alias("own"))
+    whole = of_fold.groupBy("term").agg(F.sum("own").alias("all_"))
+    sizes = terms.groupBy("fold").agg(F.count_distinct("doc").alias("d"))
+    n = sizes.crossJoin(sizes.agg(F.sum("d").alias("t"))).select("fold", (F.col("t") - F.col("d")).alias("n"))  # k rows, one row
+    df = of_fold.join(whole, "term").select("fold", "term", (F.col("all_") - F.col("own")).alias("df")).where(F.col("df") >= min_df)
+    w = (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+    rows = tf.join(df, ["fold", "term"]).join(F.broadcast(n), "fold").withColumn("w", w)
+    return rows.select("fold", "doc", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("fold", "doc")))).alias("weight"))

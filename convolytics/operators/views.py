@@ -91,7 +91,7 @@ def role_prefixed(view: Column) -> Column:
 def feedback_events(view: Column, cues: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Each answer of a view that feedback follows, as symbols on its own line: place, link to the objective, cues and
     their crossings."""
-    cues = cues or T.lexicon(T.TURN_CUES)
+    cues = cues or T.TURN_CUES
     lines = T.parse_lines(view)
     objective = F.coalesce(F.get(F.reverse(F.filter(lines, lambda x: x["role"] == "objective")), F.lit(0))["content"], F.lit(""))
     said = F.filter(lines, lambda x: ~x["role"].isin("objective", "unknown"))

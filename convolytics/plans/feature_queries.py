@@ -140,17 +140,26 @@ _AUDITED = f"""{PLACED}, {LONG}, texts AS (SELECT session_id, string_agg(line, c
  mg >= 0.002 AS gain_gate, protocol_loss_wins = protocols AS all_gate, flw >= 0.7 AS win_gate, coalesce(wr <= 0.001, false) AS regression_gate FROM s""")
 def candidate_audit_regimes(spark, d):
     """The whole audit: gates over protocols, their folds and the regimes of responses and their sessions."""
+    audited = ensembles.audit_scorecard(candidate_regime_card(spark, d), "v02")
+    return rounded(audited, "median_gain", "mean_gain", "mean_auc_gain", "fold_loss_wins", "fold_auc_wins", "worst_fold", "worst_regime", digits=5)
+
+
+def regime_columns(spark, d):
+    """response_id, the five quantile regimes and session_objectives."""
     r = B.responses(spark, d)
     lines = retrieval.statistics(retrieval.scored_lines(_texts(spark, d), r)).select("response_id", "coverage")
     base = sessions.modeling_base(r, sessions.session_features(B.utterances(spark, d))).join(lines, "response_id", "left")
     base = base.join(r.groupBy("objective_id").agg(F.count("*").alias("frequency")), "objective_id").join(r.groupBy("session_id").agg(F.count("*").alias("_s")), "session_id")
     values = F.array(*[F.struct(F.lit(regime).alias("regime"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x")) for regime, c in _REGIMES.items()])
     per_session = F.when(F.col("_s") == 1, "one").when(F.col("_s") == 2, "two").otherwise("three_plus").alias("session_objectives")
-    ranked = metrics.quantile_regime(base.select("response_id", per_session, F.explode(values).alias("v")).select("response_id", "session_objectives", "v.*"), "x", "q", ["regime"])
-    regimes = ranked.groupBy("response_id", "session_objectives").agg(*[F.max(F.when(F.col("regime") == regime, F.col("q"))).alias(regime) for regime in _REGIMES])
-    long = long_predictions(B.predictions(spark, d)).withColumn("fold", F.abs("response_id") % 5).join(regimes, "response_id")
-    card = rounded(metrics.scorecard(long, [*_REGIMES, "session_objectives"], ["protocol", "model"]), "log_loss", "auc")
-    return rounded(ensembles.audit_scorecard(card, "v02"), "median_gain", "mean_gain", "mean_auc_gain", "fold_loss_wins", "fold_auc_wins", "worst_fold", "worst_regime", digits=5)
+    long = base.select("response_id", per_session, F.explode(values).alias("v")).select("response_id", "session_objectives", "v.*")
+    ranked = metrics.quantile_regime(long, "x", "q", ["regime"])
+    return ranked.groupBy("response_id", "session_objectives").agg(*[F.max(F.when(F.col("regime") == regime, F.col("q"))).alias(regime) for regime in _REGIMES])
+
+
+def candidate_regime_card(spark, d):
+    long = long_predictions(B.predictions(spark, d)).withColumn("fold", F.abs("response_id") % 5).join(regime_columns(spark, d), "response_id")
+    return rounded(metrics.scorecard(long, [*_REGIMES, "session_objectives"], ["protocol", "model"]), "log_loss", "auc")
 
 
 _PROTO = f"""{E}, comp AS (SELECT objective_id, unnest(context) AS x, generate_subscripts(context, 1) AS i FROM embedded), means AS (SELECT objective_id, i, avg(x) AS m FROM comp GROUP BY ALL), vecs AS (SELECT objective_id, list(m ORDER BY i) AS v FROM means GROUP BY objective_id),

@@ -31,7 +31,7 @@ def test_parse_lines_and_hypothesis(spark):
 
 
 def test_cues_count_whole_words(spark):
-    assert value(spark, T.cue_count(F.lit("Great! not great? greatest; well done"), T.lexicon(T.SESSION_CUES)["affirm"])) == 3
+    assert value(spark, T.cue_count(F.lit("Great! not great? greatest; well done"), T.SESSION_CUES["affirm"])) == 3
 
 
 def test_repair_features(spark):
