@@ -18,7 +18,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convolytics.operators.splits import purged_train
+from convolytics.operators.splits import purged_pairs, purged_train
+from convolytics.sources.sinks import scratch
 
 
 def numeric_logistic(columns: Sequence[str], c: float = 1.0, target: str = "target", n: int = 1000) -> Pipeline:
@@ -168,15 +169,26 @@ def numeric_trees(columns: Sequence[str], target: str = "target", rounds: int =
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep"), GBTClassifier(featuresCol="_features", labelCol=target, stepSize=step, maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins, checkpointInterval=10, seed=7)])
 
 
-def out_of_fold(df: DataFrame, pipeline: Callable[[], Pipeline] | Pipeline | NaiveBayesLogistic | SessionWeighted, folds: int = 5, key: str = "response_id", purge: str = "session_id") -> DataFrame:
-    """key, fold, target, p. A fold whose training rows hold one class only gets their mean."""
+def out_of_fold(
+    df: DataFrame, pipeline: Callable[[int], Pipeline] | Pipeline | NaiveBayesLogistic | SessionWeighted, folds: int = 5, key: str = "response_id", purge: str = "session_id", target: str = "target"
+) -> DataFrame:
+    """key, fold, target, p. A fold whose training rows hold one class only gets their mean.
+
+    A function gets the number of training rows of the fold, from which penalties are taken. The rows are written once to
+    the shared folder; fits and predictions of all folds read them there.
+    """
+    folder = scratch(df.sparkSession, "oof")
+    df.write.parquet(folder)
+    rows = df.sparkSession.read.schema(df.schema).parquet(folder)
+    train_rows = purged_pairs(rows.select("fold", purge, target), purge, folds).groupBy("eval_fold")
+    facts = {r[0]: r[1:] for r in train_rows.agg(F.count("*"), F.avg(target), F.min(target), F.max(target)).collect()}  # k rows
 
     def one(fold: int) -> DataFrame:
-        train, held = purged_train(df, fold, purge), df.where(F.col("fold") == fold)
-        mean = train.agg(F.avg("target"), F.min("target"), F.max("target")).first()
-        if mean[1] is None or mean[1] == mean[2]:
-            return held.select(key, "fold", "target", F.lit(mean[0] if mean[0] is not None else 0.5).cast("double").alias("p"))
-        model = (pipeline() if callable(pipeline) else pipeline).fit(train)
-        return model.transform(held).select(key, "fold", "target", vector_to_array("probability")[1].alias("p"))
+        held = rows.where(F.col("fold") == fold)
+        n, mean, least, most = facts.get(fold, (0, 0.5, None, None))
+        if least == most:
+            return held.select(key, "fold", target, F.lit(mean).cast("double").alias("p"))
+        model = (pipeline(n) if callable(pipeline) else pipeline).fit(purged_train(rows, fold, purge))
+        return model.transform(held).select(key, "fold", target, vector_to_array("probability")[1].alias("p"))
 
     return reduce(DataFrame.unionByName, [one(f) for f in range(folds)])

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
 from convolytics.operators import ensembles, models, splits, vectors, views
-from convolytics.plans.feature_queries import _BT, _NUMERIC, _TURNS, _base, _embedded, _spoken, _texts
-from convolytics.plans.session_queries import P, R, metrics_sql, rounded, terms_sql, tokens_sql
+from convolytics.plans.feature_queries import _BT, _NUMERIC, _PROTO, _TURNS, ASKED, SCORE, _base, _embedded, _spoken, _texts, part_sql, vector_facts, vector_facts_sql
+from convolytics.plans.session_queries import P, R, metrics_sql, rounded, tokens_sql
 from convolytics.sources import bindings as B
 from convolytics.sources import sinks
 from convolytics.sources.bindings import CUES
@@ -29,16 +26,11 @@ def query(sql: str | None = None):
     return put
 
 
-def _bigrams(words):
-    return f"list_transform(list_zip(({words})[:-2], ({words})[2:]), lambda z: z[1] || ' ' || z[2])"
-
-
-_STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 _LISTED = lambda cues: "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in cues) + "]"
 _HELD = lambda cues, col: f"len(list_filter({_LISTED(cues)}, lambda c: contains(lower({col}), c)))"
 _SHORT = lambda col, n: f"array_to_string(list_filter(regexp_split_to_array({col}, '\\s+'), lambda x: x <> '')[:{n}], ' ')"
-_SCORED = f"""{_TURNS}, asked AS (SELECT response_id, session_id, objective, {terms_sql('objective')} AS ot, list_distinct(list_filter({_bigrams(tokens_sql('objective'))}, lambda b: length(split_part(b, ' ', 1)) >= 3 AND split_part(b, ' ', 1) NOT IN {_STOP} AND length(split_part(b, ' ', 2)) >= 3 AND split_part(b, ' ', 2) NOT IN {_STOP})) AS ob FROM responses),
- sc AS (SELECT response_id, objective, at_, role, content, coalesce(list_sum(list_transform(list_intersect(ot, toks), lambda w: 1 + least(length(w), 10) / 20e0)), 0) + 1.5e0 * len(list_intersect(ob, {_bigrams('toks')})) AS score,
+_SCORED = f"""{_TURNS}, {ASKED},
+ sc AS (SELECT response_id, objective, at_, role, content, {SCORE} AS score,
   CASE WHEN role = 'tutor' THEN {_HELD(T.POSITIVE_FEEDBACK + T.CORRECTIVE_FEEDBACK, 'content')} ELSE 0.5e0 * {_HELD(T.STUDENT_REASONING + T.STUDENT_UNCERTAINTY, 'content')} END AS bonus FROM asked JOIN turns USING (session_id))"""
 
 
@@ -129,36 +121,47 @@ def overlap_blocks(spark, d):
     return vectors.overlap_block(tf, tf.withColumn("doc", F.col("doc") - 1))
 
 
-@query(f"WITH {R}, pri AS (SELECT objective_id, (sum(target) + 20e0 * (SELECT avg(target) FROM responses)) / (count(*) + 20) AS prior FROM responses WHERE response_id % 2 = 0 GROUP BY objective_id) SELECT response_id, round(coalesce(prior, 0.5), 6) AS probability FROM responses LEFT JOIN pri USING (objective_id)")
+@query(f"WITH {R}, pri AS (SELECT objective_id, (sum(target) + 20e0 * (SELECT avg(target) FROM responses)) / (count(*) + 20) AS prior FROM responses GROUP BY objective_id) SELECT response_id, round(coalesce(prior, 0.5), 6) AS probability FROM responses LEFT JOIN pri USING (objective_id)")
 def aligned_scores(spark, d):
     r = B.responses(spark, d)
-    mean = r.agg(F.avg("target").alias("_m"))
-    per = r.where("response_id % 2 = 0").groupBy("objective_id").agg(F.sum("target").alias("y"), F.count("*").alias("n")).crossJoin(mean)
-    priors = per.select("objective_id", ((F.col("y") + 20 * F.col("_m")) / (F.col("n") + 20)).alias("prior"))
-    return rounded(sinks.aligned(r, splits.with_prior(r, priors, "objective_id", 0.5)), "probability")
+    return rounded(sinks.aligned(r, splits.with_prior(r, splits.objective_priors(r), "objective_id", 0.5)), "probability")
 
 
-@query("WITH pri AS (SELECT quality AS g, (count(*) + 1e0) / ((SELECT count(*) FROM labels) + 2) AS prior FROM labels WHERE quality = 1 GROUP BY quality) SELECT doc_id AS response_id, quality::BIGINT AS objective_id, round(coalesce(prior, 0.25), 6) AS probability FROM labels LEFT JOIN pri ON g = quality")
+@query("WITH pri AS (SELECT quality AS g, (count(*) + 1e0) / ((SELECT count(*) FROM labels) + 2) AS prior FROM labels GROUP BY quality) SELECT doc_id AS response_id, quality::BIGINT AS objective_id, round(coalesce(prior, 0.25), 6) AS probability FROM labels LEFT JOIN pri ON g = quality")
 def stream_scores(spark, d):
     """The labels' rows, arriving as a stream, scored by a static table of priors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-convolytics-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = sinks.scratch(spark, "stream")
     rows = B.table(spark, d, "labels").select(F.col("doc_id").alias("response_id"), F.col("quality").cast("long").alias("objective_id"))
     rows.write.parquet(f"{folder}/in")
     total = rows.agg(F.count("*").alias("_n"))
-    priors = rows.where("objective_id = 1").groupBy("objective_id").agg(F.count("*").alias("n")).crossJoin(total).select("objective_id", ((F.col("n") + 1.0) / (F.col("_n") + 2)).alias("prior"))
+    priors = rows.groupBy("objective_id").agg(F.count("*").alias("n")).crossJoin(total).select("objective_id", ((F.col("n") + 1.0) / (F.col("_n") + 2)).alias("prior"))
     schema = "response_id " + rows.schema["response_id"].dataType.simpleString() + ", objective_id bigint"
     return rounded(score_stream(spark, f"{folder}/in", schema, priors, 0.25, f"{folder}/out", f"{folder}/checkpoint"), "probability")
 
 
-@query()
+_FLIPPED = {"context": "context", "objective": "objective", "student": "flipped", "tutor": "context", "feedback": "flipped", "trajectory": "objective", "mean": "mean_"}
+
+
+def _variant_sql(name):
+    return f"flatten([{', '.join(part_sql(kind, _FLIPPED[block], scale) for kind, block, scale in vectors.VARIANTS[name])}])"
+
+
+_ADDED = "list_transform(list_zip(flipped, context, flipped), lambda z: z[1] + z[2] + z[3])"
+
+
+@query(f"""WITH {_PROTO}, f AS (SELECT response_id, context, objective, list_reverse(context) AS flipped FROM embedded JOIN protos USING (objective_id)), m AS (SELECT *, {_ADDED} AS added FROM f),
+ u AS (SELECT *, list_transform(added, lambda x: x / greatest(sqrt(list_dot_product(added, added)), 1e-12)) AS mean_ FROM m), v AS (SELECT *, {', '.join(f'{_variant_sql(n)} AS {n}' for n in vectors.VARIANTS)} FROM u)
+ SELECT response_id, {', '.join(vector_facts_sql(n, n) for n in vectors.VARIANTS)}, round(list_dot_product(objective, flipped), 6) AS cos_objective_student, round(list_dot_product(context, flipped), 6) AS cos_context_student, round(list_dot_product(objective, context), 6) AS cos_objective_tutor,
+  round(list_dot_product(context, context), 6) AS cos_context_tutor, round(list_dot_product(flipped, context), 6) AS cos_student_tutor FROM v""")
 def variant_features(spark, d):
-    """Sizes and sums of two variants of evidence features and the cosines of a view, from the embeddings."""
+    """Sizes and sums of all variants of evidence features and the cosines of two views, from the embeddings."""
     e = _embedded(spark, d)
     flipped = F.reverse("context")
     blocks = {"context": F.col("context"), "objective": F.col("objective"), "student": flipped, "tutor": F.col("context"), "feedback": flipped, "trajectory": F.col("objective")}
-    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
-    return e.select("response_id", *[total(vectors.variant(n, blocks)).alias(n) for n in ("multiview_interaction", "evidence_mean_interaction")], *[F.round(c, 6).alias(n) for n, c in vectors.view_cosines(blocks, ["student"]).items()])
+    facts = [c for n in vectors.VARIANTS for c in vector_facts(F.col(n), n)]
+    cosines = vectors.view_cosines(blocks, ["student", "tutor"])
+    made = e.select("response_id", *[vectors.variant(n, blocks).alias(n) for n in vectors.VARIANTS], *[F.round(c, 6).alias(n) for n, c in cosines.items()])
+    return made.select("response_id", *facts, *cosines)
 
 
 @query()
@@ -176,7 +179,7 @@ def _prefixed(spark, d):
 
 @query()
 def text_and_dense_oof(spark, d):
-    return models.out_of_fold(_spoken(spark, d), lambda: models.text_and_dense_logistic("full_text", _NUMERIC))
+    return models.out_of_fold(_spoken(spark, d), lambda n=0: models.text_and_dense_logistic("full_text", _NUMERIC))
 
 
 @query()
@@ -186,10 +189,10 @@ def nb_logistic_oof(spark, d):
 
 @query()
 def session_weighted_oof(spark, d):
-    return models.out_of_fold(_spoken(spark, d), models.SessionWeighted(models.text_and_dense_logistic("full_text", _NUMERIC, weight="weight")))
+    return models.out_of_fold(_spoken(spark, d), models.SessionWeighted(models.text_and_dense_logistic("full_text", _NUMERIC, alpha=3e-5, weight="weight")))
 
 
 @query()
 def embedding_oof(spark, d):
     e = splits.group_folds(_embedded(spark, d), "session_id").withColumn("pair", vectors.interaction(F.col("context"), F.col("objective")))
-    return models.out_of_fold(models.as_vector(e, "pair", "vector"), lambda: models.embedding_logistic("vector"))
+    return models.out_of_fold(models.as_vector(e, "pair", "vector"), lambda n=1000: models.embedding_logistic("vector", n=n))

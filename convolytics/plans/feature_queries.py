@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
 from convolytics.operators import ensembles, metrics, models, ordered, retrieval, sessions, splits, vectors
-from convolytics.plans.session_queries import LONG, P, PLACED, R, folds_sql, long_predictions, metrics_sql, rounded, terms_sql, tokens_sql
+from convolytics.plans.session_queries import LONG, P, PLACED, R, STOP_SQL, folds_sql, long_predictions, metrics_sql, rounded, terms_sql, tokens_sql
 from convolytics.sources import bindings as B
 from convolytics.sources.bindings import CUES, E
 
@@ -37,10 +37,10 @@ def _has(cues):
 _FULL = f"{PLACED}, {R}, texts AS (SELECT session_id, string_agg(line, chr(10) ORDER BY utterance_id) AS full_text FROM lines GROUP BY session_id)"
 _TURNS = f"""{_FULL}, raw AS (SELECT session_id, unnest(list_filter(list_transform(str_split(full_text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform(str_split(full_text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), 1) AS idx FROM texts),
  said AS (SELECT session_id, idx, lower(regexp_extract(line, '^\\[([A-Z_]+)\\]\\s*(.*)$', 1)) AS role, regexp_extract(line, '^\\[([A-Z_]+)\\]\\s*(.*)$', 2) AS content FROM raw WHERE regexp_matches(line, '^\\[(TUTOR|STUDENT)\\]')),
- turns AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS at_, count(*) OVER (PARTITION BY session_id) AS n, {tokens_sql('content')} AS toks,
+ turns AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) - 1 AS at_, count(*) OVER (PARTITION BY session_id) AS n, {tokens_sql('content')} AS toks, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS words,
   (role = 'tutor' AND {_has(CUES['affirm'])})::INT AS affirm, (role = 'tutor' AND {_has(CUES['correction'])})::INT AS correction, (role = 'student' AND {_has(CUES['uncertainty'])})::INT AS uncertainty, (role = 'student' AND {_has(CUES['reasoning'])})::INT AS reasoning FROM said),
  terms AS (SELECT response_id, session_id, {terms_sql('objective')} AS terms FROM responses),
- t AS (SELECT response_id, at_, n, role, affirm, correction, uncertainty, reasoning, len(list_intersect(terms, toks)) / greatest(1, len(terms)) AS overlap, at_ / greatest(1, n - 1) AS position FROM terms JOIN turns USING (session_id)),
+ t AS (SELECT response_id, at_, n, role, words, affirm, correction, uncertainty, reasoning, len(list_intersect(terms, toks)) / greatest(1, len(terms)) AS overlap, at_ / greatest(1, n - 1) AS position FROM terms JOIN turns USING (session_id)),
  w AS (SELECT *, lead(role) OVER o AS next_role, lead(affirm) OVER o AS na, lead(correction) OVER o AS nc, lag(role) OVER o AS prev_role,
   first(CASE WHEN role = 'student' THEN overlap END IGNORE NULLS) OVER (PARTITION BY response_id ORDER BY at_ ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS later_overlap,
   max(affirm) OVER (PARTITION BY response_id ORDER BY at_ ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS later_affirm FROM t WINDOW o AS (PARTITION BY response_id ORDER BY at_)),
@@ -61,23 +61,76 @@ def ordered_features(spark, d):
     return rounded(out.select("response_id", *[f"ordered_{n}" for n in names]), *[f"ordered_{n}" for n in names])
 
 
-@query()
+def _ordered_sql() -> str:
+    """All features of the order of turns over the relation w."""
+    student, pair = "role = 'student'", "role = 'student' AND next_role = 'tutor'"
+    repair, early, late = f"{pair} AND nc > 0", "position <= 1/3", "position >= 2/3"
+    one = {"dialogue_turns": "count(*)", "student_turns": f"count_if({student})", "tutor_turns": "count_if(role = 'tutor')", "role_switches": "count_if(prev_role <> role)"}
+    for cue in ("affirm", "correction", "uncertainty", "reasoning"):
+        one |= {f"{cue}_early": f"sum({cue}) FILTER ({early})", f"{cue}_late": f"sum({cue}) FILTER ({late})"}
+    for role in ("student", "tutor"):
+        own = f"role = '{role}'"
+        one |= {f"{role}_objective_{k}": f"{f} FILTER ({own})" for k, f in (("mean", "avg(overlap)"), ("max", "max(overlap)"), ("first", "arg_min(overlap, at_)"), ("last", "arg_max(overlap, at_)"), ("positive_share", "avg((overlap > 0)::INT)"))}
+        one |= {f"{role}_{k}_{part}": f"avg({c}) FILTER ({own} AND {when})" for k, c in (("objective", "overlap"), ("words", "words")) for part, when in (("early", early), ("late", late))}
+    paired = {"affirm_pairs": "na", "correction_pairs": "nc", "objective_affirm_pairs": "na * (overlap > 0)::INT", "objective_correction_pairs": "nc * (overlap > 0)::INT", "uncertain_correction_pairs": "uncertainty * nc", "uncertain_affirm_pairs": "uncertainty * na", "reasoning_affirm_pairs": "reasoning * na"}
+    one |= {"feedback_pairs": f"count_if({pair})", **{k: f"sum({x}) FILTER ({pair})" for k, x in paired.items()}}
+    one |= {"repair_opportunities": f"count_if({repair})", "repair_overlap_improved": f"count_if({repair} AND later_overlap > overlap)", "repair_later_affirm": f"count_if({repair} AND later_affirm > 0)", "repair_overlap_delta_mean": f"avg(later_overlap - overlap) FILTER ({repair})"}
+    one |= {f"last_{cue}_position": f"max(position) FILTER (role = 'tutor' AND {cue} > 0)" for cue in ("affirm", "correction")}
+    filled = ", ".join(f"coalesce({k}, {-1 if k.startswith('last_') else 0})::DOUBLE AS {k}" for k in one)
+    derived = {f"{k}_delta": f"{k}_late - {k}_early" for k in ("affirm", "correction", "uncertainty", "reasoning", "student_objective", "tutor_objective", "student_words", "tutor_words")}
+    derived |= {"student_turn_share": "student_turns / greatest(1, dialogue_turns)", "repair_success_rate": "CASE WHEN repair_opportunities > 0 THEN (repair_overlap_improved + repair_later_affirm) / (2 * repair_opportunities) ELSE 0 END"}
+    kept = [k for k in one if k not in ("tutor_objective_first", "tutor_objective_early", "tutor_objective_late")]
+    out = ", ".join(f"round({x}, 6) AS ordered_{k}" for k, x in [*((k, k) for k in kept), *derived.items()])
+    return f"""every AS (SELECT response_id, {', '.join(f'{x} AS {k}' for k, x in one.items())} FROM w GROUP BY response_id), filled AS (SELECT response_id, {filled} FROM responses LEFT JOIN every USING (response_id)) SELECT response_id, {out} FROM filled"""
+
+
+@query(f"WITH {_TURNS}, {_ordered_sql()}")
 def ordered_features_all(spark, d):
-    return ordered.ordered_features(_texts(spark, d), B.responses(spark, d), CUES)
+    out = ordered.ordered_features(_texts(spark, d), B.responses(spark, d), CUES)
+    return rounded(out, *[c for c in out.columns if c != "response_id"])
 
 
 def _contexts(spark, d, *limits):
     lines = retrieval.scored_lines(_texts(spark, d), B.responses(spark, d))
     stats = retrieval.statistics(lines)
-    return stats.join(retrieval.contexts(retrieval.retrieve(lines, *limits)), "response_id")
+    out = stats.join(retrieval.contexts(retrieval.retrieve(lines, *limits)), "response_id")
+    return rounded(out, "first_match", "last_match", "mean_positive_score", "max_score", "coverage")
 
 
-@query()
+def pairs_sql(words):
+    return f"list_transform(list_zip(({words})[:-2], ({words})[2:]), lambda z: z[1] || ' ' || z[2])"
+
+
+def _telling_sql(word):
+    return f"length({word}) >= 3 AND {word} NOT IN {STOP_SQL}"
+
+
+ASKED = f"""asked AS (SELECT response_id, session_id, objective, {terms_sql('objective')} AS ot,
+ list_distinct(list_filter({pairs_sql(tokens_sql('objective'))}, lambda b: {_telling_sql("split_part(b, ' ', 1)")} AND {_telling_sql("split_part(b, ' ', 2)")})) AS ob FROM responses)"""
+SCORE = f"coalesce(list_sum(list_transform(list_intersect(ot, toks), lambda w: 1 + least(length(w), 10) / 20e0)), 0) + 1.5e0 * len(list_intersect(ob, {pairs_sql('toks')}))"
+
+
+def _contexts_sql(top, radius, most, fallback):
+    return f"""WITH {_FULL}, {ASKED}, cut AS (SELECT session_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS idx, len(x) AS n FROM (SELECT session_id, list_filter(str_split(full_text, chr(10)), lambda x: trim(x) <> '') AS x FROM texts)),
+ heard AS (SELECT *, {tokens_sql("regexp_replace(line, '^\\[[A-Z_]+\\]\\s*', '')")} AS toks FROM cut),
+ sc AS (SELECT response_id, idx, n, line, len(ot) AS n_terms, list_intersect(ot, toks) AS shared, round({SCORE}, 9) AS score FROM asked JOIN heard USING (session_id)),
+ top AS (SELECT response_id, idx FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY score DESC, idx DESC) <= {top}),
+ near AS (SELECT DISTINCT sc.* FROM sc JOIN top ON top.response_id = sc.response_id AND sc.idx BETWEEN top.idx - {radius} AND top.idx + {radius}),
+ kept AS (SELECT response_id, idx, line FROM near QUALIFY row_number() OVER (PARTITION BY response_id ORDER BY score DESC, idx) <= {most}),
+ chosen AS (SELECT * FROM kept UNION ALL SELECT response_id, idx, line FROM sc WHERE response_id NOT IN (SELECT response_id FROM top) AND (idx < {fallback} OR idx >= n - {fallback})),
+ body AS (SELECT response_id, string_agg(line, chr(10) ORDER BY idx) AS objective_context, count(*) AS selected FROM chosen GROUP BY response_id),
+ stats AS (SELECT response_id, count(*) AS lines, count_if(score > 0) AS positive_lines, any_value(n_terms) AS terms, len(list_distinct(flatten(list(shared)))) AS matched_terms, coalesce(min(idx / greatest(1, n - 1)) FILTER (score > 0), -1) AS first_match,
+  coalesce(max(idx / greatest(1, n - 1)) FILTER (score > 0), -1) AS last_match, coalesce(avg(score) FILTER (score > 0), 0) AS mean_positive_score, max(score) AS max_score FROM sc GROUP BY response_id)
+ SELECT response_id, lines, positive_lines, terms, matched_terms, round(first_match, 6) AS first_match, round(last_match, 6) AS last_match, round(mean_positive_score, 6) AS mean_positive_score, round(max_score, 6) AS max_score,
+  round(matched_terms / greatest(1, terms), 6) AS coverage, objective_context, selected FROM stats JOIN body USING (response_id)"""
+
+
+@query(_contexts_sql(24, 1, 72, 18))
 def objective_contexts(spark, d):
     return _contexts(spark, d)
 
 
-@query()
+@query(_contexts_sql(2, 1, 4, 2))
 def objective_contexts_small(spark, d):
     """Limits that bite on short sessions."""
     return _contexts(spark, d, 2, 1, 4, 2)
@@ -114,7 +167,8 @@ def candidate_deltas(spark, d):
 
 
 @query(f"WITH {_DELTAS} SELECT model, round(median(-delta_log_loss), 5) AS median_gain, avg((delta_log_loss < 0)::INT) AS win_fraction, round(max(delta_log_loss), 5) AS worst_regression, median(-delta_log_loss) >= 0.002 AS gain_gate, avg((delta_log_loss < 0)::INT) = 1 AS all_gate, avg((delta_log_loss < 0)::INT) >= 0.7 AS win_gate, max(delta_log_loss) <= 0.001 AS regression_gate FROM dl GROUP BY model")
-def candidate_audit(spark, d):
+def protocol_audit(spark, d):
+    """Gates over whole protocols only, of the predictions as they are."""
     m = rounded(metrics.all_metrics(long_predictions(B.predictions(spark, d)), ["protocol", "model"]), "log_loss", "auc")
     return rounded(ensembles.audit(ensembles.deltas(m, "v02")), "median_gain", "worst_regression", digits=5)
 
@@ -124,7 +178,8 @@ def _quantile_sql(col, out):
 
 
 _REGIMES = {"transcript_length": "n_utterances", "asr_uncertainty": "unclear_fraction", "background_rate": "background_fraction", "objective_frequency": "frequency", "retrieval_coverage": "coverage"}
-_AUDITED = f"""{PLACED}, {LONG}, texts AS (SELECT session_id, string_agg(line, chr(10) ORDER BY utterance_id) AS full_text FROM lines GROUP BY session_id),
+def audited_sql(long: str = LONG) -> str:
+    return f"""{PLACED}, {long}, texts AS (SELECT session_id, string_agg(line, chr(10) ORDER BY utterance_id) AS full_text FROM lines GROUP BY session_id),
  heard AS (SELECT session_id, list_distinct(flatten(list(toks))) AS heard FROM (SELECT session_id, {tokens_sql("regexp_replace(line, '^\\[[A-Z_]+\\]\\s*', '')")} AS toks FROM (SELECT session_id, unnest(str_split(full_text, chr(10))) AS line FROM texts)) GROUP BY session_id),
  spoken AS (SELECT session_id, count(*) AS n_utterances, count_if(coalesce(contains(lower(content), '[unclear]'), false)) / count(*) AS unclear_fraction, count_if(role = 'background') / count(*) AS background_fraction FROM utterances GROUP BY session_id),
  measured AS (SELECT response_id, coalesce(n_utterances, 0) AS n_utterances, coalesce(unclear_fraction, 0) AS unclear_fraction, coalesce(background_fraction, 0) AS background_fraction, count(*) OVER (PARTITION BY objective_id) AS frequency, coalesce(len(list_intersect(terms, heard)) / greatest(1, len(terms)), 0) AS coverage, count(*) OVER (PARTITION BY session_id) AS per_session
@@ -136,12 +191,28 @@ _AUDITED = f"""{PLACED}, {LONG}, texts AS (SELECT session_id, string_agg(line, c
   avg((dloss < 0)::INT) FILTER (regime = 'fold') AS flw, avg((coalesce(dauc, 0) > 0)::INT) FILTER (regime = 'fold') AS faw, max(dloss) FILTER (regime = 'fold') AS wf, max(dloss) FILTER (regime NOT IN ('overall', 'fold', 'session_objectives') AND rows >= 100) AS wr FROM dl GROUP BY model)"""
 
 
-@query(f"""WITH {_AUDITED} SELECT model, protocols, protocol_loss_wins, protocol_auc_wins, round(mg, 5) AS median_gain, round(ag, 5) AS mean_gain, round(aa, 5) AS mean_auc_gain, round(flw, 5) AS fold_loss_wins, round(faw, 5) AS fold_auc_wins, round(wf, 5) AS worst_fold, round(wr, 5) AS worst_regime,
- mg >= 0.002 AS gain_gate, protocol_loss_wins = protocols AS all_gate, flw >= 0.7 AS win_gate, coalesce(wr <= 0.001, false) AS regression_gate FROM s""")
+_AUDITED = audited_sql()
+# Fixed value: the weight of a candidate beside the baseline.
+CANDIDATE_WEIGHT = 0.3
+_BLENDED = f"{P}, long AS (SELECT response_id, session_id, objective_id, protocol, target, unnest(['v02', 'semantic', 'bge_base', 'nbsvm', 'combined']) AS model, unnest([v02, {', '.join(f'{1 - CANDIDATE_WEIGHT}e0 * v02 + {CANDIDATE_WEIGHT}e0 * {m}' for m in ('semantic', 'bge_base', 'nbsvm', 'combined'))}]) AS p FROM predictions)"
+
+
+_GATES = """SELECT model, protocols, protocol_loss_wins, protocol_auc_wins, round(mg, 5) AS median_gain, round(ag, 5) AS mean_gain, round(aa, 5) AS mean_auc_gain, round(flw, 5) AS fold_loss_wins, round(faw, 5) AS fold_auc_wins, round(wf, 5) AS worst_fold, round(wr, 5) AS worst_regime,
+ mg >= 0.002 AS gain_gate, protocol_loss_wins = protocols AS all_gate, flw >= 0.7 AS win_gate, coalesce(wr <= 0.001, false) AS regression_gate FROM s"""
+_GAINS = ["median_gain", "mean_gain", "mean_auc_gain", "fold_loss_wins", "fold_auc_wins", "worst_fold", "worst_regime"]
+
+
+@query(f"WITH {_AUDITED} {_GATES}")
 def candidate_audit_regimes(spark, d):
-    """The whole audit: gates over protocols, their folds and the regimes of responses and their sessions."""
-    audited = ensembles.audit_scorecard(candidate_regime_card(spark, d), "v02")
-    return rounded(audited, "median_gain", "mean_gain", "mean_auc_gain", "fold_loss_wins", "fold_auc_wins", "worst_fold", "worst_regime", digits=5)
+    """The whole audit of the candidates as they are."""
+    return rounded(ensembles.audit_scorecard(candidate_regime_card(spark, d), "v02"), *_GAINS, digits=5)
+
+
+@query(f"WITH {audited_sql(_BLENDED)} {_GATES}")
+def candidate_audit(spark, d):
+    """The whole audit of candidates blended into the baseline: gates over protocols, their folds and the regimes of
+    responses and their sessions."""
+    return rounded(ensembles.audit_scorecard(candidate_regime_card(spark, d, CANDIDATE_WEIGHT), "v02"), *_GAINS, digits=5)
 
 
 def regime_columns(spark, d):
@@ -157,8 +228,12 @@ def regime_columns(spark, d):
     return ranked.groupBy("response_id", "session_objectives").agg(*[F.max(F.when(F.col("regime") == regime, F.col("q"))).alias(regime) for regime in _REGIMES])
 
 
-def candidate_regime_card(spark, d):
-    long = long_predictions(B.predictions(spark, d)).withColumn("fold", F.abs("response_id") % 5).join(regime_columns(spark, d), "response_id")
+def candidate_regime_card(spark, d, weight=1.0):
+    """The scorecard of the baseline and of each candidate at its weight beside it."""
+    p = B.predictions(spark, d)
+    if weight < 1:
+        p = p.withColumns({m: ensembles.blend({"v02": 1 - weight, m: weight}) for m in ("semantic", "bge_base", "nbsvm", "combined")})
+    long = long_predictions(p).withColumn("fold", F.abs("response_id") % 5).join(regime_columns(spark, d), "response_id")
     return rounded(metrics.scorecard(long, [*_REGIMES, "session_objectives"], ["protocol", "model"]), "log_loss", "auc")
 
 
@@ -171,11 +246,33 @@ def _embedded(spark, d):
     return e.join(vectors.mean_vectors(e, "objective_id", "context", "objective"), "objective_id")
 
 
-@query(f"WITH {_PROTO} SELECT response_id, round(list_dot_product(context, objective), 6) AS cosine, round(list_sum(list_transform(list_zip(context, objective), lambda z: 0.7 * z[1] + 0.7 * z[2] + 6 * z[1] * z[2] + 0.7 * abs(z[1] - z[2]))), 6) AS interaction_sum FROM embedded JOIN protos USING (objective_id)")
+def vector_facts(v, name):
+    """Size, sum and the sum weighted by place of a vector, which a changed order shows."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    return [F.size(v).alias(f"{name}_size"), F.round(total(v), 6).alias(f"{name}_sum"), F.round(total(F.transform(v, lambda x, i: x * (i + 1))), 5).alias(f"{name}_moment")]
+
+
+def vector_facts_sql(v, name):
+    return f"len({v}) AS {name}_size, round(list_sum({v}), 6) AS {name}_sum, round(list_sum(list_transform({v}, lambda x, i: x * i)), 5) AS {name}_moment"
+
+
+def part_sql(kind, block, scale):
+    """SQL for a part of a variant: the block itself (v), its product with the objective (x) or its difference (d)."""
+    if kind == "v":
+        return f"list_transform({block}, lambda x: {scale}e0 * x)"
+    return f"list_transform(list_zip({block}, objective), lambda z: {scale}e0 * {'z[1] * z[2]' if kind == 'x' else 'abs(z[1] - z[2])'})"
+
+
+def _pair_sql(block):
+    parts = [("v", block, 0.7), ("v", "objective", 0.7), ("x", block, 6.0), ("d", block, 0.7)]
+    return f"flatten([{', '.join(part_sql(*p) for p in parts)}])"
+
+
+@query(f"WITH {_PROTO} SELECT response_id, round(list_dot_product(context, objective), 6) AS cosine, {vector_facts_sql('pair', 'interaction')} FROM (SELECT *, {_pair_sql('context')} AS pair FROM embedded JOIN protos USING (objective_id))")
 def embedding_geometry(spark, d):
     e = _embedded(spark, d)
-    inter = vectors.interaction(F.col("context"), F.col("objective"))
-    return e.select("response_id", F.round(vectors.dot(F.col("context"), F.col("objective")), 6).alias("cosine"), F.round(F.aggregate(inter, F.lit(0.0), lambda s, x: s + x), 6).alias("interaction_sum"))
+    facts = vector_facts(vectors.interaction(F.col("context"), F.col("objective")), "interaction")
+    return e.select("response_id", F.round(vectors.dot(F.col("context"), F.col("objective")), 6).alias("cosine"), *facts)
 
 
 @query(f"""WITH {_PROTO}, rows_ AS (SELECT e.*, p.objective FROM embedded e JOIN protos p USING (objective_id)), {folds_sql('session_id', source='rows_')},
@@ -235,7 +332,7 @@ def _base(spark, d):
 
 @query()
 def logistic_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda: models.numeric_logistic(_NUMERIC))
+    return models.out_of_fold(_base(spark, d), lambda n=1000: models.numeric_logistic(_NUMERIC, n=n))
 
 
 def _spoken(spark, d):
@@ -245,24 +342,24 @@ def _spoken(spark, d):
 
 @query()
 def text_logistic_oof(spark, d):
-    return models.out_of_fold(_spoken(spark, d), lambda: models.hashed_text_logistic("full_text"))
+    return models.out_of_fold(_spoken(spark, d), lambda n=0: models.hashed_text_logistic("full_text"))
 
 
 @query()
 def objective_logistic_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda: models.hashed_text_logistic("objective", 1 << 14))
+    return models.out_of_fold(_base(spark, d), lambda n=0: models.hashed_text_logistic("objective", 1 << 14))
 
 
 @query()
 def objective_tf_idf_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda: models.tf_idf_logistic({"_o": models.tf_idf_words("objective", "_o")}))
+    return models.out_of_fold(_base(spark, d), lambda n=10_000: models.tf_idf_logistic({"_o": models.tf_idf_words("objective", "_o")}, 1 / n))
 
 
 @query()
 def transcript_tf_idf_oof(spark, d):
     """Words of the transcript beside those of the objective."""
     blocks = lambda: {"_t": models.tf_idf_words("full_text", "_t", 60_000, 3), "_o": models.tf_idf_words("objective", "_o", 20_000)}
-    return models.out_of_fold(_spoken(spark, d), lambda: models.tf_idf_logistic(blocks()))
+    return models.out_of_fold(_spoken(spark, d), lambda n=10_000: models.tf_idf_logistic(blocks(), 1 / n))
 
 
 @query()
@@ -270,7 +367,7 @@ def closing_tf_idf_oof(spark, d):
     """Characters of the transcript's end beside those of the objective."""
     grams = _spoken(spark, d).withColumns({f"_{c}": T.padded_ngrams(F.col(c), 3, 5) for c in ("closing_text", "objective")})
     blocks = lambda: {"_t": models.tf_idf_terms("_closing_text", "_t", 60_000, 4), "_o": models.tf_idf_terms("_objective", "_o", 20_000, 2)}
-    return models.out_of_fold(grams, lambda: models.tf_idf_logistic(blocks()))
+    return models.out_of_fold(grams, lambda n=10_000: models.tf_idf_logistic(blocks(), 1 / n))
 
 
 _RETRIEVED = ["lines", "positive_lines", "terms", "matched_terms", "coverage", "first_match", "last_match", "mean_positive_score", "max_score"]
@@ -290,5 +387,5 @@ def _dense(spark, d):
 def trees_oof(spark, d):
     """Both tree sizes; model names the size."""
     df, names = _dense(spark, d)
-    parts = [models.out_of_fold(df, lambda depth=depth: models.numeric_trees(names, depth=depth)).withColumn("model", F.lit(model)) for model, depth in models.TREE_DEPTHS.items()]
+    parts = [models.out_of_fold(df, lambda n=0, depth=depth: models.numeric_trees(names, depth=depth)).withColumn("model", F.lit(model)) for model, depth in models.TREE_DEPTHS.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -71,7 +71,7 @@ _BEHAVIOR = f"""SELECT session_id, count_if(prev <> role) AS role_switches, {_su
  {_sum(_sql_count('content', CUES['affirm']), "role='tutor'")} AS tutor_affirmations, {_sum(_sql_count('content', CUES['correction']), "role='tutor'")} AS tutor_corrections,
  {_sum(_sql_count('content', CUES['uncertainty']), "role='student'")} AS student_uncertainty, {_sum(_sql_count('content', CUES['reasoning']), "role='student'")} AS student_reasoning_cues,
  {_sum(_sql_count('content', CUES['reasoning']), "role='tutor'")} AS tutor_reasoning_cues,
- {_sum("len(regexp_extract_all(content, '[0-9]+'))", "role='student'")} AS student_digit_tokens, {_sum("len(regexp_extract_all(content, '[0-9]+'))", "role='tutor'")} AS tutor_digit_tokens,
+ {_sum("len(regexp_extract_all(content, '\\b[0-9]+(?:\\.[0-9]+)?\\b'))", "role='student'")} AS student_digit_tokens, {_sum("len(regexp_extract_all(content, '\\b[0-9]+(?:\\.[0-9]+)?\\b'))", "role='tutor'")} AS tutor_digit_tokens,
  round({_sum(_W, "role='student'")} / greatest(1, count_if(role='student')), 6) AS student_mean_words, round({_sum(_W, "role='tutor'")} / greatest(1, count_if(role='tutor')), 6) AS tutor_mean_words,
  {_sum(_W, "role='student' AND closing")} AS closing_student_words, {_sum(_W, "role='tutor' AND closing")} AS closing_tutor_words FROM lines GROUP BY session_id"""
 
@@ -81,10 +81,17 @@ def behavior(spark, d):
     return rounded(sessions.behavior(B.utterances(spark, d), CUES), "student_mean_words", "tutor_mean_words")
 
 
-@query(f"WITH {PLACED}, b AS ({_BEHAVIOR}) SELECT session_id, round(student_words / (tutor_words + 1), 6) AS student_tutor_words, round(tutor_affirmations / (tutor_words + 1), 6) AS affirmation_rate, round(student_reasoning_cues / (student_words + 1), 6) AS reasoning_rate, round(closing_student_words / (student_words + 1), 6) AS closing_share FROM b")
+_RATIOS = {
+    "student_tutor_words": ("student_words", "tutor_words"), "affirmation_rate": ("tutor_affirmations", "tutor_words"), "correction_rate": ("tutor_corrections", "tutor_words"),
+    "uncertainty_rate": ("student_uncertainty", "student_words"), "reasoning_rate": ("student_reasoning_cues", "student_words"), "digit_rate": ("student_digit_tokens", "student_words"),
+    "question_rate": ("tutor_questions", "tutor_words"), "closing_share": ("closing_student_words", "student_words"),
+}
+
+
+@query(f"WITH {PLACED}, b AS ({_BEHAVIOR}) SELECT session_id, {', '.join(f'round({a} / ({c} + 1), 6) AS {n}' for n, (a, c) in _RATIOS.items())} FROM b")
 def behavior_ratios(spark, d):
     out = sessions.behavior_ratios(sessions.behavior(B.utterances(spark, d), CUES))
-    return rounded(out.select("session_id", "student_tutor_words", "affirmation_rate", "reasoning_rate", "closing_share"), "student_tutor_words", "affirmation_rate", "reasoning_rate", "closing_share")
+    return rounded(out.select("session_id", *_RATIOS), *_RATIOS)
 
 
 @query(f"WITH {U} SELECT role, count(*) AS n_utterances, sum(length(coalesce(content, ''))) AS n_chars FROM utterances GROUP BY role")
@@ -92,12 +99,13 @@ def corpus_rollup(spark, d):
     return sessions.rollup(B.utterances(spark, d))
 
 
-@query(f"""WITH {U}, {R}, f AS (SELECT session_id, count(*) AS n, count_if(role = 'student') AS s, count_if(role = 'tutor') AS t FROM utterances GROUP BY session_id)
+@query(f"""WITH {U}, {R}, f AS (SELECT session_id, count(*) AS n, count_if(role = 'student') AS s, count_if(role = 'tutor') AS t, count_if(role = 'background') AS b, count_if(coalesce(contains(lower(content), '[unclear]'), false)) AS u FROM utterances GROUP BY session_id)
  SELECT response_id, session_id, objective_id, target, n AS n_utterances, length(objective) AS objective_chars, len(list_filter(regexp_split_to_array(objective, '\\s+'), lambda x: x <> '')) AS objective_words,
- round(s / n, 6) AS student_fraction, round(t / n, 6) AS tutor_fraction FROM responses LEFT JOIN f USING (session_id)""")
+ round(s / n, 6) AS student_fraction, round(t / n, 6) AS tutor_fraction, round(b / n, 6) AS background_fraction, round(u / n, 6) AS unclear_fraction FROM responses LEFT JOIN f USING (session_id)""")
 def modeling_base(spark, d):
     out = sessions.modeling_base(B.responses(spark, d), sessions.session_features(B.utterances(spark, d)))
-    return rounded(out.select("response_id", "session_id", "objective_id", "target", "n_utterances", "objective_chars", "objective_words", "student_fraction", "tutor_fraction"), "student_fraction", "tutor_fraction")
+    shares = ["student_fraction", "tutor_fraction", "background_fraction", "unclear_fraction"]
+    return rounded(out.select("response_id", "session_id", "objective_id", "target", "n_utterances", "objective_chars", "objective_words", *shares), *shares)
 
 
 @query(f"WITH {R} SELECT count(*) AS responses, count(DISTINCT session_id) AS sessions, count(DISTINCT objective_id) AS objectives, round(avg(target), 6) AS positive_rate FROM responses")
@@ -220,13 +228,13 @@ def expectations(spark, d):
 
 @query(f"""WITH {R}, {folds_sql('session_id')}, d AS (SELECT protocol, count(DISTINCT response_id) AS n FROM (SELECT response_id, unnest(['p0', 'p1']) AS protocol FROM responses) GROUP BY protocol)
  SELECT 'fold_per_session' AS rule, (SELECT count(*) FROM (SELECT 1 FROM folded GROUP BY session_id HAVING count(DISTINCT fold) > 1)) AS violations UNION ALL SELECT 'fold_assigned', (SELECT count_if(fold IS NULL OR fold NOT BETWEEN 0 AND 4) FROM folded)
- UNION ALL SELECT 'no_leak', (SELECT count(DISTINCT session_id) FROM folded WHERE fold = 0 AND session_id IN (SELECT session_id FROM folded WHERE fold <> 0)) UNION ALL SELECT 'same_cardinality', (SELECT count(DISTINCT n) - 1 FROM d)""")
+ UNION ALL SELECT 'no_leak', (SELECT count(*) FROM (SELECT DISTINCT a.session_id, h.fold FROM folded a JOIN folded h ON a.session_id = h.session_id AND a.fold <> h.fold)) UNION ALL SELECT 'same_cardinality', (SELECT count(DISTINCT n) - 1 FROM d)""")
 def fold_expectations(spark, d):
     f = splits.group_folds(B.responses(spark, d), "session_id")
     return expect.all_of(
         expect.one_value_per_group(f, "session_id", "fold", "fold_per_session"),
         expect.row_rules(f, {"fold_assigned": ~F.col("fold").between(0, 4)}),
-        expect.disjoint(f.where("fold = 0"), splits.purged_train(f, 0, "session_id"), "session_id", "no_leak"),
+        expect.purged(splits.purged_pairs(f), f, ["session_id"], "no_leak"),
         expect.same_cardinality(B.predictions(spark, d), "protocol", "response_id"),
     )
 

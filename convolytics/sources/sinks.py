@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,6 +17,20 @@ from convolytics.operators.splits import objective_priors
 LEDGER = ["run_id", "timestamp_utc", "model", "fold_scheme", "log_loss", "roc_auc", "brier_score", "ece_10", "status"]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
+
+    Where that is unset, a local folder serves a local master; a cluster is refused, since its executors couldn't see it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-convolytics-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Parquet with zstd; the output committer makes a finished write visible as a whole.
 
