@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
 from convolytics.operators import ensembles, expect, metrics, sessions, splits, vectors
-from convolytics.plans.feature_queries import _AUDITED, _REGIMES, _base, candidate_regime_card, regime_columns
+from convolytics.plans.feature_queries import _AUDITED, REGIMES, _base, candidate_regime_card, regime_columns
 from convolytics.plans.session_queries import METRIC_COLUMNS, PLACED, P, R, folds_sql, long_predictions, metrics_sql, rounded, tokens_sql
 from convolytics.sources import bindings as B
 
@@ -143,7 +143,7 @@ def remaining_rows(spark, d):
     return sessions.remaining(B.table(spark, d, "documents").select("doc_id"), B.table(spark, d, "labels"), ["doc_id"])
 
 
-_REGIME_COLS = ", ".join(_REGIMES)
+_REGIME_COLS = ", ".join(REGIMES)
 
 
 @query(f"WITH {_AUDITED} SELECT response_id, {_REGIME_COLS}, session_objectives FROM regimes")

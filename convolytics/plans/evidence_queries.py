@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
 from convolytics.operators import ensembles, models, splits, vectors, views
-from convolytics.plans.feature_queries import _BT, _NUMERIC, _PROTO, _TURNS, ASKED, SCORE, _base, _embedded, _spoken, _texts, part_sql, vector_facts, vector_facts_sql
-from convolytics.plans.session_queries import P, R, metrics_sql, rounded, tokens_sql
+from convolytics.plans.feature_queries import _BT, NUMERIC, _PROTO, _TURNS, ASKED, SCORE, _base, _embedded, _spoken, _texts, part_sql, vector_facts, vector_facts_sql
+from convolytics.plans.session_queries import P, R, metrics_sql, rounded, terms_sql, tokens_sql
 from convolytics.sources import bindings as B
 from convolytics.sources import sinks
 from convolytics.sources.bindings import CUES
@@ -65,7 +65,32 @@ def session_trajectory(spark, d):
     return views.session_trajectory(_texts(spark, d))
 
 
-@query()
+_CUED = lambda cues, col: f"regexp_matches(' ' || lower({col}) || ' ', '[^a-z0-9_](?:{'|'.join(cues)})[^a-z0-9_]')"
+_EITHER = lambda test, yes, no: f"CASE WHEN {test} THEN '{yes}' ELSE '{no}' END"
+_PLACE = "CASE WHEN 3 * i < n THEN 'early' WHEN 3 * i >= 2 * n THEN 'late' ELSE 'middle' END"
+_LEVEL = "CASE WHEN overlap = 0 THEN 'none' WHEN overlap >= 0.5 THEN 'high' ELSE 'some' END"
+_REASONS, _DOUBTS = _EITHER(_CUED(CUES["reasoning"], "a"), "reasoning", "no_reasoning"), _EITHER(_CUED(CUES["uncertainty"], "a"), "uncertain", "certain")
+_AFFIRMS, _CORRECTS = _EITHER(_CUED(CUES["affirm"], "f"), "affirm", "no_affirm"), _EITHER(_CUED(CUES["correction"], "f"), "corrective", "no_corrective")
+_SYMBOLS = [
+    f"'pair_position_' || {_PLACE}", f"'objective_' || {_LEVEL}", _REASONS, _DOUBTS, _EITHER("contains(a, '?')", "answer_question", "answer_statement"),
+    _EITHER("regexp_matches(' ' || lower(a) || ' ', '[^a-z0-9][0-9]+[^a-z0-9]')", "answer_numeric", "answer_text"),
+    _EITHER("len(list_filter(regexp_split_to_array(a, '\\s+'), lambda x: x <> '')) <= 5", "answer_short", "answer_long"),
+    _AFFIRMS, _CORRECTS, _EITHER("contains(f, '?')", "feedback_question", "feedback_statement"), _EITHER(_CUED(CUES["reasoning"], "f"), "feedback_reasoning", "no_feedback_reasoning"),
+    *[f"'pair_' || {x} || '_' || {y}" for x, y in ((f"'obj_' || {_LEVEL}", _AFFIRMS), (_REASONS, _AFFIRMS), (_DOUBTS, _CORRECTS), (_PLACE, _AFFIRMS), (_PLACE, _CORRECTS))],
+]
+_MISSING = " || ".join(f"CASE WHEN len(list_filter(ws, lambda w: starts_with(w, '{v}_'))) = 0 THEN ' {v}_missing' ELSE '' END" for v in (views.PREFIXES["answer"], views.PREFIXES["feedback"]))
+
+
+@query(f"""WITH fb AS (WITH {_EXCHANGES}, {_picked('ex', 5, 2, 'rendered', 'feedback')}),
+ pl AS (SELECT response_id, unnest(x) AS line, generate_subscripts(x, 1) AS at_ FROM (SELECT response_id, list_filter(list_transform(str_split(feedback, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM fb)),
+ ln AS (SELECT response_id, at_, lower(regexp_extract(line, '^\\[([A-Z_]+)\\]\\s*(.*)$', 1)) AS role, regexp_extract(line, '^\\[([A-Z_]+)\\]\\s*(.*)$', 2) AS content FROM pl WHERE regexp_matches(line, '^\\[[A-Z_]+\\]')),
+ wd AS (SELECT response_id, at_, list_transform(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: CASE role {' '.join(f"WHEN '{k}' THEN '{v}_'" for k, v in views.PREFIXES.items())} END || w) AS ws FROM ln WHERE role IN ({', '.join(f"'{k}'" for k in views.PREFIXES)})),
+ pf AS (SELECT response_id, flatten(list(ws ORDER BY at_)) AS ws FROM wd GROUP BY response_id),
+ ob AS (SELECT response_id, arg_max({terms_sql('content')}, at_) AS terms FROM ln WHERE role = 'objective' GROUP BY response_id),
+ ld AS (SELECT response_id, at_, role, content AS a, lead(role) OVER o AS next_role, lead(content) OVER o AS f FROM ln WHERE role <> 'objective' WINDOW o AS (PARTITION BY response_id ORDER BY at_)),
+ pr AS (SELECT response_id, a, f, row_number() OVER (PARTITION BY response_id ORDER BY at_) - 1 AS i, count(*) OVER (PARTITION BY response_id) AS n, len(list_intersect(terms, {tokens_sql('a')})) / greatest(1, len(terms)) AS overlap FROM ld JOIN ob USING (response_id) WHERE role = 'answer' AND next_role = 'feedback'),
+ ev AS (SELECT response_id, string_agg(concat_ws(' ', {', '.join(_SYMBOLS)}), chr(10) ORDER BY i) AS events FROM pr GROUP BY response_id)
+ SELECT response_id, trim(array_to_string(ws, ' ') || {_MISSING}) AS prefixed, coalesce(events, '{views.NO_PAIR}') AS events FROM pf LEFT JOIN ev USING (response_id)""")
 def feedback_symbols(spark, d):
     """Prefixed words and symbolic events of each response's feedback windows."""
     w = views.feedback_windows(_turns(spark, d), B.responses(spark, d))
@@ -179,7 +204,7 @@ def _prefixed(spark, d):
 
 @query()
 def text_and_dense_oof(spark, d):
-    return models.out_of_fold(_spoken(spark, d), lambda n=0: models.text_and_dense_logistic("full_text", _NUMERIC))
+    return models.out_of_fold(_spoken(spark, d), lambda n=0: models.text_and_dense_logistic("full_text", NUMERIC))
 
 
 @query()
@@ -189,7 +214,7 @@ def nb_logistic_oof(spark, d):
 
 @query()
 def session_weighted_oof(spark, d):
-    return models.out_of_fold(_spoken(spark, d), models.SessionWeighted(models.text_and_dense_logistic("full_text", _NUMERIC, alpha=3e-5, weight="weight")))
+    return models.out_of_fold(_spoken(spark, d), models.SessionWeighted(models.text_and_dense_logistic("full_text", NUMERIC, alpha=3e-5, weight="weight")))
 
 
 @query()

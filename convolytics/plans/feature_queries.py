@@ -177,15 +177,15 @@ def _quantile_sql(col, out):
     return f"'q' || (least(floor((rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2) / count(*) OVER () * 5), 4) + 1)::INT AS {out}"
 
 
-_REGIMES = {"transcript_length": "n_utterances", "asr_uncertainty": "unclear_fraction", "background_rate": "background_fraction", "objective_frequency": "frequency", "retrieval_coverage": "coverage"}
+REGIMES = {"transcript_length": "n_utterances", "asr_uncertainty": "unclear_fraction", "background_rate": "background_fraction", "objective_frequency": "frequency", "retrieval_coverage": "coverage"}
 def audited_sql(long: str = LONG) -> str:
     return f"""{PLACED}, {long}, texts AS (SELECT session_id, string_agg(line, chr(10) ORDER BY utterance_id) AS full_text FROM lines GROUP BY session_id),
  heard AS (SELECT session_id, list_distinct(flatten(list(toks))) AS heard FROM (SELECT session_id, {tokens_sql("regexp_replace(line, '^\\[[A-Z_]+\\]\\s*', '')")} AS toks FROM (SELECT session_id, unnest(str_split(full_text, chr(10))) AS line FROM texts)) GROUP BY session_id),
  spoken AS (SELECT session_id, count(*) AS n_utterances, count_if(coalesce(contains(lower(content), '[unclear]'), false)) / count(*) AS unclear_fraction, count_if(role = 'background') / count(*) AS background_fraction FROM utterances GROUP BY session_id),
  measured AS (SELECT response_id, coalesce(n_utterances, 0) AS n_utterances, coalesce(unclear_fraction, 0) AS unclear_fraction, coalesce(background_fraction, 0) AS background_fraction, count(*) OVER (PARTITION BY objective_id) AS frequency, coalesce(len(list_intersect(terms, heard)) / greatest(1, len(terms)), 0) AS coverage, count(*) OVER (PARTITION BY session_id) AS per_session
   FROM (SELECT *, {terms_sql('objective')} AS terms FROM responses) LEFT JOIN spoken USING (session_id) LEFT JOIN heard USING (session_id)),
- regimes AS (SELECT response_id, {', '.join(_quantile_sql(c, r) for r, c in _REGIMES.items())}, CASE per_session WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'three_plus' END AS session_objectives FROM measured),
- tidy AS (SELECT protocol, model, target, p, unnest(['overall', 'fold', {', '.join(repr(r) for r in _REGIMES)}, 'session_objectives']) AS regime, unnest(['all', (abs(response_id) % 5)::VARCHAR, {', '.join(_REGIMES)}, session_objectives]) AS value FROM long JOIN regimes USING (response_id)),
+ regimes AS (SELECT response_id, {', '.join(_quantile_sql(c, r) for r, c in REGIMES.items())}, CASE per_session WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'three_plus' END AS session_objectives FROM measured),
+ tidy AS (SELECT protocol, model, target, p, unnest(['overall', 'fold', {', '.join(repr(r) for r in REGIMES)}, 'session_objectives']) AS regime, unnest(['all', (abs(response_id) % 5)::VARCHAR, {', '.join(REGIMES)}, session_objectives]) AS value FROM long JOIN regimes USING (response_id)),
  card AS ({metrics_sql('tidy', ['protocol', 'model', 'regime', 'value'])}), dl AS (SELECT a.*, a.log_loss - b.log_loss AS dloss, a.auc - b.auc AS dauc FROM card a JOIN card b ON a.protocol = b.protocol AND a.regime = b.regime AND a.value = b.value AND b.model = 'v02' WHERE a.model <> 'v02'),
  s AS (SELECT model, count_if(regime = 'overall') AS protocols, count_if(regime = 'overall' AND dloss < 0) AS protocol_loss_wins, count_if(regime = 'overall' AND coalesce(dauc, 0) > 0) AS protocol_auc_wins, median(-dloss) FILTER (regime = 'overall') AS mg, avg(-dloss) FILTER (regime = 'overall') AS ag, avg(dauc) FILTER (regime = 'overall') AS aa,
   avg((dloss < 0)::INT) FILTER (regime = 'fold') AS flw, avg((coalesce(dauc, 0) > 0)::INT) FILTER (regime = 'fold') AS faw, max(dloss) FILTER (regime = 'fold') AS wf, max(dloss) FILTER (regime NOT IN ('overall', 'fold', 'session_objectives') AND rows >= 100) AS wr FROM dl GROUP BY model)"""
@@ -194,25 +194,25 @@ def audited_sql(long: str = LONG) -> str:
 _AUDITED = audited_sql()
 # Fixed value: the weight of a candidate beside the baseline.
 CANDIDATE_WEIGHT = 0.3
-_BLENDED = f"{P}, long AS (SELECT response_id, session_id, objective_id, protocol, target, unnest(['v02', 'semantic', 'bge_base', 'nbsvm', 'combined']) AS model, unnest([v02, {', '.join(f'{1 - CANDIDATE_WEIGHT}e0 * v02 + {CANDIDATE_WEIGHT}e0 * {m}' for m in ('semantic', 'bge_base', 'nbsvm', 'combined'))}]) AS p FROM predictions)"
+BLENDED = f"{P}, long AS (SELECT response_id, session_id, objective_id, protocol, target, unnest(['v02', 'semantic', 'bge_base', 'nbsvm', 'combined']) AS model, unnest([v02, {', '.join(f'{1 - CANDIDATE_WEIGHT}e0 * v02 + {CANDIDATE_WEIGHT}e0 * {m}' for m in ('semantic', 'bge_base', 'nbsvm', 'combined'))}]) AS p FROM predictions)"
 
 
-_GATES = """SELECT model, protocols, protocol_loss_wins, protocol_auc_wins, round(mg, 5) AS median_gain, round(ag, 5) AS mean_gain, round(aa, 5) AS mean_auc_gain, round(flw, 5) AS fold_loss_wins, round(faw, 5) AS fold_auc_wins, round(wf, 5) AS worst_fold, round(wr, 5) AS worst_regime,
+GATES = """SELECT model, protocols, protocol_loss_wins, protocol_auc_wins, round(mg, 5) AS median_gain, round(ag, 5) AS mean_gain, round(aa, 5) AS mean_auc_gain, round(flw, 5) AS fold_loss_wins, round(faw, 5) AS fold_auc_wins, round(wf, 5) AS worst_fold, round(wr, 5) AS worst_regime,
  mg >= 0.002 AS gain_gate, protocol_loss_wins = protocols AS all_gate, flw >= 0.7 AS win_gate, coalesce(wr <= 0.001, false) AS regression_gate FROM s"""
-_GAINS = ["median_gain", "mean_gain", "mean_auc_gain", "fold_loss_wins", "fold_auc_wins", "worst_fold", "worst_regime"]
+GAINS = ["median_gain", "mean_gain", "mean_auc_gain", "fold_loss_wins", "fold_auc_wins", "worst_fold", "worst_regime"]
 
 
-@query(f"WITH {_AUDITED} {_GATES}")
+@query(f"WITH {_AUDITED} {GATES}")
 def candidate_audit_regimes(spark, d):
     """The whole audit of the candidates as they are."""
-    return rounded(ensembles.audit_scorecard(candidate_regime_card(spark, d), "v02"), *_GAINS, digits=5)
+    return rounded(ensembles.audit_scorecard(candidate_regime_card(spark, d), "v02"), *GAINS, digits=5)
 
 
-@query(f"WITH {audited_sql(_BLENDED)} {_GATES}")
+@query(f"WITH {audited_sql(BLENDED)} {GATES}")
 def candidate_audit(spark, d):
     """The whole audit of candidates blended into the baseline: gates over protocols, their folds and the regimes of
     responses and their sessions."""
-    return rounded(ensembles.audit_scorecard(candidate_regime_card(spark, d, CANDIDATE_WEIGHT), "v02"), *_GAINS, digits=5)
+    return rounded(ensembles.audit_scorecard(candidate_regime_card(spark, d, CANDIDATE_WEIGHT), "v02"), *GAINS, digits=5)
 
 
 def regime_columns(spark, d):
@@ -221,11 +221,11 @@ def regime_columns(spark, d):
     lines = retrieval.statistics(retrieval.scored_lines(_texts(spark, d), r)).select("response_id", "coverage")
     base = sessions.modeling_base(r, sessions.session_features(B.utterances(spark, d))).join(lines, "response_id", "left")
     base = base.join(r.groupBy("objective_id").agg(F.count("*").alias("frequency")), "objective_id").join(r.groupBy("session_id").agg(F.count("*").alias("_s")), "session_id")
-    values = F.array(*[F.struct(F.lit(regime).alias("regime"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x")) for regime, c in _REGIMES.items()])
+    values = F.array(*[F.struct(F.lit(regime).alias("regime"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x")) for regime, c in REGIMES.items()])
     per_session = F.when(F.col("_s") == 1, "one").when(F.col("_s") == 2, "two").otherwise("three_plus").alias("session_objectives")
     long = base.select("response_id", per_session, F.explode(values).alias("v")).select("response_id", "session_objectives", "v.*")
     ranked = metrics.quantile_regime(long, "x", "q", ["regime"])
-    return ranked.groupBy("response_id", "session_objectives").agg(*[F.max(F.when(F.col("regime") == regime, F.col("q"))).alias(regime) for regime in _REGIMES])
+    return ranked.groupBy("response_id", "session_objectives").agg(*[F.max(F.when(F.col("regime") == regime, F.col("q"))).alias(regime) for regime in REGIMES])
 
 
 def candidate_regime_card(spark, d, weight=1.0):
@@ -234,7 +234,7 @@ def candidate_regime_card(spark, d, weight=1.0):
     if weight < 1:
         p = p.withColumns({m: ensembles.blend({"v02": 1 - weight, m: weight}) for m in ("semantic", "bge_base", "nbsvm", "combined")})
     long = long_predictions(p).withColumn("fold", F.abs("response_id") % 5).join(regime_columns(spark, d), "response_id")
-    return rounded(metrics.scorecard(long, [*_REGIMES, "session_objectives"], ["protocol", "model"]), "log_loss", "auc")
+    return rounded(metrics.scorecard(long, [*REGIMES, "session_objectives"], ["protocol", "model"]), "log_loss", "auc")
 
 
 _PROTO = f"""{E}, comp AS (SELECT objective_id, unnest(context) AS x, generate_subscripts(context, 1) AS i FROM embedded), means AS (SELECT objective_id, i, avg(x) AS m FROM comp GROUP BY ALL), vecs AS (SELECT objective_id, list(m ORDER BY i) AS v FROM means GROUP BY objective_id),
@@ -322,7 +322,7 @@ def nb_ratio(spark, d):
     return rounded(vectors.nb_ratio(t), "ratio")
 
 
-_NUMERIC = ["n_utterances", "n_chars", "n_student", "n_tutor", "objective_chars", "objective_words", "student_fraction"]
+NUMERIC = ["n_utterances", "n_chars", "n_student", "n_tutor", "objective_chars", "objective_words", "student_fraction"]
 
 
 def _base(spark, d):
@@ -332,7 +332,7 @@ def _base(spark, d):
 
 @query()
 def logistic_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda n=1000: models.numeric_logistic(_NUMERIC, n=n))
+    return models.out_of_fold(_base(spark, d), lambda n=1000: models.numeric_logistic(NUMERIC, n=n))
 
 
 def _spoken(spark, d):
@@ -378,7 +378,7 @@ def _dense(spark, d):
     r, texts = B.responses(spark, d), _texts(spark, d)
     turns = ordered.ordered_features(texts, r, CUES)
     found = retrieval.statistics(retrieval.scored_lines(texts, r)).select("response_id", *_RETRIEVED)
-    names = [*_NUMERIC, "duration_seconds", "n_background", "n_other", "n_unclear", "n_empty", "tutor_fraction", "background_fraction", "unclear_fraction", *_RETRIEVED, *[c for c in turns.columns if c != "response_id"]]
+    names = [*NUMERIC, "duration_seconds", "n_background", "n_other", "n_unclear", "n_empty", "tutor_fraction", "background_fraction", "unclear_fraction", *_RETRIEVED, *[c for c in turns.columns if c != "response_id"]]
     df = _base(spark, d).join(found, "response_id", "left").join(turns, "response_id", "left")
     return df.select("response_id", "session_id", "fold", "target", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), names
 
