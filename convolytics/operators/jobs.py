@@ -115,11 +115,11 @@ def global_predictions(rows: DataFrame) -> DataFrame:
 global_predictions.predictions = True
 
 
-def candidate_audit(predictions: DataFrame, regimes: DataFrame, baseline: str, candidate: str, weight: float, regime_names: Sequence[str], folder: str) -> dict[str, DataFrame]:
+def candidate_audit(predictions: DataFrame, regimes: DataFrame, baseline: str, candidate: str, weight: float, regime_names: Sequence[str], folder: str, digits: int = 6) -> dict[str, DataFrame]:
     """The audit of one candidate at its weight beside the baseline: blends, scorecard and gates, written below folder.
 
     predictions: protocol, response_id (each once a protocol), target, fold and a column for each of the two; regimes:
-    response_id and the named columns.
+    response_id and the named columns. Losses and AUCs are rounded to `digits` in the scorecard, on which the gates rest.
     """
     expect.check(expect.all_of(expect.unique(predictions, ["protocol", "response_id"], "predictions"), expect.same_cardinality(predictions, "protocol", "response_id", "responses of protocols")))
     blended = predictions.withColumn("blend", ensembles.blend({baseline: 1 - weight, candidate: weight}))
@@ -127,6 +127,6 @@ def candidate_audit(predictions: DataFrame, regimes: DataFrame, baseline: str, c
     both = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in ((baseline, baseline), (candidate, "blend"))])
     long = out["oof"].select("protocol", "response_id", "target", "fold", F.explode(both).alias("m")).select("protocol", "response_id", "target", "fold", "m.*")
     card = metrics.scorecard(long.join(regimes, "response_id"), list(regime_names), ["protocol", "model"])
-    out["scorecard"] = _reread(card, f"{folder}/scorecard")
+    out["scorecard"] = _reread(card.withColumns({c: F.round(c, digits) for c in ("log_loss", "auc")}), f"{folder}/scorecard")
     out["gates"] = _reread(ensembles.audit_scorecard(out["scorecard"], baseline), f"{folder}/gates")
     return out
