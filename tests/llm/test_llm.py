@@ -327,6 +327,12 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_a_hub_that_is_no_least_node(spark):
+    links = [(500, i) for i in range(1, 1000) if i != 500] + [(5000, 999)]
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert out == {**{i: 1 for i in range(1, 1000)}, 5000: 1}
+
+
 def test_cell_components_match_brute_force():
     import numpy as np
 
