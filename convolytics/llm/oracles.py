@@ -84,4 +84,111 @@ SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, least(docs.doc_id, coalesce(m,
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reached GROUP BY doc_id) USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_chat_formatting": CHAT, "op8_decontamination": DECONTAMINATION, "op9_warc": WARC, "op10_jaccard_join": JACCARD}
+MIXING = """
+WITH docs AS MATERIALIZED (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
+    FROM documents
+),
+sizes AS MATERIALIZED (
+    SELECT source, CAST(sum(size) AS HUGEINT) AS size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+    FROM docs GROUP BY source
+),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY 2 * size / CAST(weight AS DOUBLE), source NULLS LAST) AS place FROM sizes),
+-- The level when the sources up to a place stop at twice their size: the first that no later source is below.
+sums AS MATERIALIZED (
+    SELECT place, size, weight, sum(3 * size) OVER () - (sum(4 * size) OVER w - 4 * size) AS over, 2 * (sum(weight) OVER () - sum(weight) OVER w + weight) AS under
+    FROM ordered WINDOW w AS (ORDER BY place)
+),
+levels AS (SELECT place, over, under, 2 * size * under >= weight * over AS fits FROM sums),
+level AS (SELECT place, over, under FROM levels WHERE fits ORDER BY place LIMIT 1),
+targets AS MATERIALIZED (
+    SELECT source, size, CASE WHEN o.place < level.place THEN CAST(2 * size AS DOUBLE) ELSE CAST(weight * over AS DOUBLE) / CAST(under AS DOUBLE) END AS target,
+        CAST(floor(target) AS HUGEINT) AS wanted, CASE WHEN size > 0 THEN wanted // size ELSE 0 END AS whole, wanted - whole * size AS rest
+    FROM ordered o, level
+),
+hashes AS (SELECT source, hash, sum(size) AS n FROM docs GROUP BY source, hash),
+before AS MATERIALIZED (SELECT source, hash, n, sum(n) OVER (PARTITION BY source ORDER BY hash) - n AS b FROM hashes)
+SELECT doc_id, CAST(d.size AS BIGINT) AS size, CAST(t.size AS BIGINT) AS source_size, target,
+    CAST(whole * d.size + CASE WHEN b + n <= rest THEN d.size WHEN b < rest THEN d.size * (rest - b) // n ELSE 0 END AS BIGINT) AS taken
+FROM docs d JOIN before b ON d.source IS NOT DISTINCT FROM b.source AND d.hash = b.hash JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+def _least(*ways: str) -> str:
+    """The cheapest of structs (c, a, t), ties to the least a; null: no way."""
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _way(p: str, cost: str, edits: str, text: str = "''", when: str = "true") -> str:
+    """The way p with further cost, edits and repaired lines."""
+    return f"CASE WHEN {p} IS NOT NULL AND ({when}) THEN {{'c': {p}.c + {cost}, 'a': {p}.a || '{edits}', 't': {p}.t || {text}}} END"
+
+
+_LINE = {"u": "'user:' || chr(10)", "a": "'assistant:' || chr(10)"}
+_KEEP = "(role || ':' || text || chr(10))"
+_REROLE = {x: f"('{x}:' || text || chr(10))" for x in ("user", "assistant")}
+_STAYS = "fault NOT IN ('blank', 'duplicate')"
+_MORE = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+_ONE_U, _ONE_A, _BOTH = _LINE["u"], _LINE["a"], f"({_LINE['u']} || {_LINE['a']})"
+
+
+def _closed(v0: str, v1: str, v2: str, v3: str) -> str:
+    """The four ways after any inserts, as w0 to w3."""
+    w2 = _least(v2, _way(v0, "5", "I", _ONE_U), _way(v1, "5", "I", _ONE_U), _way(v3, "5", "I", _ONE_U))
+    w3 = _least(v3, _way(v2, "5", "I", _ONE_A), _way(v0, "10", "II", _BOTH), _way(v1, "10", "II", _BOTH))
+    return f"{v0} AS w0, {v1} AS w1, {w2} AS w2, {w3} AS w3"
+
+
+_READ_U = [way for w in ("w0", "w1", "w3") for way in (_way(w, _MORE, "K", _KEEP, f"letter = 'u' AND {_STAYS}"), _way(w, f"1 + {_MORE}", "R", _REROLE["user"], _STAYS))]
+_READ_A = [_way("w2", _MORE, "K", _KEEP, f"letter = 'a' AND {_STAYS}"), _way("w2", f"1 + {_MORE}", "R", _REROLE["assistant"], _STAYS)]
+_WAY_TYPE = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+
+REPAIR = f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)
+),
+keyed AS MATERIALIZED (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+    FROM conversations
+),
+ways AS MATERIALIZED (
+    SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS way
+    FROM keyed, crc
+),
+rows_ AS MATERIALIZED (
+    SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM ways, (SELECT unnest([0, 1]) AS copy) WHERE way <> 0 AND (copy = 0 OR way = 3)
+),
+placed AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS letter FROM rows_
+),
+faults AS MATERIALIZED (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+        lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter NOT IN ('su', 'ua', 'au') AS odd
+    FROM placed
+),
+steps AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 't': ''}} AS {_WAY_TYPE}) AS v0, CAST(NULL AS {_WAY_TYPE}) AS v1, CAST(NULL AS {_WAY_TYPE}) AS v2, CAST(NULL AS {_WAY_TYPE}) AS v3
+    FROM (SELECT DISTINCT conv_id FROM placed)
+    UNION ALL
+    SELECT conv_id, i, {_way("w0", "2", "D")}, {_least(_way("w1", "2", "D"), _way("w0", _MORE, "K", _KEEP, f"letter = 's' AND {_STAYS}"))},
+        {_least(_way("w2", "2", "D"), *_READ_U)}, {_least(_way("w3", "2", "D"), *_READ_A)}
+    FROM (SELECT s.conv_id, f.i, f.role, f.text, f.letter, f.fault, {_closed("v0", "v1", "v2", "v3")} FROM steps s JOIN faults f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1)
+),
+counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal
+    FROM faults GROUP BY conv_id
+),
+ends AS (
+    SELECT conv_id, i, {_least("v0", _way("v1", "10", "II", _BOTH), _way("v2", "5", "I", _ONE_A), "v3")} AS best FROM steps
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(left(best.t, length(best.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON c.conv_id IS NOT DISTINCT FROM n.conv_id
+LEFT JOIN ends e ON n.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = n.n
+"""
+
+ORACLE_SQL = {"op3_chat_formatting": CHAT, "op8_decontamination": DECONTAMINATION, "op9_warc": WARC, "op10_jaccard_join": JACCARD, "op12_conversation_repair": REPAIR, "op13_source_mixing": MIXING}
