@@ -191,4 +191,31 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON c.conv
 LEFT JOIN ends e ON n.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = n.n
 """
 
-ORACLE_SQL = {"op3_chat_formatting": CHAT, "op8_decontamination": DECONTAMINATION, "op9_warc": WARC, "op10_jaccard_join": JACCARD, "op12_conversation_repair": REPAIR, "op13_source_mixing": MIXING}
+PHRASES = f"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+pieces AS MATERIALIZED (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts)
+),
+runs AS (SELECT lang, k, list_slice(w, i + 1, i + k) AS p FROM (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+counts AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM runs GROUP BY lang, k, p),
+sizes AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k, p, f FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, k, p, f, unnest(range(1, k)) AS c FROM candidates),
+scored AS (
+    SELECT x.lang, x.p, x.f AS a, c, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * x.f // (l.f + r.f) AS BIGINT) AS score
+    FROM cuts x JOIN counts l ON l.lang = x.lang AND l.p = list_slice(x.p, 1, c) JOIN counts r ON r.lang = x.lang AND r.p = list_slice(x.p, c + 1, x.k)
+),
+weakest AS (SELECT lang, p, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(score := score, c := c)) AS x FROM scored GROUP BY lang, p, a),
+inner_ AS (
+    SELECT lang, f, list_slice(p, i + 1, i + k) AS q FROM (SELECT lang, p, f, k, unnest(range(len(p) - k + 1)) AS i
+        FROM (SELECT lang, p, f, unnest(range(2, len(p))) AS k FROM candidates WHERE len(p) > 2))
+),
+within AS MATERIALIZED (SELECT DISTINCT c.lang, c.p FROM inner_ i JOIN candidates c ON c.lang = i.lang AND c.p = i.q WHERE 100::HUGEINT * i.f >= 80::HUGEINT * c.f),
+ranked AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY x.score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, x.l AS l, x.r AS r, x.score AS score
+    FROM weakest ANTI JOIN within USING (lang, p)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op3_chat_formatting": CHAT, "op8_decontamination": DECONTAMINATION, "op9_warc": WARC, "op10_jaccard_join": JACCARD, "op11_phrase_mining": PHRASES, "op12_conversation_repair": REPAIR, "op13_source_mixing": MIXING}

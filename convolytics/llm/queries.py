@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolytics.llm import ann, chat, decontam, html_text, jaccard, langid, mixing, piece_bpe, repair, token_count, toxicity, warc
+from convolytics.llm import ann, chat, decontam, html_text, jaccard, langid, mixing, phrases, piece_bpe, repair, token_count, toxicity, warc
 from convolytics.llm.common import scratch, table
 from convolytics.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -79,6 +79,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report_damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -92,6 +96,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_chat_formatting, op4_toxicity, op5_html_extraction, op6_sentencepiece, op7_nearest_neighbours,
-        op8_decontamination, op9_warc, op10_jaccard_join, op12_conversation_repair, op13_source_mixing,
+        op8_decontamination, op9_warc, op10_jaccard_join, op11_phrase_mining, op12_conversation_repair, op13_source_mixing,
     )
 }
