@@ -3,8 +3,9 @@
 Blocks of text pass points for their length and commas to the elements around them, half as many with each level; an
 element's points are discounted by its link density. The best container is taken, widened to the article or main element
 that it stands in, and joined by those of its siblings that look like text. Elements that can't be the article (menus,
-headers, footers, sidebars, forms, scripts and so on, by name or role) are left out, and so are those whose class or id
-speaks against them on balance; if nothing is left without the latter, the page is scored again with them.
+headers, footers, sidebars, scripts and so on, by name or role) are left out, and so are those whose class or id
+speaks against them on balance; if nothing is left without the latter, the page is scored again with them. Controls of
+forms are always left out, the text of a form unless it is more than half of the page's: some pages stand in a form.
 
 Broken markup is read leniently: missing end tags are implied, wrong ones ignored. The time is linear in the length of
 a page, also where it is nested deeply: open elements are counted by name, scores are summed once from the leaves up.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from convolytics.llm.common import byte_blocks, put
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=[\"']))", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -37,7 +38,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend".split())
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tr td th", "table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
-DROPPED = frozenset("script style noscript template head title nav footer aside form menu iframe svg math canvas object embed applet audio video map select button input textarea label datalist dialog xmp noembed noframes".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside menu iframe svg math canvas object embed applet audio video map select button input textarea label datalist dialog xmp noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar aside rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations widget pagination pager skip login paywall disclaimer".split())
 KEPT = frozenset("html body article main".split())
@@ -46,11 +47,15 @@ HEADING_WORDS = frozenset("header banner masthead".split())
 STATE_WORDS = frozenset("has with no without is not show hide".split())
 
 
+#: Where the text of a raw element ends, searched in the page itself: a letter's lower case can be longer than it.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "points", "score", "chars", "link_chars", "enter", "leave")
+    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "held", "points", "score", "chars", "link_chars", "enter", "leave")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, unlikely: bool = False):
-        self.tag, self.parent, self.children, self.dropped, self.unlikely = tag, parent, [], dropped, unlikely
+        self.tag, self.parent, self.children, self.dropped, self.unlikely, self.held = tag, parent, [], dropped, unlikely, 0
 
 
 def _verdict(token: str) -> int:
@@ -124,16 +129,20 @@ _P, _P_FENCE = frozenset("p"), frozenset("table td th button".split())
 
 
 def parse(html: str) -> Node:
-    """Tree of the page; text below dropped elements isn't kept."""
+    """Tree of the page; text below dropped elements isn't kept. A form is dropped unless it holds most of the text."""
     root = Node("html", None)
     opened = _Open(root)
+    forms: list[Node] = []
     at, end = 0, len(html)
-    lower: str | None = None
     while at < end:
         m = _MARKUP.search(html, at)
         top = opened.stack[-1]
         if (stop := m.start() if m else end) > at and not top.dropped:
             top.children.append(html[at:stop])
+            n = len(top.children[-1].strip())
+            root.held += n
+            if inside := opened.depths.get("form"):
+                opened.stack[inside[0]].held += n
         if not m:
             break
         at = m.end()
@@ -155,13 +164,16 @@ def parse(html: str) -> Node:
         node = Node(tag, top, dropped, unlikely)
         if not dropped:
             top.children.append(node)
+            if tag == "form":
+                forms.append(node)
         if tag in RAW:
-            lower = lower or html.lower()
-            at = lower.find(f"</{tag}", at)
-            at = end if at < 0 else at
+            shut = RAW_END[tag].search(html, at)
+            at = shut.start() if shut else end
             at = end if (shut_at := html.find(">", at)) < 0 else shut_at + 1
         elif tag not in VOID and (tag in BLOCK or not attributes.endswith("/")):
             opened.push(node)
+    for node in forms:
+        node.dropped = 2 * node.held <= root.held
     return root
 
 
@@ -207,7 +219,7 @@ def blocks(root: Node, strict: bool = True) -> list[tuple[Node, str]]:
             n = len(piece.strip())
             node.chars += n
             node.link_chars += n * linked
-        elif strict and child.unlikely:
+        elif child.dropped or strict and child.unlikely:
             continue
         else:
             if child.tag in BLOCK:

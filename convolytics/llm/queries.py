@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +11,8 @@ from convolytics.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only where it is needed: the other queries do without
+
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -54,6 +55,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only where it is needed: the other queries do without
+
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return piece_bpe.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 

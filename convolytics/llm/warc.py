@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,17 +42,21 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page "), page_id.cast("string")))
+def record_id(page_id: Column, digest: Column, kind: str) -> Column:
+    """An id for each page, payload and kind of record: a page that comes again with another payload has another one."""
+    h = F.md5(F.concat_ws(" ", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("")), digest))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, refers_to, payload_digest of the revisits, from page_id, payload_bytes, payload_digest of all records."""
+    """page_id, refers_to, refers_to_url, payload_digest of the revisits, from page_id, url, payload_bytes, payload_digest
+    of all records. Of rows that repeat a response's id, the least url counts."""
     long = headers.where(F.col("payload_bytes") >= min_bytes)
-    first = long.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return long.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "refers_to", "payload_digest").distinct()
+    least = F.min(F.struct("page_id", "url")).alias("least")
+    first = long.where("page_id is not null").groupBy("payload_digest").agg(least, F.count("*").alias("n")).where("n > 1")
+    first = first.select("payload_digest", F.col("least.page_id").alias("refers_to"), F.col("least.url").alias("refers_to_url"))
+    return long.join(first, "payload_digest").where("page_id > refers_to").select("page_id", "refers_to", "refers_to_url", "payload_digest").distinct()
 
 
 def _line(name: str, value: Column) -> Column:
@@ -60,34 +65,37 @@ def _line(name: str, value: Column) -> Column:
 
 def _record(date: str) -> Column:
     """A row's record without the line ends that close it."""
-    url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "%0A")
+    clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("about:blank")), r"[\r\n]", "%0A")
+    digest = F.col("payload_digest")
     page_id = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CLOSE))
-    common = F.concat(
-        _line("WARC-Record-ID", record_id(page_id)), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", url),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), _line("X-Page-ID", page_id), _line("X-Payload-Length", F.col("payload_bytes")),
+    common = lambda kind: F.concat(
+        _line("WARC-Record-ID", record_id(page_id, digest, kind)), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", clean("url")),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)), _line("X-Page-ID", page_id), _line("X-Payload-Length", F.col("payload_bytes")),
     )
     revisit = F.concat(
-        F.lit(f"WARC/1.1{EOL}WARC-Type: revisit{EOL}"), common, _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id(F.col("refers_to"))),
-        _line("X-Refers-To-Page-ID", F.col("refers_to")), F.lit(f"Content-Length: 0{CLOSE}"),
+        F.lit(f"WARC/1.1{EOL}WARC-Type: revisit{EOL}"), common("revisit"), _line("WARC-Profile", F.lit(PROFILE)), _line("WARC-Refers-To", record_id(F.col("refers_to"), digest, "response")),
+        _line("WARC-Refers-To-Target-URI", clean("refers_to_url")), _line("WARC-Refers-To-Date", F.lit(date)), _line("X-Refers-To-Page-ID", F.col("refers_to")), F.lit(f"Content-Length: 0{CLOSE}"),
     )
     head = F.concat(
-        F.lit(f"WARC/1.1{EOL}WARC-Type: response{EOL}"), common, F.lit(f"Content-Type: application/http; msgtype=response{EOL}"),
+        F.lit(f"WARC/1.1{EOL}WARC-Type: response{EOL}"), common("response"), F.lit(f"Content-Type: application/http; msgtype=response{EOL}"),
         _line("Content-Length", F.octet_length(http) + F.col("payload_bytes")), F.lit(EOL), http,
     )
     response = F.concat(head.cast("binary"), F.col("payload"))
     return F.when(F.col("refers_to").isNotNull(), revisit.cast("binary")).otherwise(response).cast("string")
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, payload_col: str = "html", date: str = "2020-01-01T00:00:00Z", sizes: tuple = SIZES) -> None:
-    """Write the pages (page_id, url, payload) as deduplicated archives below the new folder path, one folder a size."""
+def write(pages: DataFrame, path: str, min_bytes: int = 0, payload_col: str = "html", date: str | None = None, sizes: tuple = SIZES) -> None:
+    """Write the pages (page_id, url, payload) as deduplicated archives below the new folder path, one folder a size.
+    date: of all records, by default the time of writing."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     size = F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long")
     least = [0, *(most + 1 for most, _ in sizes[:-1])]
     tier = sum(((size >= x).cast("int") for x in least[1:]), F.lit(0))
     headed = pages.select("page_id", "url", payload.alias("payload"), size.alias("payload_bytes"), tier.alias("tier")).withColumn("payload_digest", payload_digest(F.col("payload")))
     used = {r[0] for r in pages.select(tier.alias("tier")).distinct().collect()} or {0}
-    revisits = materialize(resolve(headed.select("page_id", "payload_bytes", "payload_digest"), min_bytes), "warc-revisits")
+    revisits = materialize(resolve(headed.select("page_id", "url", "payload_bytes", "payload_digest"), min_bytes), "warc-revisits")
     for i in sorted(used):
         rows = headed.where(F.col("tier") == i).join(revisits, ["page_id", "payload_digest"], "left")
         rows.select(_record(date).alias("value")).write.option("lineSep", CLOSE).option("maxRecordsPerFile", sizes[i][1]).text(f"{path}/size-{i}")
