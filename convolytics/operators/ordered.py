@@ -13,7 +13,7 @@ from convolytics.functions import text as T
 
 def dialogue_turns(texts: DataFrame, text_col: str = "full_text") -> DataFrame:
     """session_id, at, n, role, content of the tutor's and student's lines of each session's marked text."""
-    lines = texts.select("session_id", F.explode(T.parse_lines(F.col(text_col))).alias("l")).select("session_id", "l.*").where(F.col("role").isin("student", "tutor"))
+    lines = T.view_lines(texts, "session_id", text_col).withColumnRenamed("at", "idx").where(F.col("role").isin("student", "tutor"))
     w = Window.partitionBy("session_id")
     return lines.withColumns({"at": F.row_number().over(w.orderBy("idx")) - 1, "n": F.count("*").over(w)})
 

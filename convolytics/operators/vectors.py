@@ -35,8 +35,9 @@ VARIANTS: dict[str, list[tuple[str, str, float]]] = {
 
 
 def unit(v: Column, guard: float = 1e-12) -> Column:
+    """v at length 1. The norm is the argument of a lambda over one element, so that it is worked out once a vector."""
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(guard))
-    return F.transform(v, lambda x: x / norm)
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x / n)), 1)
 
 
 def interaction(c: Column, o: Column) -> Column:

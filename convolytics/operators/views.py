@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ NO_PAIR = "no_answer_feedback_pair"
 def scored_turns(texts: DataFrame, responses: DataFrame, text_col: str = "full_text") -> DataFrame:
     """response_id, at, n, role, content, score: dialogue turns with their overlap with the response's objective."""
     asked = responses.select("response_id", "session_id", T.terms(F.col("objective")).alias("terms"), T.term_bigrams(F.col("objective")).alias("bigrams"))
-    turns = dialogue_turns(texts, text_col).select("session_id", "at", "n", "role", "content")
-    return asked.join(turns, "session_id").select("response_id", "at", "n", "role", "content", T.overlap_score(F.col("terms"), F.col("bigrams"), F.col("content")).alias("score"))
+    turns = dialogue_turns(texts, text_col).select("session_id", "at", "n", "role", "content", T.tokens(F.col("content")).alias("tokens"))
+    score = T.token_score(F.col("terms"), F.col("bigrams"), F.col("tokens"), T.bigrams(F.col("tokens")))
+    return asked.join(turns, "session_id").select("response_id", "at", "n", "role", "content", score.alias("score"))
 
 
 def pick(rows: DataFrame, by: str, order: str, top: int, last: int, least: int = 4) -> DataFrame:
@@ -76,44 +78,60 @@ def session_trajectory(texts: DataFrame, first: int = 5, around: int = 3, last:
     return texts.select("session_id").join(lines, "session_id", "left").select("session_id", F.array_join(F.concat(F.array(F.lit("[SESSION_TRAJECTORY]")), F.coalesce("_lines", F.array().cast("array<string>"))), "\n").alias("trajectory"))
 
 
-def role_prefixed(view: Column) -> Column:
-    """Words of a view's objective, answers and feedback, each with its line's prefix; sentinels for what is missing."""
-    known = F.filter(T.parse_lines(view), lambda x: x["role"].isin(*PREFIXES))
-    prefix = lambda role: F.element_at(F.create_map(*[F.lit(v) for kv in PREFIXES.items() for v in kv]), role)
-    words = F.flatten(F.transform(known, lambda x: F.transform(F.regexp_extract_all(F.lower(x["content"]), F.lit(r"(?U)\w+"), 0), lambda w: F.concat(prefix(x["role"]), F.lit("_"), w))))
-
-    def missing(name: str) -> Column:
-        return F.when(F.exists(words, lambda w: w.startswith(f"{name}_")), F.lit(None)).otherwise(f"{name}_missing")
-
-    return F.array_join(F.concat(words, F.array(missing(PREFIXES["answer"]), missing(PREFIXES["feedback"]))), " ")
-
-
-def feedback_events(view: Column, cues: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """Each answer of a view that feedback follows, as symbols on its own line: place, link to the objective, cues and
-    their crossings."""
-    cues = cues or T.TURN_CUES
-    lines = T.parse_lines(view)
-    objective = F.coalesce(F.get(F.reverse(F.filter(lines, lambda x: x["role"] == "objective")), F.lit(0))["content"], F.lit(""))
-    said = F.filter(lines, lambda x: ~x["role"].isin("objective", "unknown"))
-    places = F.filter(F.sequence(F.lit(0), F.size(said)), lambda i: (F.get(said, i)["role"] == "answer") & (F.get(said, i + 1)["role"] == "feedback"))
-    pairs = F.transform(places, lambda i: F.struct(F.get(said, i)["content"].alias("a"), F.get(said, i + 1)["content"].alias("f")))
+def answered_lines(df: DataFrame, key: str, view: str) -> DataFrame:
+    """key, at, role, content of a view's lines, with pair: an answer that feedback follows (objective and unmarked lines
+    don't count), and for it feedback, objective, i and n: what follows, what it is about, its place and their number.
+
+    All windows are by key, so that lines are shuffled once.
+    """
+    whole = Window.partitionBy(key)
+    said = Window.partitionBy(key, "said").orderBy("at")
+    about = F.col("role") == "objective"
+    lines = T.view_lines(df, key, view).withColumn("said", ~F.col("role").isin("objective", "unknown"))
+    lines = lines.withColumns({
+        "objective": F.coalesce(F.max_by(F.when(about, F.col("content")), F.when(about, F.col("at"))).over(whole), F.lit("")),
+        "next_role": F.lead("role").over(said), "feedback": F.lead("content").over(said),
+    })
+    lines = lines.withColumn("pair", F.coalesce((F.col("role") == "answer") & (F.col("next_role") == "feedback"), F.lit(False)))
+    pairs = F.col("pair").cast("int")
+    return lines.withColumns({"i": F.sum(pairs).over(whole.orderBy("at")) - 1, "n": F.sum(pairs).over(whole), "answer": F.col("content")}).drop("said", "next_role")
+
+
+def pair_symbols(cues: Mapping[str, Sequence[str]]) -> Column:
+    """What a pair of answered_lines says: place, link to the objective, cues and their crossings."""
+    a, f, n, i, overlap = (F.col(c) for c in ("answer", "feedback", "n", "i", "overlap"))
     either = lambda test, yes, no: F.when(test, yes).otherwise(no)
     cue = lambda text, name: T.has_cue(text, cues[name]) > 0
-
-    def symbols(p: Column, i: Column) -> Column:
-        a, f, n = p["a"], p["f"], F.size(pairs)
-        overlap = T.overlap_ratio(T.terms(objective), a)
-        place = F.when(3 * i < n, "early").when(3 * i >= 2 * n, "late").otherwise("middle")
-        level = F.when(overlap == 0, "none").when(overlap >= 0.5, "high").otherwise("some")
-        reasons, doubts = either(cue(a, "reasoning"), "reasoning", "no_reasoning"), either(cue(a, "uncertainty"), "uncertain", "certain")
-        affirms, corrects = either(cue(f, "affirm"), "affirm", "no_affirm"), either(cue(f, "correction"), "corrective", "no_corrective")
-        digits = F.exists(T.tokens(a), lambda t: t.rlike("^[0-9]+$"))
-        flags = [reasons, doubts, either(a.contains("?"), "answer_question", "answer_statement"), either(digits, "answer_numeric", "answer_text"), either(T.space_words(a) <= 5, "answer_short", "answer_long")]
-        flags += [affirms, corrects, either(f.contains("?"), "feedback_question", "feedback_statement"), either(cue(f, "reasoning"), "feedback_reasoning", "no_feedback_reasoning")]
-        crossed = [F.concat(F.lit("pair_"), x, F.lit("_"), y) for x, y in ((F.concat(F.lit("obj_"), level), affirms), (reasons, affirms), (doubts, corrects), (place, affirms), (place, corrects))]
-        return F.concat_ws(" ", F.concat(F.lit("pair_position_"), place), F.concat(F.lit("objective_"), level), *flags, *crossed)
-
-    return either(F.size(pairs) > 0, F.array_join(F.transform(pairs, symbols), "\n"), NO_PAIR)
+    place = F.when(3 * i < n, "early").when(3 * i >= 2 * n, "late").otherwise("middle")
+    level = F.when(overlap == 0, "none").when(overlap >= 0.5, "high").otherwise("some")
+    reasons, doubts = either(cue(a, "reasoning"), "reasoning", "no_reasoning"), either(cue(a, "uncertainty"), "uncertain", "certain")
+    affirms, corrects = either(cue(f, "affirm"), "affirm", "no_affirm"), either(cue(f, "correction"), "corrective", "no_corrective")
+    digits = F.lower(a).rlike("(?<![a-z0-9])[0-9]+(?![a-z0-9])")
+    flags = [
+        reasons, doubts, either(a.contains("?"), "answer_question", "answer_statement"), either(digits, "answer_numeric", "answer_text"),
+        either(T.space_words(a) <= 5, "answer_short", "answer_long"), affirms, corrects,
+        either(f.contains("?"), "feedback_question", "feedback_statement"), either(cue(f, "reasoning"), "feedback_reasoning", "no_feedback_reasoning"),
+    ]
+    both = ((F.concat(F.lit("obj_"), level), affirms), (reasons, affirms), (doubts, corrects), (place, affirms), (place, corrects))
+    crossed = [F.concat(F.lit("pair_"), x, F.lit("_"), y) for x, y in both]
+    return F.concat_ws(" ", F.concat(F.lit("pair_position_"), place), F.concat(F.lit("objective_"), level), *flags, *crossed)
+
+
+def feedback_texts(df: DataFrame, key: str, view: str, cues: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """key, prefixed, events of each view; key is unique. prefixed: the words of its objective, answers and feedback, each
+    with its line's prefix, sentinels for what is missing; events: each answered pair as a line of symbols, the sentinel
+    where there is none. Lines are exploded once; all symbols are plain expressions of a row."""
+    prefix = reduce(lambda c, kv: c.when(F.col("role") == kv[0], kv[1] + "_"), PREFIXES.items(), F)
+    words = F.array_join(F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)\w+"), 0), " ")
+    named = F.when(F.col("role").isin(*PREFIXES) & (words != ""), F.concat(prefix, F.replace(words, F.lit(" "), F.concat(F.lit(" "), prefix))))
+    lines = answered_lines(df, key, view).withColumn("overlap", F.when(F.col("pair"), T.overlap_ratio(T.terms(F.col("objective")), F.col("answer"))))
+    lines = lines.select(key, "at", "role", named.alias("_named"), F.when(F.col("pair"), pair_symbols(cues or T.TURN_CUES)).alias("_said"))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c)))).alias(c)
+    spoken = [F.max(F.col("_named").isNotNull() & (F.col("role") == r)).alias(f"_{r}") for r in ("answer", "feedback")]
+    found = df.select(key).join(lines.groupBy(key).agg(listed("_named"), listed("_said"), *spoken), key, "left")
+    absent = [F.when(F.coalesce(f"_{r}", F.lit(False)), F.lit(None)).otherwise(f"{PREFIXES[r]}_missing") for r in ("answer", "feedback")]
+    events = F.when(F.size("_said") > 0, F.array_join(F.col("_said._said"), "\n")).otherwise(NO_PAIR)
+    return found.select(key, F.concat_ws(" ", F.col("_named._named"), *absent).alias("prefixed"), events.alias("events"))
 
 
 def compact_context(context: Column, last: int = 8, first: int = 4, words: int = 16) -> Column:

@@ -34,8 +34,11 @@ _SCORED = f"""{_TURNS}, {ASKED},
   CASE WHEN role = 'tutor' THEN {_HELD(T.POSITIVE_FEEDBACK + T.CORRECTIVE_FEEDBACK, 'content')} ELSE 0.5e0 * {_HELD(T.STUDENT_REASONING + T.STUDENT_UNCERTAINTY, 'content')} END AS bonus FROM asked JOIN turns USING (session_id))"""
 
 
-def _picked(source, top, last, line, out):
-    """SQL for views.pick and the rendering of what is kept."""
+def _picked(source, top, last, line, out, named=None):
+    """SQL for views.pick and the rendering of what is kept; named: as a relation of this name, which is then read."""
+    if named:
+        chosen, shown = _picked(source, top, last, line, out).rsplit("\n", 1)
+        return f"{chosen}, {named} AS ({shown.strip()}) SELECT * FROM {named}"
     return f"""ranked AS (SELECT *, count(*) OVER g AS cnt, row_number() OVER (PARTITION BY response_id ORDER BY at_) - 1 AS pos, row_number() OVER (PARTITION BY response_id ORDER BY round(score, 9) DESC, at_ DESC) AS nth FROM {source} WINDOW g AS (PARTITION BY response_id)),
  marked AS (SELECT *, (nth <= {top} AND score > 0) OR pos >= cnt - {last} AS kept FROM ranked), filled AS (SELECT *, kept OR (sum(kept::INT) OVER (PARTITION BY response_id) < least(4, cnt) AND pos IN (0, cnt - 1, (cnt - 1) // greatest(1, least(4, cnt) - 1), CASE WHEN cnt >= 4 THEN 2 * (cnt - 1) // 3 ELSE 0 END)) AS kept2 FROM marked),
  body AS (SELECT response_id, string_agg({line}, chr(10) ORDER BY at_) AS body FROM filled WHERE kept2 GROUP BY response_id)
@@ -46,7 +49,7 @@ def _turns(spark, d):
     return views.scored_turns(_texts(spark, d), B.responses(spark, d))
 
 
-@query(f"WITH {_SCORED}, mine AS (SELECT * FROM sc WHERE role = 'student'), {_picked('mine', 6, 4, repr('[STUDENT] ') + ' || ' + _SHORT('content', 16), 'evidence')}")
+@query(f"WITH {_SCORED}, mine AS (SELECT * FROM sc WHERE role = 'student'), {_picked('mine', 6, 4, repr('[STUDENT] ') + ' || ' + _SHORT('content', 16), 'evidence', 'shown')}")
 def role_evidence(spark, d):
     return views.role_evidence(_turns(spark, d), B.responses(spark, d), "student")
 
@@ -55,7 +58,7 @@ _EXCHANGES = f"""{_SCORED}, led AS (SELECT response_id, at_, role, content, scor
  ex AS (SELECT response_id, at_, value + v2 AS score, CASE WHEN role = 'student' THEN '[ANSWER] ' || {_SHORT('content', 14)} || chr(10) || '[FEEDBACK] ' || {_SHORT('c2', 14)} ELSE '[PROMPT] ' || {_SHORT('content', 14)} || chr(10) || '[RESPONSE] ' || {_SHORT('c2', 14)} END AS rendered FROM led WHERE role <> r2)"""
 
 
-@query(f"WITH {_EXCHANGES}, {_picked('ex', 5, 2, 'rendered', 'feedback')}")
+@query(f"WITH {_EXCHANGES}, {_picked('ex', 5, 2, 'rendered', 'feedback', 'shown')}")
 def feedback_windows(spark, d):
     return views.feedback_windows(_turns(spark, d), B.responses(spark, d))
 
@@ -94,7 +97,7 @@ _MISSING = " || ".join(f"CASE WHEN len(list_filter(ws, lambda w: starts_with(w,
 def feedback_symbols(spark, d):
     """Prefixed words and symbolic events of each response's feedback windows."""
     w = views.feedback_windows(_turns(spark, d), B.responses(spark, d))
-    return w.select("response_id", views.role_prefixed(F.col("feedback")).alias("prefixed"), views.feedback_events(F.col("feedback"), CUES).alias("events"))
+    return views.feedback_texts(w, "response_id", "feedback", CUES)
 
 
 _MODELS = ["semantic", "bge_base", "nbsvm"]

@@ -51,10 +51,10 @@ _TURNS = f"""{_FULL}, raw AS (SELECT session_id, unnest(list_filter(list_transfo
   avg(later_overlap - overlap) FILTER (role = 'student' AND next_role = 'tutor' AND nc > 0) AS rdm, max(position) FILTER (affirm > 0) AS lap FROM w GROUP BY response_id)"""
 
 
-@query(f"""WITH {_TURNS} SELECT response_id, coalesce(turns, 0)::DOUBLE AS ordered_dialogue_turns, coalesce(st, 0)::DOUBLE AS ordered_student_turns, coalesce(sw, 0)::DOUBLE AS ordered_role_switches, coalesce(ae, 0)::DOUBLE AS ordered_affirm_early, coalesce(rl, 0)::DOUBLE AS ordered_reasoning_late,
+@query(f"""WITH {_TURNS}, shown AS (SELECT response_id, coalesce(turns, 0)::DOUBLE AS ordered_dialogue_turns, coalesce(st, 0)::DOUBLE AS ordered_student_turns, coalesce(sw, 0)::DOUBLE AS ordered_role_switches, coalesce(ae, 0)::DOUBLE AS ordered_affirm_early, coalesce(rl, 0)::DOUBLE AS ordered_reasoning_late,
  round(coalesce(som, 0), 6) AS ordered_student_objective_mean, round(coalesce(tox, 0), 6) AS ordered_tutor_objective_max, round(coalesce(sol, 0), 6) AS ordered_student_objective_last, coalesce(pairs, 0)::DOUBLE AS ordered_feedback_pairs, coalesce(ap, 0)::DOUBLE AS ordered_affirm_pairs, coalesce(ucp, 0)::DOUBLE AS ordered_uncertain_correction_pairs,
  coalesce(ro, 0)::DOUBLE AS ordered_repair_opportunities, coalesce(ri, 0)::DOUBLE AS ordered_repair_overlap_improved, coalesce(rla, 0)::DOUBLE AS ordered_repair_later_affirm, round(coalesce(rdm, 0), 6) AS ordered_repair_overlap_delta_mean,
- round(CASE WHEN ro > 0 THEN (ri + rla) / (2 * ro) ELSE 0 END, 6) AS ordered_repair_success_rate, round(coalesce(lap, -1), 6) AS ordered_last_affirm_position FROM responses LEFT JOIN a USING (response_id)""")
+ round(CASE WHEN ro > 0 THEN (ri + rla) / (2 * ro) ELSE 0 END, 6) AS ordered_repair_success_rate, round(coalesce(lap, -1), 6) AS ordered_last_affirm_position FROM responses LEFT JOIN a USING (response_id)) SELECT * FROM shown""")
 def ordered_features(spark, d):
     out = ordered.ordered_features(_texts(spark, d), B.responses(spark, d), CUES)
     names = "dialogue_turns student_turns role_switches affirm_early reasoning_late student_objective_mean tutor_objective_max student_objective_last feedback_pairs affirm_pairs uncertain_correction_pairs repair_opportunities repair_overlap_improved repair_later_affirm repair_overlap_delta_mean repair_success_rate last_affirm_position".split()

@@ -22,18 +22,23 @@ def value(spark, column):
 
 def test_prefixed_words(spark):
     view = "[OBJECTIVE] Add halves\n[ANSWER] One half!\n[PROMPT] skipped\nunmarked"
-    assert value(spark, views.role_prefixed(F.lit(view))) == "learning_objective_add learning_objective_halves student_speech_one student_speech_half tutor_feedback_missing"
-    assert value(spark, views.role_prefixed(F.lit(None).cast("string"))) == "student_speech_missing tutor_feedback_missing"
+    rows = spark.createDataFrame([(1, view), (2, None), (3, "[FEEDBACK] ok\n[ANSWER] !")], "id int, view string")
+    assert dict(views.feedback_texts(rows, "id", "view").select("id", "prefixed").collect()) == {
+        1: "learning_objective_add learning_objective_halves student_speech_one student_speech_half tutor_feedback_missing",
+        2: "student_speech_missing tutor_feedback_missing",
+        3: "tutor_feedback_ok student_speech_missing",
+    }
 
 
 def test_feedback_events(spark):
     view = "[OBJECTIVE] Represent fractions\n[ANSWER] maybe 3 fractions?\n[FEEDBACK] Not quite, because\n[PROMPT] a\n[RESPONSE] b"
-    got = value(spark, views.feedback_events(F.lit(view)))
-    assert got == (
+    rows = spark.createDataFrame([(1, view), (2, "[ANSWER] a\n[ANSWER] b"), (3, None), (4, "[OBJECTIVE] x\n[ANSWER] a\n[OBJECTIVE] y\n[FEEDBACK] b")], "id int, view string")
+    got = dict(views.feedback_texts(rows, "id", "view").select("id", "events").collect())
+    assert got[2] == got[3] == views.NO_PAIR and got[4].startswith("pair_position_early objective_none no_reasoning")
+    assert got[1] == (
         "pair_position_early objective_high no_reasoning uncertain answer_question answer_numeric answer_short no_affirm corrective feedback_statement feedback_reasoning "
         "pair_obj_high_no_affirm pair_no_reasoning_no_affirm pair_uncertain_corrective pair_early_no_affirm pair_early_corrective"
     )
-    assert value(spark, views.feedback_events(F.lit("[ANSWER] a\n[ANSWER] b"))) == views.NO_PAIR
 
 
 def test_compact_context(spark):

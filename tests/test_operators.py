@@ -25,11 +25,20 @@ def test_seconds(spark):
 
 
 def test_parse_lines_and_hypothesis(spark):
-    lines = value(spark, T.parse_lines(F.lit("[TUTOR] Hi\n\n more \n[STUDENT] Yes")))
+    view = spark.createDataFrame([(1, "[TUTOR] Hi\n\n more \n[STUDENT] Yes")], "id int, view string")
+    lines = T.view_lines(view, "id", "view").orderBy("at").collect()
     assert [(x.role, x.content) for x in lines] == [("tutor", "Hi"), ("unknown", "more"), ("student", "Yes")]
     assert value(spark, T.hypothesis(F.lit("  Adding   fractions. "))).endswith("objective: Adding fractions.")
 
 
+def test_stems_of_a_whole_text_are_those_of_its_words(spark):
+    words = [a + b for a in ("", "a", "ab", "abc", "abcd", "abcdi", "sing", "9x") for b in ("", "s", "es", "ed", "ied", "ing", "ings", "ies", "eds")]
+    text = ", ".join(words).upper() + " e\u00e9ding x"
+    rows = spark.createDataFrame([(text,)], "t string")
+    by_word = F.transform(F.regexp_extract_all(F.lower("t"), F.lit(T.TOKEN), 0), T.stem)
+    assert rows.where(T.tokens(F.col("t")) == by_word).count() == 1
+
+
 def test_cues_count_whole_words(spark):
     assert value(spark, T.cue_count(F.lit("Great! not great? greatest; well done"), T.SESSION_CUES["affirm"])) == 3
 
