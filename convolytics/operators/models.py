@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, Imputer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from convolytics.operators import sparse
 from convolytics.operators.splits import purged_pairs, purged_train
-from convolytics.sources.sinks import scratch
+from convolytics.sources.sinks import materialize, scratch
 
 
 def numeric_logistic(columns: Sequence[str], c: float = 1.0, target: str = "target", n: int = 1000) -> Pipeline:
@@ -82,37 +83,6 @@ def embedding_logistic(vector: str, c: float = 0.1, n: int = 1000, columns: Sequ
     return Pipeline(stages=[*dense, VectorAssembler(inputCols=[vector, *(["_dense"] if columns else [])], outputCol="_features"), logistic("_features", 1 / (c * n))])
 
 
-class DampedCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """1 + ln of the counts of a sparse vector."""
-
-    @keyword_only
-    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
-        super().__init__()
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        damped = F.udf(lambda v: Vectors.sparse(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-        return df.withColumn(self.getOutputCol(), damped(self.getInputCol()))
-
-
-def tf_idf_terms(terms: str, out: str, features: int, least: int) -> list:
-    """Stages over an array column of terms: (1 + ln tf) * idf of the most frequent terms, rows of length 1."""
-    counts = CountVectorizer(inputCol=terms, outputCol=f"{out}_c", vocabSize=features, minDF=least)
-    return [counts, DampedCounts(inputCol=f"{out}_c", outputCol=f"{out}_t"), IDF(inputCol=f"{out}_t", outputCol=f"{out}_i"), Normalizer(inputCol=f"{out}_i", outputCol=out)]
-
-
-def tf_idf_words(text: str, out: str, features: int = 30_000, least: int = 2) -> list:
-    """Stages: words and pairs of words as one vocabulary."""
-    words = RegexTokenizer(inputCol=text, outputCol=f"{out}_w1", pattern=r"(?U)\w+", gaps=False, minTokenLength=2)
-    both = SQLTransformer(statement=f"SELECT *, concat({out}_w1, {out}_w2) AS {out}_terms FROM __THIS__")
-    return [words, NGram(n=2, inputCol=f"{out}_w1", outputCol=f"{out}_w2"), both, *tf_idf_terms(f"{out}_terms", out, features, least)]
-
-
-def tf_idf_logistic(blocks: dict[str, list], alpha: float = 1e-4) -> Pipeline:
-    """On the blocks, name: stages that make it, side by side; for a penalty C on n rows, alpha = 1 / (C * n)."""
-    return Pipeline(stages=[*(x for stages in blocks.values() for x in stages), VectorAssembler(inputCols=list(blocks), outputCol="_features"), logistic("_features", alpha)])
-
-
 class NaiveBayesLogistic:
     """Logistic regression on hashed words, each bucket scaled by its log ratio between the classes of the rows fitted."""
 
@@ -160,35 +130,90 @@ def as_vector(df: DataFrame, array: str, out: str) -> DataFrame:
     return df.withColumn(out, array_to_vector(array))
 
 
-#: Depths of trees with about as many leaves as those of the two sizes that are compared: 7 and 15.
-TREE_DEPTHS = {"trees_7": 3, "trees_15": 4}
+def features_logistic(alpha: float) -> Pipeline:
+    """On a ready column of features; for a penalty C on n rows, alpha = 1 / (C * n)."""
+    return Pipeline(stages=[logistic("features", alpha)])
+
+
+def stored_fold(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """What a finished fold has written, or None. The mark beside it is written last."""
+    try:
+        spark.read.text(f"{path}-done").count()
+    except AnalysisException:
+        return None
+    return spark.read.schema(schema).parquet(path)
 
 
-def numeric_trees(columns: Sequence[str], target: str = "target", rounds: int = 250, step: float = 0.03, depth: int = 3, leaf: int = 100, bins: int = 255) -> Pipeline:
-    """Boosted trees of at least `leaf` rows a leaf. Trees grow by level, without an L2 term on leaves."""
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_features", handleInvalid="keep"), GBTClassifier(featuresCol="_features", labelCol=target, stepSize=step, maxIter=rounds, maxDepth=depth, minInstancesPerNode=leaf, maxBins=bins, checkpointInterval=10, seed=7)])
+def rows_digest(df: DataFrame, settings: str) -> str:
+    """A name for rows, in any order, and settings."""
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{n}|{total}|{df.schema.simpleString()}|{settings}".encode()).hexdigest()[:24]
 
 
 def out_of_fold(
-    df: DataFrame, pipeline: Callable[[int], Pipeline] | Pipeline | NaiveBayesLogistic | SessionWeighted, folds: int = 5, key: str = "response_id", purge: str = "session_id", target: str = "target"
-) -> DataFrame:
+    df: DataFrame, pipeline: Callable[[int], Pipeline] | Pipeline | NaiveBayesLogistic | SessionWeighted, folds: int = 5, key: str = "response_id", purge: str = "session_id", target: str = "target",
+    features: DataFrame | None = None, store: str | None = None, settings: str = "",
+) -> DataFrame:
     """key, fold, target, p. A fold whose training rows hold one class only gets their mean.
 
     A function gets the number of training rows of the fold, from which penalties are taken. The rows are written once to
-    the shared folder; fits and predictions of all folds read them there.
+    the shared folder; fits and predictions of all folds read them there. features: eval_fold, key and columns that a
+    fold's fit and its predictions read besides. store: a folder where each fold's predictions are kept under a digest of
+    the rows and settings (which name the model); a run that was broken off goes on with the folds that are missing.
     """
-    folder = scratch(df.sparkSession, "oof")
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "oof")
     df.write.parquet(folder)
-    rows = df.sparkSession.read.schema(df.schema).parquet(folder)
+    rows = spark.read.schema(df.schema).parquet(folder)
     train_rows = purged_pairs(rows.select("fold", purge, target), purge, folds).groupBy("eval_fold")
     facts = {r[0]: r[1:] for r in train_rows.agg(F.count("*"), F.avg(target), F.min(target), F.max(target)).collect()}  # k rows
+    kept = f"{store.rstrip('/')}/{rows_digest(rows, settings)}" if store else None
+
+    def with_features(part: DataFrame, fold: int) -> DataFrame:
+        return part if features is None else part.join(features.where(F.col("eval_fold") == fold).drop("eval_fold"), key)
 
     def one(fold: int) -> DataFrame:
         held = rows.where(F.col("fold") == fold)
         n, mean, least, most = facts.get(fold, (0, 0.5, None, None))
         if least == most:
             return held.select(key, "fold", target, F.lit(mean).cast("double").alias("p"))
-        model = (pipeline(n) if callable(pipeline) else pipeline).fit(purged_train(rows, fold, purge))
-        return model.transform(held).select(key, "fold", target, vector_to_array("probability")[1].alias("p"))
+        model = (pipeline(n) if callable(pipeline) else pipeline).fit(with_features(purged_train(rows, fold, purge), fold))
+        return model.transform(with_features(held, fold)).select(key, "fold", target, vector_to_array("probability")[1].alias("p"))
+
+    def resumed(fold: int) -> DataFrame:
+        if not kept:
+            return one(fold)
+        schema = StructType([*(rows.schema[c] for c in (key, "fold", target)), StructField("p", DoubleType())])
+        path = f"{kept}/fold-{fold}"
+        known = stored_fold(spark, path, schema)
+        if known is None:
+            one(fold).write.mode("overwrite").parquet(path)
+            spark.range(1).select(F.lit(settings).alias("value")).write.mode("overwrite").text(f"{path}-done")
+        return spark.read.schema(schema).parquet(path) if known is None else known
 
-    return reduce(DataFrame.unionByName, [one(f) for f in range(folds)])
+    return reduce(DataFrame.unionByName, [resumed(f) for f in range(folds)])
+
+
+def tf_idf_blocks(df: DataFrame, texts: Mapping[str, tuple[Column, int, int, str | None]], folds: int = 5, key: str = "response_id") -> DataFrame:
+    """eval_fold, key, features: TF-IDF blocks side by side, each fitted for each fold on the documents of the others.
+
+    texts: by name (terms, features, least documents, document's column). Where a column names the document (a session),
+    its distinct values are fitted on, once each, and every row gets its document's weights.
+    """
+    every = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("eval_fold"))
+    blocks = {}
+    for name, (terms, size, least, doc) in texts.items():
+        own = df.select("fold", F.col(doc or key).alias("doc"), terms.alias("_t"))
+        own = own.dropDuplicates(["fold", "doc"]) if doc else own
+        counts = materialize(sparse.counted(own, ["fold", "doc"], F.col("_t")), f"terms-{name}")
+        words = sparse.vocabulary(counts, size, least, folds).where("eval_fold >= 0")
+        rows = sparse.tf_idf_rows(counts.drop("fold"), words, ["doc"])
+        rows = rows.join(df.select(key, F.col(doc).alias("doc")), "doc").drop("doc") if doc else rows.withColumnRenamed("doc", key)
+        blocks[name] = rows, 1.0, size
+    return sparse.as_vectors(sparse.beside(blocks, ["eval_fold", key], unit=False), every, ["eval_fold", key], sum(b[2] for b in blocks.values()))
+
+
+def tf_idf_out_of_fold(df: DataFrame, texts: Mapping[str, tuple[Column, int, int, str | None]], c: float = 1.0, folds: int = 5, key: str = "response_id", store: str | None = None) -> DataFrame:
+    """key, fold, target, p of a logistic regression with penalty C on the blocks of tf_idf_blocks."""
+    rows = df.select(key, "session_id", "fold", "target")
+    settings = f"tf-idf {c} {sorted((n, str(t), *x) for n, (t, *x) in texts.items())}"
+    return out_of_fold(rows, lambda n: features_logistic(1 / (c * n)), folds, key, features=tf_idf_blocks(df, texts, folds, key), store=store, settings=settings)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
-from convolytics.operators import ensembles, metrics, models, ordered, retrieval, sessions, splits, vectors
+from convolytics.operators import ensembles, metrics, models, ordered, retrieval, sessions, sparse, splits, trees, vectors
 from convolytics.plans.session_queries import LONG, P, PLACED, R, STOP_SQL, folds_sql, long_predictions, metrics_sql, rounded, terms_sql, tokens_sql
 from convolytics.sources import bindings as B
-from convolytics.sources.bindings import CUES, E
+from convolytics.sources.bindings import CUES, E, U
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -322,7 +322,9 @@ def nb_ratio(spark, d):
     return rounded(vectors.nb_ratio(t), "ratio")
 
 
-NUMERIC = ["n_utterances", "n_chars", "n_student", "n_tutor", "objective_chars", "objective_words", "student_fraction"]
+# The columns of the metadata models; the first 11 are counts.
+COUNTS = ["n_utterances", "duration_seconds", "n_chars", "n_tutor", "n_student", "n_background", "n_other", "n_unclear", "n_empty", "objective_chars", "objective_words"]
+NUMERIC = [*COUNTS, "student_fraction", "tutor_fraction", "background_fraction", "unclear_fraction"]
 
 
 def _base(spark, d):
@@ -350,24 +352,69 @@ def objective_logistic_oof(spark, d):
     return models.out_of_fold(_base(spark, d), lambda n=0: models.hashed_text_logistic("objective", 1 << 14))
 
 
+@query(f"WITH {R}, {folds_sql('session_id')}, b AS (SELECT response_id, objective, session_id, fold FROM folded) SELECT fold, count(*) AS rows FROM b GROUP BY fold")
+def model_rows(spark, d):
+    """Rows of each fold that the models of out-of-fold queries read."""
+    return _base(spark, d).groupBy("fold").agg(F.count("*").alias("rows"))
+
+
+@query()
+def log_metadata_oof(spark, d):
+    """The metadata model on logarithms of counts, penalty C = 0.3, of rows purged of the fold's sessions."""
+    return models.out_of_fold(sessions.log_counts(_base(spark, d), COUNTS), lambda n=1000: models.numeric_logistic(NUMERIC, 0.3, n=n))
+
+
+def _objective_words(size):
+    return sparse.word_terms(F.col("objective"), accents=False), size, 2, None
+
+
 @query()
 def objective_tf_idf_oof(spark, d):
-    return models.out_of_fold(_base(spark, d), lambda n=10_000: models.tf_idf_logistic({"_o": models.tf_idf_words("objective", "_o")}, 1 / n))
+    return models.tf_idf_out_of_fold(_base(spark, d), {"objective": _objective_words(30_000)})
 
 
 @query()
 def transcript_tf_idf_oof(spark, d):
-    """Words of the transcript beside those of the objective."""
-    blocks = lambda: {"_t": models.tf_idf_words("full_text", "_t", 60_000, 3), "_o": models.tf_idf_words("objective", "_o", 20_000)}
-    return models.out_of_fold(_spoken(spark, d), lambda n=10_000: models.tf_idf_logistic(blocks(), 1 / n))
+    """Words of the transcript, fitted on distinct sessions, beside those of the objective."""
+    said = sparse.word_terms(F.col("full_text"), accents=False)
+    return models.tf_idf_out_of_fold(_spoken(spark, d), {"said": (said, 60_000, 3, "session_id"), "objective": _objective_words(20_000)})
 
 
 @query()
 def closing_tf_idf_oof(spark, d):
-    """Characters of the transcript's end beside those of the objective."""
-    grams = _spoken(spark, d).withColumns({f"_{c}": T.padded_ngrams(F.col(c), 3, 5) for c in ("closing_text", "objective")})
-    blocks = lambda: {"_t": models.tf_idf_terms("_closing_text", "_t", 60_000, 4), "_o": models.tf_idf_terms("_objective", "_o", 20_000, 2)}
-    return models.out_of_fold(grams, lambda n=10_000: models.tf_idf_logistic(blocks(), 1 / n))
+    """Characters of the transcript's end, fitted on distinct sessions, beside those of the objective."""
+    end, objective = (sparse.char_terms(F.col(c), accents=False) for c in ("closing_text", "objective"))
+    return models.tf_idf_out_of_fold(_spoken(spark, d), {"end": (end, 60_000, 4, "session_id"), "objective": (objective, 20_000, 2, None)})
+
+
+_BARE_WORDS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+_TERM_DOCS = f"""docs AS (SELECT item_id AS doc, abs(item_id) % 5 AS fold, {_BARE_WORDS.format('text')} AS ws, text FROM benchmark),
+ padded AS (SELECT doc, fold, ' ' || w || ' ' AS w FROM (SELECT doc, fold, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '\\s+'), lambda x: x <> '')) AS w FROM docs)),
+ terms AS (SELECT 'words' AS kind, doc, fold, unnest(ws) AS term FROM docs UNION ALL SELECT 'words', doc, fold, unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM docs
+  {' '.join(f"UNION ALL SELECT 'chars', doc, fold, unnest(list_transform(range(1, greatest(1, length(w) - {n} + 1) + 1), lambda i: substr(w, i, {n}))) FROM padded" for n in (3, 4, 5))}),
+ tf AS (SELECT kind, doc, fold, term, count(*) AS tf FROM terms GROUP BY ALL), e AS (SELECT unnest(range(-1, 5)) AS eval_fold), n AS (SELECT eval_fold, count(*) AS n FROM docs, e WHERE fold <> eval_fold GROUP BY ALL),
+ df AS (SELECT kind, eval_fold, term, count(*) AS df, sum(tf) AS t FROM tf, e WHERE fold <> eval_fold GROUP BY ALL HAVING count(*) >= 2),
+ voc AS (SELECT kind, eval_fold, term, row_number() OVER (PARTITION BY kind, eval_fold ORDER BY t DESC, term) - 1 AS slot, ln((1 + n) / (1 + df)) + 1 AS idf FROM df JOIN n USING (eval_fold) QUALIFY slot < 2000)"""
+
+
+def _vocabularies(spark, d):
+    """For words with pairs and for characters: the counts of the items' terms, and a vocabulary for each fold."""
+    items = B.table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), (F.abs("item_id") % 5).cast("int").alias("fold"), "text")
+    for kind, terms in (("words", sparse.word_terms(F.col("text"), accents=False)), ("chars", sparse.char_terms(F.col("text"), accents=False))):
+        counts = sparse.counted(items, ["fold", "doc"], terms)
+        yield kind, counts, sparse.vocabulary(counts, 2000)
+
+
+@query(f"WITH {_TERM_DOCS} SELECT kind, eval_fold, term, slot, round(idf, 6) AS idf FROM voc")
+def tf_idf_vocabulary(spark, d):
+    """Each fold's vocabulary of words, pairs and characters, fitted on the other folds (-1: on all)."""
+    return rounded(reduce(DataFrame.unionByName, [v.withColumn("kind", F.lit(kind)) for kind, _, v in _vocabularies(spark, d)]), "idf")
+
+
+@query(f"WITH {_TERM_DOCS}, w AS (SELECT kind, eval_fold, doc, slot, (1 + ln(tf)) * idf AS w FROM tf JOIN voc USING (kind, term)) SELECT kind, eval_fold, doc, slot, round(w / sqrt(sum(w * w) OVER (PARTITION BY kind, eval_fold, doc)), 6) AS value FROM w")
+def tf_idf_weights(spark, d):
+    """The rows of all items under each fold's vocabulary, at length 1."""
+    return rounded(reduce(DataFrame.unionByName, [sparse.tf_idf_rows(c.drop("fold"), v, ["doc"]).withColumn("kind", F.lit(kind)) for kind, c, v in _vocabularies(spark, d)]), "value")
 
 
 _RETRIEVED = ["lines", "positive_lines", "terms", "matched_terms", "coverage", "first_match", "last_match", "mean_positive_score", "max_score"]
@@ -378,7 +425,7 @@ def _dense(spark, d):
     r, texts = B.responses(spark, d), _texts(spark, d)
     turns = ordered.ordered_features(texts, r, CUES)
     found = retrieval.statistics(retrieval.scored_lines(texts, r)).select("response_id", *_RETRIEVED)
-    names = [*NUMERIC, "duration_seconds", "n_background", "n_other", "n_unclear", "n_empty", "tutor_fraction", "background_fraction", "unclear_fraction", *_RETRIEVED, *[c for c in turns.columns if c != "response_id"]]
+    names = [*NUMERIC, *_RETRIEVED, *[c for c in turns.columns if c != "response_id"]]
     df = _base(spark, d).join(found, "response_id", "left").join(turns, "response_id", "left")
     return df.select("response_id", "session_id", "fold", "target", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]), names
 
@@ -386,6 +433,17 @@ def _dense(spark, d):
 @query()
 def trees_oof(spark, d):
     """Both tree sizes; model names the size."""
-    df, names = _dense(spark, d)
-    parts = [models.out_of_fold(df, lambda n=0, depth=depth: models.numeric_trees(names, depth=depth)).withColumn("model", F.lit(model)) for model, depth in models.TREE_DEPTHS.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return trees.trees_out_of_fold(*_dense(spark, d))
+
+
+_EDGES = {"n_utterances": [2.0, 4.0, 6.0], "n_chars": [400.0, 800.0, 1600.0, 3200.0], "objective_words": [20.0, 40.0, 60.0], "student_fraction": [0.4, 0.5, 0.6]}
+_EDGE_BINS = " UNION ALL ".join(f"SELECT eval_fold, target, '{c}' AS feature, {' + '.join(f'(coalesce({c}, 0) > {x}e0)::INT' for x in edges)} AS bin FROM train" for c, edges in _EDGES.items())
+
+
+@query(f"""WITH {U}, {R}, f AS (SELECT session_id, count(*) AS n_utterances, sum(length(coalesce(content, ''))) AS n_chars, count_if(role = 'student') / count(*) AS student_fraction FROM utterances GROUP BY session_id),
+ {folds_sql('session_id')}, rows_ AS (SELECT folded.*, n_utterances, n_chars, student_fraction, len(list_filter(regexp_split_to_array(objective, '\\s+'), lambda x: x <> '')) AS objective_words FROM folded LEFT JOIN f USING (session_id)),
+ train AS (SELECT e.f AS eval_fold, a.* FROM rows_ a, (SELECT unnest(range(5)) AS f) e WHERE a.fold <> e.f AND a.session_id NOT IN (SELECT session_id FROM folded h WHERE h.fold = e.f)), mean AS (SELECT eval_fold, avg(target) AS p FROM train GROUP BY eval_fold), bins AS ({_EDGE_BINS})
+ SELECT eval_fold, feature, bin, count(*) AS n, round(count(*) * any_value(p) - sum(target), 6) AS g, round(count(*) * any_value(p) * (1 - any_value(p)), 6) AS h FROM bins JOIN mean USING (eval_fold) GROUP BY ALL""")
+def tree_gradient_sums(spark, d):
+    """Sums of gradients of the first split of each fold's trees, by feature and bin."""
+    return rounded(trees.gradient_sums(_base(spark, d), _EDGES), "g", "h")

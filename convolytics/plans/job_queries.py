@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolytics.operators import jobs, models, splits, vectors
+from convolytics.operators import jobs, models, sessions, splits, trees, vectors
 from convolytics.plans import evidence_queries as E
 from convolytics.plans import feature_queries as Q
 from convolytics.plans.session_queries import P, R, folds_sql, metrics_sql, rounded
@@ -78,6 +78,12 @@ def audit_job(spark, d):
     return rounded(out["gates"], *Q.GAINS, digits=5)
 
 
+def _part(predictions):
+    """predictions(rows) -> response_id, fold, target, p, marked as a part for jobs.validation."""
+    predictions.predictions = True
+    return predictions
+
+
 def validation_parts(name: str, numeric: list[str] = Q.NUMERIC) -> dict:
     """What a named validation job compares, by model, for jobs.validation; its rows come from validation_rows."""
     hashed = {f"text_a{a:g}": (lambda n, a=a: models.hashed_text_logistic("full_text", alpha=a)) for a in (3e-5, 1e-4, 3e-4, 1e-3)}
@@ -85,13 +91,14 @@ def validation_parts(name: str, numeric: list[str] = Q.NUMERIC) -> dict:
     pair = {"embedding": lambda n: models.embedding_logistic("vector", n=n)}
     priors = {"global_prior": jobs.global_predictions, "objective_prior": jobs.prior_predictions()}
     sets = {
-        "baselines": {"metadata": lambda n: models.numeric_logistic(numeric, n=n), "objective_text": lambda n: models.tf_idf_logistic({"_o": models.tf_idf_words("objective", "_o")}, 1 / n)},
-        "hard": {"metadata": lambda n: models.numeric_logistic(numeric, 0.3, n=n), **hashed},
+        "baselines": {"metadata": lambda n: models.numeric_logistic(numeric, n=n),
+                      "objective_text": _part(lambda rows: models.tf_idf_out_of_fold(rows, {"objective": Q._objective_words(30_000)}))},
+        "hard": {"metadata": _part(lambda rows: models.out_of_fold(sessions.log_counts(rows, Q.COUNTS), lambda n: models.numeric_logistic(numeric, 0.3, n=n))), **hashed},
         "role": dense, "retrieval": dense, "robust": {**hashed, **dense}, "semantic": pair, "encoder": pair, "multiview": pair,
         "feedback": {"feedback": lambda n: models.hashed_text_logistic("prefixed", 1 << 17)},
         "nbsvm": {"nbsvm": models.NaiveBayesLogistic("prefixed")},
         "session_weight": {**dense, "weighted": models.SessionWeighted(models.text_and_dense_logistic("full_text", numeric, alpha=3e-5, weight="weight"))},
-        "dense_tree": {size: (lambda n, depth=depth: models.numeric_trees(numeric, depth=depth)) for size, depth in models.TREE_DEPTHS.items()},
+        "dense_tree": {size: _part(lambda rows, size=size, leaves=leaves: trees.trees_out_of_fold(rows, numeric, {size: leaves}).drop("model")) for size, leaves in trees.TREE_LEAVES.items()},
     }
     if name not in sets:
         raise ValueError(f"unknown job: {name}; there are {', '.join(sets)}")

@@ -157,29 +157,6 @@ def test_class_ratio_model_learns(spark, tmp_path):
     assert fitted.transform(df).where("prediction <> target").count() == 0
 
 
-def test_trees_have_the_reference_size(spark, monkeypatch):
-    trees = [models.numeric_trees(["x"], depth=d).getStages()[-1] for d in models.TREE_DEPTHS.values()]
-    assert [(t.getMaxIter(), t.getStepSize(), t.getMinInstancesPerNode(), t.getMaxDepth()) for t in trees] == [(250, 0.03, 100, 3), (250, 0.03, 100, 4)]
-    made = []
-    monkeypatch.setattr(models, "out_of_fold", lambda df, pipeline: made.append((df, pipeline().getStages()[-1])) or df.select("response_id", "fold", "target", F.lit(0.5).alias("p")))
-    out = queries.QUERIES["trees_oof"](spark, "/root/testdata/sf0.001")
-    assert [t.getMaxDepth() for _, t in made] == [3, 4] and {t.getMaxIter() for _, t in made} == {250}
-    assert len(made[0][0].columns) > 60 and out.columns == ["response_id", "fold", "target", "p", "model"]
-
-
-def test_small_trees_learn(spark):
-    df = spark.createDataFrame([(float(i % 10), int(i % 10 > 4)) for i in range(60)], "x double, target int")
-    assert models.numeric_trees(["x"], rounds=3, step=0.5, leaf=5).fit(df).transform(df).where("prediction <> target").count() == 0
-
-
-def test_tf_idf_model_learns(spark, tmp_path):
-    df = spark.createDataFrame([(i, "good fine" if i % 2 else "bad poor", i % 2) for i in range(20)], "k int, t string, target int")
-    fitted = models.fit_and_save(df, {"m": models.tf_idf_logistic({"_o": models.tf_idf_words("t", "_o")})}, str(tmp_path))["m"]
-    out = fitted.transform(df)
-    assert out.where("prediction <> target").count() == 0 and sorted(fitted.stages[3].vocabulary) == ["bad", "bad poor", "fine", "good", "good fine", "poor"]
-    assert PipelineModel.load(str(tmp_path / "m")).transform(df).where("prediction <> target").count() == 0
-
-
 @pytest.mark.parametrize(("name", "width", "text"), [("text_logistic_oof", 1 << 15, "full_text"), ("text_and_dense_oof", 1 << 15, "full_text"), ("session_weighted_oof", 1 << 15, "full_text"), ("nb_logistic_oof", 1 << 17, "prefixed")])
 def test_text_models_read_what_was_said(spark, monkeypatch, name, width, text):
     made = []
