@@ -86,12 +86,39 @@ def pair_blends(df: DataFrame, models: Sequence[str], prior: str, by: Sequence[s
     """
     pairs = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("a"), F.col(b).alias("b")) for i, a in enumerate(models) for b in models[i + 1 :]]
     long = df.select(*by, F.col(target).alias("_y"), F.col(prior).alias("_prior"), F.explode(F.array(*pairs)).alias("p")).select("*", "p.*", F.explode(F.array(*map(F.lit, first))).alias("first_weight"))
+    return _best_of_grid(long, by, model)
+
+
+def _best_of_grid(long: DataFrame, by: Sequence[str], model: Sequence[float]) -> DataFrame:
+    """The best weights of each pair from rows (by, first, second, a, b, first_weight, _y, _prior)."""
     mixed = F.col("first_weight") * F.col("a") + (1 - F.col("first_weight")) * F.col("b")
-    losses = long.withColumn("_mix", mixed).groupBy(*by, "first", "second", "first_weight").agg(*[log_loss(F.col("_y"), clip(m * F.col("_mix") + (1 - m) * F.col("_prior"))).alias(f"_{i}") for i, m in enumerate(model)])
-    grid = losses.select(*by, "first", "second", "first_weight", F.explode(F.array(*[F.struct(F.lit(float(m)).alias("model_weight"), F.round(f"_{i}", 9).alias("log_loss")) for i, m in enumerate(model)])).alias("r")).select(*by, "first", "second", "first_weight", "r.*")
+    columns = [log_loss(F.col("_y"), clip(m * F.col("_mix") + (1 - m) * F.col("_prior"))).alias(f"_{i}") for i, m in enumerate(model)]
+    losses = long.withColumn("_mix", mixed).groupBy(*by, "first", "second", "first_weight").agg(*columns)
+    each = F.explode(F.array(*[F.struct(F.lit(float(m)).alias("model_weight"), F.round(f"_{i}", 9).alias("log_loss")) for i, m in enumerate(model)]))
+    grid = losses.select(*by, "first", "second", "first_weight", each.alias("r")).select(*by, "first", "second", "first_weight", "r.*")
     return best(grid, [*by, "first", "second"], ["log_loss", "first_weight", "model_weight"])
 
 
+def best_models(long: DataFrame, by: Sequence[str] = ("protocol",), top: int = 8) -> DataFrame:
+    """by, model of the `top` models of least log loss (to 9 digits, ties by name), from rows (by, model, target, p)."""
+    losses = long.groupBy(*by, "model").agg(F.round(log_loss(F.col("target"), clip(F.col("p"))), 9).alias("_l"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("_l", "model"))  # a row a model
+    return losses.withColumn("_nth", nth).where(F.col("_nth") <= top).select(*by, "model")
+
+
+def best_pair_blends(long: DataFrame, by: Sequence[str] = ("protocol",), key: str = "response_id", top: int = 8, first: Sequence[float] = tuple(i / 20 for i in range(21)), model: Sequence[float] = tuple(0.4 + 0.02 * i for i in range(31))) -> DataFrame:
+    """pair_blends of the `top` best of any number of models. long: by, key, model, target, p, prior, a row a model.
+
+    Pairs meet by an equi-join on the key; weights of the first are summed up before the shuffle, those of the prior are
+    columns of the aggregation.
+    """
+    kept = long.join(best_models(long, by, top), [*by, "model"])
+    other = kept.select(*by, key, F.col("model").alias("second"), F.col("p").alias("b"))
+    pairs = kept.select(*by, key, F.col("model").alias("first"), F.col("p").alias("a"), F.col("target").alias("_y"), F.col("prior").alias("_prior"))
+    pairs = pairs.join(other, [*by, key]).where("first < second").withColumn("first_weight", F.explode(F.array(*[F.lit(float(w)) for w in first])))
+    return _best_of_grid(pairs, by, model)
+
+
 def gate_evaluation(df: DataFrame, by: Sequence[str] = ("protocol",), base: str = "v02", combined: str = "combined") -> DataFrame:
     """Log loss and AUC of the base, of the combined and of the gated predictions by the columns by, the rate of
     agreement and what the gate gains (negative deltas of log loss are gains)."""

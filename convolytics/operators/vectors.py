@@ -93,6 +93,24 @@ def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], Sequence[Seq
     return df.join(vectors, F.col(text) == F.col("_text"), "left").drop("_text")
 
 
+def projected(df: DataFrame, key: str, terms: Column, dimensions: int = 64, out: str = "vector") -> DataFrame:
+    """key, out: a unit vector of each row's terms by sparse random projection; rows without terms are left out.
+
+    A term's part in a dimension is a digit of the md5 of a seed and the term: 0 and 1 add its count, 2 and 3 take it away,
+    the others leave it. So no matrix is stored, any engine gives the same vector, and all of it is one aggregation.
+    """
+    tf = df.select(key, F.explode(terms).alias("_t")).groupBy(key, "_t").agg(F.count("*").alias("_n"))
+    digests = [F.md5(F.concat(F.lit(f"{seed}|"), F.col("_t"))).alias(f"_h{seed}") for seed in range(1, (dimensions + 31) // 32 + 1)]
+    tf = tf.select(key, "_n", *digests)
+
+    def part(i: int) -> Column:
+        digit = F.substring(f"_h{i // 32 + 1}", i % 32 + 1, 1)
+        return F.sum(F.when(digit.isin("0", "1"), F.col("_n")).when(digit.isin("2", "3"), -F.col("_n")).otherwise(0)).cast("double")
+
+    sums = tf.groupBy(key).agg(*[part(i).alias(f"_d{i}") for i in range(dimensions)])
+    return sums.select(key, unit(F.array(*[F.col(f"_d{i}") for i in range(dimensions)])).alias(out))
+
+
 def score_pairs(df: DataFrame, left: str, right: str, scorer: Callable[[list[str], list[str]], Sequence[Sequence[float]]], key: str, batch: int = 64) -> DataFrame:
     """key, outputs: what a model of pairs of texts gives for each row, batch by batch inside the tasks; null is empty."""
 
