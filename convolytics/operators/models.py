@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from convolytics.functions import text as T
 from convolytics.operators import sparse
 from convolytics.operators.splits import purged_pairs, purged_train
 from convolytics.sources.sinks import materialize, scratch
@@ -217,3 +219,61 @@ def tf_idf_out_of_fold(df: DataFrame, texts: Mapping[str, tuple[Column, int, int
     rows = df.select(key, "session_id", "fold", "target")
     settings = f"tf-idf {c} {sorted((n, str(t), *x) for n, (t, *x) in texts.items())}"
     return out_of_fold(rows, lambda n: features_logistic(1 / (c * n)), folds, key, features=tf_idf_blocks(df, texts, folds, key), store=store, settings=settings)
+
+
+def blocks_out_of_fold(
+    df: DataFrame, rows: DataFrame, size: int, columns: Sequence[str] = (), dense_weight: float = 0.12, alpha: float = 1e-4, folds: int = 5, key: str = "response_id", store: str | None = None, settings: str = "blocks",
+) -> DataFrame:
+    """key, fold, target, p of a logistic regression on sparse rows (key, slot, value) of `size` slots, such as those of
+    sparse.beside, with numeric columns beside them, which are standardised on the rows fitted and scaled."""
+    made = df.select(key, "session_id", "fold", "target", *[F.col(c).cast("double").alias(c) for c in columns])
+    own = made.join(sparse.as_vectors(rows, made, [key], size, "_blocks"), key)
+    parts = [*(dense_block(columns, "_dense", dense_weight) if columns else []), VectorAssembler(inputCols=["_blocks", *(["_dense"] if columns else [])], outputCol="features")]
+    fit = lambda n: Pipeline(stages=[*parts, logistic("features", alpha)])
+    return out_of_fold(own, fit, folds, key, store=store, settings=f"{settings} {size} {list(columns)} {dense_weight} {alpha}")
+
+
+class Bundle:
+    """Fitted parts with weights, saved as one folder and applied to rows in one pass, as a batch or a stream.
+
+    The score is the weighted mean of the parts' probabilities, clipped. What is saved: the parts, their weights, the
+    columns they read and the version of Spark that fitted them; loading checks the columns of the rows it is given.
+    """
+
+    def __init__(self, parts: Mapping[str, PipelineModel], weights: Mapping[str, float], columns: Mapping[str, str], version: str):
+        if set(parts) != set(weights) or abs(sum(weights.values()) - 1) > 1e-9 or min(weights.values()) < 0:
+            raise ValueError("each part needs a weight, and weights sum to 1")
+        self.parts, self.weights, self.columns, self.version = dict(parts), dict(weights), dict(columns), version
+
+    @classmethod
+    def fit(cls, df: DataFrame, parts: Mapping[str, Pipeline | NaiveBayesLogistic | SessionWeighted], weights: Mapping[str, float], columns: Sequence[str]) -> Bundle:
+        kinds = {c: df.schema[c].dataType.simpleString() for c in columns}
+        return cls({name: p.fit(df) for name, p in parts.items()}, weights, kinds, df.sparkSession.version)
+
+    def save(self, folder: str) -> None:
+        base = folder.rstrip("/")
+        for name, model in self.parts.items():
+            model.write().overwrite().save(f"{base}/parts/{name}")
+        about = json.dumps({"weights": self.weights, "columns": self.columns, "version": self.version}, sort_keys=True)
+        spark = SparkSession.active()
+        spark.range(1).select(F.lit(about).alias("value")).coalesce(1).write.mode("overwrite").text(f"{base}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Bundle:
+        base = folder.rstrip("/")
+        about = json.loads(spark.read.text(f"{base}/about").first()[0])
+        return cls({name: PipelineModel.load(f"{base}/parts/{name}") for name in about["weights"]}, about["weights"], about["columns"], about["version"])
+
+    def score(self, df: DataFrame, key: str = "response_id", out: str = "score") -> DataFrame:
+        """key, out. Rows are transformed by one part after another, so none is read twice; a row's score doesn't depend on
+        the rows beside it."""
+        wrong = {c: kind for c, kind in self.columns.items() if c not in df.columns or df.schema[c].dataType.simpleString() != kind}
+        if wrong:
+            raise ValueError(f"missing columns, or columns of another type: {wrong}")
+        own = df.select(key, *[c for c in self.columns if c != key])
+        kept = own.columns
+        for i, (name, model) in enumerate(sorted(self.parts.items())):
+            own = model.transform(own).select(*kept, vector_to_array("probability")[1].alias(f"_p{i}"))
+            kept = own.columns
+        mixed = sum((F.lit(float(self.weights[name])) * F.col(f"_p{i}") for i, name in enumerate(sorted(self.parts))), F.lit(0.0))
+        return own.select(key, T.clip(mixed).alias(out))

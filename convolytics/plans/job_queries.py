@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convolytics.functions import text as T
 from convolytics.operators import jobs, models, sessions, splits, trees, vectors
+from convolytics.plans import block_queries as K
 from convolytics.plans import evidence_queries as E
 from convolytics.plans import feature_queries as Q
 from convolytics.plans.session_queries import P, R, folds_sql, metrics_sql, rounded
@@ -84,8 +86,10 @@ def _part(predictions):
     return predictions
 
 
-def validation_parts(name: str, numeric: list[str] = Q.NUMERIC) -> dict:
+def validation_parts(name: str, spark, d, numeric: list[str] = Q.NUMERIC) -> dict:
     """What a named validation job compares, by model, for jobs.validation; its rows come from validation_rows."""
+    on = lambda model: _part(lambda rows: model(rows, spark, d))
+    variant = lambda n: models.embedding_logistic("vector", n=n)
     hashed = {f"text_a{a:g}": (lambda n, a=a: models.hashed_text_logistic("full_text", alpha=a)) for a in (3e-5, 1e-4, 3e-4, 1e-3)}
     dense = {"text_and_dense": lambda n: models.text_and_dense_logistic("full_text", numeric)}
     pair = {"embedding": lambda n: models.embedding_logistic("vector", n=n)}
@@ -94,8 +98,8 @@ def validation_parts(name: str, numeric: list[str] = Q.NUMERIC) -> dict:
         "baselines": {"metadata": lambda n: models.numeric_logistic(numeric, n=n),
                       "objective_text": _part(lambda rows: models.tf_idf_out_of_fold(rows, {"objective": Q._objective_words(30_000)}))},
         "hard": {"metadata": _part(lambda rows: models.out_of_fold(sessions.log_counts(rows, Q.COUNTS), lambda n: models.numeric_logistic(numeric, 0.3, n=n))), **hashed},
-        "role": dense, "retrieval": dense, "robust": {**hashed, **dense}, "semantic": pair, "encoder": pair, "multiview": pair,
-        "feedback": {"feedback": lambda n: models.hashed_text_logistic("prefixed", 1 << 17)},
+        "role": {"role": on(K.role_model)}, "retrieval": {"retrieval": on(K.context_model)}, "robust": {**hashed, **dense},
+        "semantic": pair, "encoder": {"projection": variant}, "multiview": {"multiview": variant}, "feedback": {"feedback": on(K.feedback_model)},
         "nbsvm": {"nbsvm": models.NaiveBayesLogistic("prefixed")},
         "session_weight": {**dense, "weighted": models.SessionWeighted(models.text_and_dense_logistic("full_text", numeric, alpha=3e-5, weight="weight"))},
         "dense_tree": {size: _part(lambda rows, size=size, leaves=leaves: trees.trees_out_of_fold(rows, numeric, {size: leaves}).drop("model")) for size, leaves in trees.TREE_LEAVES.items()},
@@ -107,13 +111,21 @@ def validation_parts(name: str, numeric: list[str] = Q.NUMERIC) -> dict:
 
 def validation_rows(spark, d, name: str):
     """The rows that the models of a named job read."""
-    if name in ("semantic", "encoder", "multiview"):
-        e = Q._embedded(spark, d).withColumn("pair", vectors.interaction(F.col("context"), F.col("objective")))
+    if name in ("semantic", "multiview"):
+        flipped = F.reverse("context")
+        blocks = {"context": F.col("context"), "objective": F.col("objective"), "student": flipped, "tutor": F.col("context"), "feedback": flipped, "trajectory": F.col("objective")}
+        kind = "semantic_reference" if name == "semantic" else "multiview_interaction"
+        e = Q._embedded(spark, d).withColumn("pair", vectors.variant(kind, blocks))
         return models.as_vector(e, "pair", "vector").drop("pair")
-    rows = E._prefixed(spark, d) if name in ("feedback", "nbsvm") else Q._spoken(spark, d)
+    if name == "encoder":  # the default encoder instead of given vectors: contexts and objectives by projection of their words
+        said = vectors.projected(Q._contexts(spark, d), "response_id", T.tokens(F.col("objective_context")), out="context")
+        asked = vectors.projected(B.responses(spark, d).select("objective_id", "objective").distinct(), "objective_id", T.tokens(F.col("objective")), out="about")
+        e = B.responses(spark, d).join(said, "response_id").join(asked, "objective_id").withColumn("pair", vectors.interaction(F.col("context"), F.col("about")))
+        return models.as_vector(e, "pair", "vector").drop("pair", "context", "about", "objective")
+    rows = E._prefixed(spark, d) if name == "nbsvm" else Q._spoken(spark, d)
     return rows.drop("fold")
 
 
 def run_validation(spark, d, name: str, folder: str | None = None):
     """A named validation job over both protocols; the tables it writes, by name."""
-    return jobs.validation(_protocols(validation_rows(spark, d, name)), validation_parts(name), "global_prior", folder or sinks.scratch(spark, name))
+    return jobs.validation(_protocols(validation_rows(spark, d, name)), validation_parts(name, spark, d), "global_prior", folder or sinks.scratch(spark, name))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convolytics.operators import models, sparse, trees
+from convolytics.operators import ensembles, models, sparse, trees, vectors
 
 
 def one(spark, column):
@@ -121,3 +121,44 @@ def test_trees_predict_out_of_fold(spark):
     assert len(got) == 240 and {r.model for r in got} == {"trees_7", "trees_15"} and all((r.p > 0.5) == r.target for r in got)
     alike = responses(spark).withColumn("target", F.lit(1))
     assert all(r.p > 0.99 for r in trees.trees_out_of_fold(alike, ["x"], rounds=5).collect())
+
+
+def test_models_on_blocks_learn(spark):
+    rows = responses(spark)
+    words = sparse.hashed_rows(rows, ["response_id"], sparse.word_terms(F.col("text")), 64)
+    p = models.blocks_out_of_fold(rows, sparse.beside({"words": (words, 1.0, 64)}, ["response_id"]), 64, ["x"]).collect()
+    assert len(p) == 120 and all((r.p > 0.5) == r.target for r in p)
+
+
+def test_a_bundle_scores_as_it_did_before_it_was_saved(spark, tmp_path):
+    rows = responses(spark)
+    parts = {"x": models.numeric_logistic(["x"], n=100), "text": models.hashed_text_logistic("text", 64)}
+    bundle = models.Bundle.fit(rows, parts, {"x": 0.25, "text": 0.75}, ["x", "text"])
+    bundle.save(str(tmp_path / "b"))
+    loaded = models.Bundle.load(spark, str(tmp_path / "b"))
+    before, after = ({r.response_id: r.score for r in b.score(rows).collect()} for b in (bundle, loaded))
+    assert before == after and len(after) == 120 and loaded.version == spark.version
+    assert {r.response_id: r.score for r in loaded.score(rows.where("response_id < 7").repartition(3)).collect()} == {i: after[i] for i in range(7)}
+    single = {r.response_id: r.p for r in loaded.parts["x"].transform(rows).select("response_id", models.vector_to_array("probability")[1].alias("p")).collect()}
+    text = {r.response_id: r.p for r in loaded.parts["text"].transform(rows).select("response_id", models.vector_to_array("probability")[1].alias("p")).collect()}
+    assert all(after[i] == pytest.approx(0.25 * single[i] + 0.75 * text[i]) for i in after)
+    with pytest.raises(ValueError, match="missing columns"):
+        loaded.score(rows.drop("text"))
+    with pytest.raises(ValueError, match="sum to 1"):
+        models.Bundle(bundle.parts, {"x": 0.5, "text": 0.6}, {}, "")
+
+
+def test_pairs_of_the_best_models(spark):
+    rows = [("p", i, i % 2, 0.5, m, 0.5 + (i % 2 - 0.5) * q) for i in range(40) for m, q in (("a", 0.9), ("b", 0.5), ("c", 0.1), ("d", -0.5))]
+    long = spark.createDataFrame(rows, "protocol string, response_id int, target int, prior double, model string, p double")
+    assert sorted(r.model for r in ensembles.best_models(long, top=3).collect()) == ["a", "b", "c"]
+    best = ensembles.best_pair_blends(long, top=3, first=(0.0, 0.5, 1.0), model=(0.5, 1.0)).collect()
+    assert sorted((r.first, r.second, r.first_weight, r.model_weight) for r in best) == [("a", "b", 1.0, 1.0), ("a", "c", 1.0, 1.0), ("b", "c", 1.0, 1.0)]
+
+
+def test_projections_keep_angles(spark):
+    texts = [(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"w{i}" for i in range(6, 60))), (3, " ".join(f"v{i}" for i in range(60))), (4, "")]
+    rows = spark.createDataFrame(texts, "k int, t string")
+    got = {r.k: np.array(r.vector) for r in vectors.projected(rows, "k", sparse.word_terms(F.col("t"), 1), 128).collect()}
+    assert set(got) == {1, 2, 3} and all(np.linalg.norm(v) == pytest.approx(1) and len(v) == 128 for v in got.values())
+    assert got[1] @ got[2] > 0.85 and abs(got[1] @ got[3]) < 0.4

@@ -55,6 +55,7 @@ def test_audit_refuses_repeated_rows(spark, tmp_path):
 
 def test_named_jobs_name_their_models():
     names = ["baselines", "hard", "role", "retrieval", "robust", "semantic", "encoder", "multiview", "feedback", "nbsvm", "session_weight", "dense_tree"]
-    assert all(len(job_queries.validation_parts(n)) > 2 for n in names)
+    parts = {n: set(job_queries.validation_parts(n, None, "")) - {"global_prior", "objective_prior"} for n in names}
+    assert all(parts.values()) and parts["role"] == {"role"} and parts["retrieval"] == {"retrieval"} and parts["multiview"] == {"multiview"}
     with pytest.raises(ValueError, match="unknown job"):
-        job_queries.validation_parts("none")
+        job_queries.validation_parts("none", None, "")
