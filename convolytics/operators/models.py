@@ -168,6 +168,7 @@ def out_of_fold(
     rows = spark.read.schema(df.schema).parquet(folder)
     train_rows = purged_pairs(rows.select("fold", purge, target), purge, folds).groupBy("eval_fold")
     facts = {r[0]: r[1:] for r in train_rows.agg(F.count("*"), F.avg(target), F.min(target), F.max(target)).collect()}  # k rows
+    present = {r[0] for r in rows.select("fold").distinct().collect()}  # k rows
     kept = f"{store.rstrip('/')}/{rows_digest(rows, settings)}" if store else None
 
     def with_features(part: DataFrame, fold: int) -> DataFrame:
@@ -176,7 +177,7 @@ def out_of_fold(
     def one(fold: int) -> DataFrame:
         held = rows.where(F.col("fold") == fold)
         n, mean, least, most = facts.get(fold, (0, 0.5, None, None))
-        if least == most:
+        if least == most or fold not in present:
             return held.select(key, "fold", target, F.lit(mean).cast("double").alias("p"))
         model = (pipeline(n) if callable(pipeline) else pipeline).fit(with_features(purged_train(rows, fold, purge), fold))
         return model.transform(with_features(held, fold)).select(key, "fold", target, vector_to_array("probability")[1].alias("p"))
