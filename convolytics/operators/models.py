@@ -43,26 +43,10 @@ def word_hashes(text: str, out: str, features: int, grams: int = 2, least: int =
     return [*stages, VectorAssembler(inputCols=[f"{out}_h{n}" for n in range(1, grams + 1)], outputCol=f"{out}_all"), Normalizer(inputCol=f"{out}_all", outputCol=out)]
 
 
-def event_hashes(text: str, out: str, features: int = 1 << 15) -> list:
-    """Stages for symbols: runs of up to three, of which each may be one letter."""
-    return word_hashes(text, out, features, 3, 1)
-
-
-def char_hashes(terms: str, out: str, features: int = 1 << 17) -> list:
-    """Stages over an array column of character n-grams (functions.text.padded_ngrams)."""
-    return [HashingTF(inputCol=terms, outputCol=f"{out}_h", numFeatures=features), Normalizer(inputCol=f"{out}_h", outputCol=out)]
-
-
 def scaled(column: str, out: str, weight: float, size: int) -> ElementwiseProduct:
     return ElementwiseProduct(inputCol=column, outputCol=out, scalingVec=Vectors.dense([weight] * size))
 
 
-def unit_blocks(blocks: dict[str, tuple[float, int]], out: str) -> list:
-    """Stages that put blocks, name: (weight, size), side by side, weights scaled so that rows keep length 1."""
-    norm = sum(w * w for w, _ in blocks.values()) ** 0.5
-    return [*[scaled(c, f"{c}_s", w / norm, n) for c, (w, n) in blocks.items()], VectorAssembler(inputCols=[f"{c}_s" for c in blocks], outputCol=out)]
-
-
 def dense_block(columns: Sequence[str], out: str, weight: float) -> list:
     """Stages: median for what is missing, standardised on the rows fitted, then scaled."""
     filled = [f"_{c}" for c in columns]
