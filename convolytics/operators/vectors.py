@@ -157,6 +157,23 @@ KNN_CONFIGS = {
 }
 
 
+def nearest_objectives(asked: DataFrame, known: DataFrame, m: int, blocks: int = 16) -> DataFrame:
+    """eval_fold, objective_id, t_objective, os: for each fold's objectives asked (vector q) the m nearest of those known
+    (t_objective, vector p) by dot product to 9 digits, ties to the smaller.
+
+    Known objectives are cut into blocks and each block is met by a copy of what is asked, so no key holds a fold; each
+    block keeps its own m nearest, and only these are merged. The pairs are compared, but never shuffled with vectors.
+    """
+    order = [F.desc(F.round("os", 9)), F.col("t_objective")]
+    cut = known.withColumn("block", F.pmod(F.xxhash64("t_objective"), F.lit(blocks)).cast("int"))
+    copies = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = copies.join(cut, ["eval_fold", "block"]).select("eval_fold", "block", "objective_id", "t_objective", dot(F.col("q"), F.col("p")).alias("os"))
+    part = Window.partitionBy("eval_fold", "objective_id", "block").orderBy(*order)
+    kept = pairs.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= m)
+    whole = Window.partitionBy("eval_fold", "objective_id").orderBy(*order)
+    return kept.withColumn("nth", F.row_number().over(whole)).where(F.col("nth") <= m).select("eval_fold", "objective_id", "t_objective", "os")
+
+
 def knn_predictions(df: DataFrame, m: int = 20, k: int = 128, w: float = 0.35, temperature: float = 12.0, mass: float = 2.0) -> DataFrame:
     """response_id, prediction for each row from the training rows of other folds (sessions of the fold purged).
 
@@ -171,7 +188,7 @@ def knn_predictions(df: DataFrame, m: int = 20, k: int = 128, w: float = 0.35, t
     protos = df.groupBy("objective_id").agg(F.min_by("objective", "response_id").alias("p"))
     known = train.select("eval_fold", "t_objective").distinct().join(protos.withColumnRenamed("objective_id", "t_objective"), "t_objective")
     asked = df.select(F.col("fold").alias("eval_fold"), "objective_id").distinct().join(protos.withColumnRenamed("p", "q"), "objective_id")
-    near = asked.join(known, "eval_fold").withColumn("os", dot(F.col("q"), F.col("p"))).withColumn("nth", F.row_number().over(Window.partitionBy("eval_fold", "objective_id").orderBy(F.desc(F.round("os", 9)), "t_objective"))).where(F.col("nth") <= m)
+    near = nearest_objectives(asked, known, m)
     pairs = df.withColumn("eval_fold", F.col("fold")).join(near.select("eval_fold", "objective_id", "t_objective", "os"), ["eval_fold", "objective_id"]).join(train, ["eval_fold", "t_objective"])
     pairs = pairs.withColumn("score", (1 - w) * dot(F.col("context"), F.col("t_context")) + w * F.col("os"))
     own = Window.partitionBy("response_id").orderBy(F.desc(F.round("score", 9)), "t_id")

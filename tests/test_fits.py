@@ -162,3 +162,16 @@ def test_projections_keep_angles(spark):
     got = {r.k: np.array(r.vector) for r in vectors.projected(rows, "k", sparse.word_terms(F.col("t"), 1), 128).collect()}
     assert set(got) == {1, 2, 3} and all(np.linalg.norm(v) == pytest.approx(1) and len(v) == 128 for v in got.values())
     assert got[1] @ got[2] > 0.85 and abs(got[1] @ got[3]) < 0.4
+
+
+def test_nearest_objectives_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(3)
+    known = [(f, i, [float(x) for x in rng.integers(-2, 3, 4)]) for f in range(2) for i in range(40)]
+    asked = [(f, i, [float(x) for x in rng.integers(-2, 3, 4)]) for f in range(2) for i in range(9)]
+    a, k = spark.createDataFrame(asked, "eval_fold int, objective_id int, q array<double>"), spark.createDataFrame(known, "eval_fold int, t_objective int, p array<double>")
+    want = {(f, i): sorted(range(40), key=lambda j: (-np.dot(q, known[f * 40 + j][2]), j))[:5] for f, i, q in asked}
+    for blocks in (1, 7):
+        got = {}
+        for r in vectors.nearest_objectives(a, k, 5, blocks).orderBy(F.desc("os"), "t_objective").collect():
+            got.setdefault((r.eval_fold, r.objective_id), []).append(r.t_objective)
+        assert got == want
