@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convolytics.functions import text as T
 from convolytics.operators import ensembles, expect, metrics, models, sessions, splits
 from convolytics.sources import sinks
 
@@ -22,13 +23,14 @@ def _reread(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataF
 def foundation(utterances: DataFrame, responses: DataFrame, folder: str, closing: float = 0.25, folds: int = 5, seed: int = 7) -> dict[str, DataFrame]:
     """The tables that all other jobs read, checked, written below folder and read again, by name.
 
-    Raises where an utterance's key repeats, turns have gaps, a response has no session, no objective or another target
+    Raises where an utterance's key repeats, turns have gaps or go back in time, a response has no session, no objective or another target
     than 0 or 1.
     """
     expect.check(
         expect.all_of(
             expect.unique(utterances, ["session_id", "utterance_id"], "utterance key"),
             expect.contiguous(utterances, "session_id", "utterance_id"),
+            expect.monotone(utterances, "session_id", ["utterance_id"], T.seconds(F.col("timestamp")), "time order"),
             expect.unique(responses, ["response_id"], "response key"),
             expect.references(responses, utterances, ["session_id"], "sessions"),
             expect.row_rules(responses, {"target": ~F.col("target").isin(0, 1), "objective": F.col("objective").isNull()}),

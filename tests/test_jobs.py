@@ -47,6 +47,12 @@ def test_foundation_refuses_gaps_and_lost_sessions(spark, tmp_path):
         jobs.foundation(u, r, str(tmp_path))
 
 
+def test_foundation_refuses_turns_that_go_back_in_time(spark, tmp_path):
+    u = spark.createDataFrame([("s0", 0, "tutor", "hi", "0:0:5"), ("s0", 1, "student", "yes", "0:0:2")], "session_id string, utterance_id int, role string, content string, timestamp string")
+    with pytest.raises(expect.ExpectationFailed, match="time order: 1"):
+        jobs.foundation(u, made(spark).drop("fold", "x"), str(tmp_path))
+
+
 def test_audit_refuses_repeated_rows(spark, tmp_path):
     p = made(spark).select(F.lit("p0").alias("protocol"), "response_id", "target", "fold", F.lit(0.5).alias("a"), F.lit(0.4).alias("b"))
     with pytest.raises(expect.ExpectationFailed, match="predictions: 40"):
