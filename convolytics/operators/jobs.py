@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
-from convolytics.operators import ensembles, expect, metrics, models, sessions, splits
+from convolytics.operators import ensembles, expect, metrics, models, rules, sessions, splits
 from convolytics.sources import sinks
 
 FOUNDATION = ("utterances", "session_features", "session_texts", "modeling_base", "response_folds")
@@ -20,22 +20,26 @@ def _reread(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataF
     return df.sparkSession.read.parquet(path)
 
 
+def foundation_rules() -> list[rules.Rule]:
+    """What utterances and responses must keep, for rules.check or rules.violations."""
+    return [
+        rules.unique("utterance key", "utterances", ["session_id", "utterance_id"]),
+        rules.contiguous("contiguous", "utterances", ["session_id"], "utterance_id"),
+        rules.ascending("time order", "utterances", ["session_id"], "utterance_id", T.seconds(F.col("timestamp"))),
+        rules.unique("response key", "responses", ["response_id"]),
+        rules.references("sessions", "responses", ["session_id"], "utterances"),
+        rules.rows("target", "responses", ["response_id"], ~F.col("target").isin(0, 1)),
+        rules.rows("objective", "responses", ["response_id"], F.col("objective").isNull()),
+    ]
+
+
 def foundation(utterances: DataFrame, responses: DataFrame, folder: str, closing: float = 0.25, folds: int = 5, seed: int = 7) -> dict[str, DataFrame]:
     """The tables that all other jobs read, checked, written below folder and read again, by name.
 
     Raises where an utterance's key repeats, turns have gaps or go back in time, a response has no session, no objective or another target
     than 0 or 1.
     """
-    expect.check(
-        expect.all_of(
-            expect.unique(utterances, ["session_id", "utterance_id"], "utterance key"),
-            expect.contiguous(utterances, "session_id", "utterance_id"),
-            expect.monotone(utterances, "session_id", ["utterance_id"], T.seconds(F.col("timestamp")), "time order"),
-            expect.unique(responses, ["response_id"], "response key"),
-            expect.references(responses, utterances, ["session_id"], "sessions"),
-            expect.row_rules(responses, {"target": ~F.col("target").isin(0, 1), "objective": F.col("objective").isNull()}),
-        )
-    )
+    rules.check({"utterances": utterances, "responses": responses}, foundation_rules())
     out = {"utterances": _reread(utterances, f"{folder}/utterances")}
     out["session_features"] = _reread(sessions.session_features(out["utterances"]), f"{folder}/session_features")
     out["session_texts"] = _reread(sessions.session_texts(out["utterances"], closing), f"{folder}/session_texts")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from convolytics.functions import text as T
-from convolytics.operators import expect, metrics, sessions, splits
+from convolytics.operators import expect, metrics, rules, sessions, splits
 from convolytics.sources import bindings as B
 from convolytics.sources.bindings import CUES, P, R, U
 
@@ -196,8 +197,6 @@ def model_metrics(spark, d):
  CASE per_session WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'three_plus' END AS session_objectives FROM freq),
  tidy AS (SELECT protocol, target, p, unnest(['overall', 'fold', 'frequency_regime', 'session_objectives']) AS regime, unnest(['all', fold::VARCHAR, frequency_regime, session_objectives]) AS value FROM reg) {metrics_sql('tidy', ['protocol', 'regime', 'value'])}""")
 def regime_scorecard(spark, d):
-    from pyspark.sql.window import Window
-
     p = B.predictions(spark, d)
     own = lambda c: F.count("*").over(Window.partitionBy("protocol", c))
     p = p.withColumns({"frequency": own("objective_id"), "_s": own("session_id"), "fold": F.abs("response_id") % 5})
@@ -213,17 +212,45 @@ def regime_scorecard(spark, d):
  UNION ALL SELECT 'labels_vs_documents', (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM labels) a FULL JOIN (SELECT DISTINCT doc_id FROM documents) b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL)
  UNION ALL SELECT 'finite_vectors', (SELECT count(*) FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0)""")
 def expectations(spark, d):
-    u, r = B.utterances(spark, d), B.responses(spark, d)
-    events = B.table(spark, d, "events")
-    return expect.all_of(
-        expect.unique(u, ["session_id", "utterance_id"], "key"),
-        expect.contiguous(u, "session_id", "utterance_id"),
-        expect.references(r, u, ["session_id"], "sessions_exist"),
-        expect.row_rules(r, {"target_domain": ~F.col("target").isin(0, 1), "objective_not_null": F.col("objective").isNull()}),
-        expect.monotone(events, "user_id", ["ts", "event_id"], F.col("value"), "event_order"),
-        expect.same_keys(B.table(spark, d, "labels"), B.table(spark, d, "documents"), ["doc_id"], "labels_vs_documents"),
-        expect.row_rules(B.table(spark, d, "embeddings"), {"finite_vectors": expect.finite("embedding")}),
-    )
+    tables = {"utterances": B.utterances(spark, d), "responses": B.responses(spark, d)} | {n: B.table(spark, d, n) for n in ("labels", "documents", "embeddings")}
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    tables["events"] = B.table(spark, d, "events").withColumn("before", before)
+    wanted = [
+        rules.unique("key", "utterances", ["session_id", "utterance_id"]),
+        rules.contiguous("contiguous", "utterances", ["session_id"], "utterance_id"),
+        rules.references("sessions_exist", "responses", ["session_id"], "utterances"),
+        rules.rows("target_domain", "responses", ["response_id"], ~F.col("target").isin(0, 1)),
+        rules.rows("objective_not_null", "responses", ["response_id"], F.col("objective").isNull()),
+        rules.rows("event_order", "events", ["event_id"], F.coalesce(F.col("before") > F.col("value"), F.lit(False))),
+        rules.same_keys("labels_vs_documents", "labels", ["doc_id"], "documents"),
+        rules.rows("finite_vectors", "embeddings", ["vec_id"], F.coalesce(expect.finite("embedding"), F.lit(False))),
+    ]
+    return rules.summary(rules.violations(tables, wanted), wanted).select("rule", "violations")
+
+
+@query(f"""WITH {U}, {R}, steps AS (SELECT *, lag(sec) OVER w AS before, lag(utterance_id) OVER w AS place FROM utterances WINDOW w AS (PARTITION BY session_id ORDER BY utterance_id)),
+ folds AS (SELECT *, response_id % 5 AS fold FROM responses)
+ SELECT 'key' AS rule, concat('["', session_id, '","', utterance_id, '"]') AS key, NULL::BIGINT AS at, count(*) AS rows FROM utterances GROUP BY session_id, utterance_id HAVING count(*) > 1
+ UNION ALL SELECT 'contiguous', concat('["', session_id, '"]'), utterance_id, 1 FROM steps WHERE coalesce(place, -1) <> utterance_id - 1
+ UNION ALL SELECT 'pace', concat('["', session_id, '"]'), utterance_id, 1 FROM steps WHERE place = utterance_id - 1 AND length(content) < (SELECT max(length(b.content)) FROM utterances b WHERE b.session_id = steps.session_id AND b.utterance_id = place)
+ UNION ALL SELECT 'one_fold', concat('["', session_id, '"]'), NULL, count(*) FROM folds GROUP BY session_id HAVING count(DISTINCT fold) > 1
+ UNION ALL SELECT 'items_asked', concat('["', b.item_id, '"]'), NULL, 1 FROM benchmark b WHERE b.item_id NOT IN (SELECT objective_id FROM responses)
+ UNION ALL SELECT 'no_overlap', concat('["', l.doc_id, '"]'), NULL, 1 FROM labels l WHERE l.doc_id IN (SELECT vec_id FROM embeddings)
+ UNION ALL SELECT 'negative', concat('["', response_id, '"]'), NULL, 1 FROM responses WHERE target = 0""")
+def rule_violations(spark, d):
+    """The keys that break rules, five of which these tables can't keep: one scan a table, one shuffle for all rules."""
+    tables = {n: B.table(spark, d, n) for n in ("benchmark", "labels", "embeddings")}
+    tables["utterances"], tables["responses"] = B.utterances(spark, d), B.responses(spark, d).withColumn("fold", F.col("response_id") % 5)
+    wanted = [
+        rules.unique("key", "utterances", ["session_id", "utterance_id"]),
+        rules.contiguous("contiguous", "utterances", ["session_id"], "utterance_id"),
+        rules.ascending("pace", "utterances", ["session_id"], "utterance_id", F.length("content")),
+        rules.one_value("one_fold", "responses", ["session_id"], F.col("fold")),
+        rules.references("items_asked", "benchmark", ["item_id"], "responses", ["objective_id"]),
+        rules.disjoint("no_overlap", "labels", ["doc_id"], "embeddings", ["vec_id"]),
+        rules.rows("negative", "responses", ["response_id"], F.col("target") == 0),
+    ]
+    return rules.violations(tables, wanted).drop("kind")
 
 
 @query(f"""WITH {R}, {folds_sql('session_id')}, d AS (SELECT protocol, count(DISTINCT response_id) AS n FROM (SELECT response_id, unnest(['p0', 'p1']) AS protocol FROM responses) GROUP BY protocol)
