@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
-from convolytics.operators import jobs, models, sessions, splits, trees, vectors
+from convolytics.operators import builds, jobs, models, sessions, splits, trees, vectors
 from convolytics.plans import block_queries as K
 from convolytics.plans import evidence_queries as E
 from convolytics.plans import feature_queries as Q
+from convolytics.plans import session_queries as S
 from convolytics.plans.session_queries import P, R, folds_sql, metrics_sql, rounded
 from convolytics.sources import bindings as B
-from convolytics.sources import sinks
+from convolytics.sources import files, sinks
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -47,6 +48,28 @@ def verification_job(spark, d):
     return jobs.verification(tables, jobs.table_sizes({"utterances": u, "session_features": n_sessions, "session_texts": n_sessions, "modeling_base": r, "response_folds": r}))
 
 
+@query(f"SELECT *, 1 AS build FROM ({S.ORACLE_SQL['session_features']})")
+def foundation_files(spark, d):
+    """Conversations written as one CSV folder each and built from there, twice: the second build takes all sessions over."""
+    folder, out = sinks.scratch(spark, "transcripts"), sinks.scratch(spark, "foundation")
+    u = B.utterances(spark, d)
+    # one task a session, whose folder then holds one file
+    u.withColumn("of", F.col("session_id")).repartition("session_id").write.partitionBy("of").options(**files.WRITTEN).csv(folder)
+    r = B.responses(spark, d).withColumn("session_id", F.col("session_id").cast("string"))
+    for _ in range(2):
+        builds.foundation_from_files(spark, folder, r, out, r"/of=([^/]+)/")
+    return builds.table(spark, out, "session_features").withColumn("session_id", F.col("session_id").cast("long"))
+
+
+@query("""WITH lines AS (SELECT substr(md5(doc_id::VARCHAR), 1, 3) AS part, doc_id::VARCHAR AS path, concat(doc_id, '|', octet_length(encode(coalesce(text, ''))), '|', sha256(coalesce(text, ''))) AS line FROM documents),
+ parts AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY path, line)) AS line FROM lines GROUP BY part) SELECT sha256(string_agg(line, chr(10) ORDER BY part)) AS digest FROM parts""")
+def documents_digest(spark, d):
+    """The digest of all documents, each taken as a file named by its id."""
+    text = F.coalesce("text", F.lit(""))
+    listed = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length(text).alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    return files.manifest_tree_digest(listed)
+
+
 def _protocols(df):
     """Folds of whole sessions, and of whole objectives, whose training rows are purged of a fold's sessions."""
     return {"session": splits.group_folds(df, "session_id"), "objective": splits.group_folds(df, "objective_id")}

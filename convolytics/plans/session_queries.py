@@ -238,7 +238,7 @@ def expectations(spark, d):
  UNION ALL SELECT 'no_overlap', concat('["', l.doc_id, '"]'), NULL, 1 FROM labels l WHERE l.doc_id IN (SELECT vec_id FROM embeddings)
  UNION ALL SELECT 'negative', concat('["', response_id, '"]'), NULL, 1 FROM responses WHERE target = 0""")
 def rule_violations(spark, d):
-    """The keys that break rules, five of which these tables can't keep: one scan a table, one shuffle for all rules."""
+    """The keys that break rules, some of which these tables can't keep: one scan a table, one shuffle for all rules."""
     tables = {n: B.table(spark, d, n) for n in ("benchmark", "labels", "embeddings")}
     tables["utterances"], tables["responses"] = B.utterances(spark, d), B.responses(spark, d).withColumn("fold", F.col("response_id") % 5)
     wanted = [

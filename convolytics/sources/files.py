@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from convolytics.operators.expect import ExpectationFailed, columns_present
 
 TRANSCRIPT = "session_id string, utterance_id long, role string, content string, timestamp string"
 CSV = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST"}
+#: Options to write what these readers read; an empty text is read as null, which all text functions take alike.
+WRITTEN = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def found(spark: SparkSession, pattern: str, wanted: int | None = 1) -> list[str]:
@@ -37,11 +39,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV).schema(whole).csv(path).select(*types)
 
 
-def transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """All *.csv files of a folder as utterances, each with the name of its file."""
-    found(spark, f"{folder}/*.csv", None)
-    raw = spark.read.options(**CSV, enforceSchema=False).schema(TRANSCRIPT).csv(f"{folder}/*.csv")
-    return raw.select("*", F.col("_metadata.file_name").alias("source_file"))
+def transcripts(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
+    """All *.csv files of a folder, or the files named, as utterances, each with name and path of its file."""
+    if isinstance(source, str):
+        found(spark, f"{source}/*.csv", None)
+        source = f"{source}/*.csv"
+    raw = spark.read.options(**CSV, enforceSchema=False).schema(TRANSCRIPT).csv(source if isinstance(source, str) else list(source))
+    return raw.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
 
 
 def labels(spark: SparkSession, path: str, names: Sequence[str] = ("is_correct", "correct"), key: str = "response_id") -> DataFrame:
@@ -101,3 +105,20 @@ def manifest_digest(files: DataFrame) -> DataFrame:
     line = F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n")))
     return files.agg(F.sha2(F.array_join(lines, ""), 256).alias("digest"))
+
+
+def manifest_tree_digest(files: DataFrame) -> DataFrame:
+    """One row, digest, for any number of files: SHA-256 of the digests of 4,096 parts, in order of parts.
+
+    A file's part is the start of its path's MD5; a part's digest is that of its lines in order, so no row grows with all.
+    """
+    part, line = F.substring(F.md5("path"), 1, 3), F.concat_ws("|", "path", F.col("bytes").cast("string"), "sha256")
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"]), "\n")
+    parts = files.groupBy(part.alias("part")).agg(F.sha2(text(F.struct("path", line.alias("line"))), 256).alias("line"))
+    return parts.agg(F.sha2(text(F.struct("part", "line")), 256).alias("digest"))
+
+
+def with_category(files: DataFrame, categories: Mapping[str, str]) -> DataFrame:
+    """files with category: the first whose pattern is found in the path; a file of none is an error when it is computed."""
+    named = F.coalesce(*[F.when(F.col("path").rlike(p), F.lit(c)) for c, p in categories.items()], F.raise_error(F.concat(F.lit("no category for "), F.col("path"))).cast("string"))
+    return files.withColumn("category", named)
