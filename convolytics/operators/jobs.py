@@ -67,9 +67,24 @@ def verification(tables: Mapping[str, DataFrame], recorded: DataFrame, folds: in
     )
 
 
-def validation(protocols: Mapping[str, DataFrame], parts: Mapping[str, Callable | object], baseline: str, folder: str, blend_weights: Sequence[float] = tuple(i / 100 for i in range(101))) -> dict[str, DataFrame]:
+def protocols(responses: DataFrame, folds: int = 5, seed: int = 7) -> dict[str, DataFrame]:
+    """Folds of whole sessions, and of whole objectives, whose training rows are purged of a fold's sessions."""
+    return {name: splits.group_folds(responses, f"{name}_id", k=folds, seed=seed) for name in ("session", "objective")}
+
+
+def leakage(folded: DataFrame, keys: Sequence[str], folds: int = 5, purge: str = "session_id") -> DataFrame:
+    """rule, violations: keys that a fold shares with the training rows purged for it, all keys in one pass."""
+    given = {"train": splits.purged_pairs(folded, purge, folds), "held": folded}
+    wanted = [rules.disjoint(f"{key} leakage", "train", ["eval_fold", key], "held", ["fold", key]) for key in keys]
+    return rules.summary(rules.violations(given, wanted), wanted).select("rule", "violations")
+
+
+def validation(protocols: Mapping[str, DataFrame], parts: Mapping[str, Callable | object], baseline: str, folder: str, blend_weights: Sequence[float] = tuple(i / 100 for i in range(101)), run_id: str | None = None, ledger: str | None = None) -> dict[str, DataFrame]:
     """Models over protocols: predictions, metrics, their deltas, blends and shrinkage, written below folder, by name.
 
+    A finished run adds one row a protocol and model to the ledger (a table shared by runs, else one below folder) and one
+    line to folder's report, with its settings, figures by fold and the best model of each protocol.
+
     protocols: rows with response_id, session_id, target and fold; parts: what models.out_of_fold fits, or a function
     predictions(rows) -> response_id, fold, target, p marked by `predictions = True`. Each prediction is made once, then
     all figures come from the written table. baseline names a part.
@@ -92,9 +107,32 @@ def validation(protocols: Mapping[str, DataFrame], parts: Mapping[str, Callable
     best = ensembles.best(sweep.withColumn("log_loss", F.round("log_loss", 9)), ["protocol", "model"], ["log_loss", "weight"])
     out["blends"] = _reread(best, f"{folder}/blends")
     out["shrinkage"] = _reread(ensembles.shrink_search(_with_fold_prior(oof), "p", "prior", ["protocol", "model"]), f"{folder}/shrinkage")
+    run_id = run_id or folder.rstrip("/").rsplit("/", 1)[-1]
+    ledger = ledger or f"{folder}/ledger"
+    sinks.append_ledger(ledger_rows(pooled, run_id), ledger)
+    out["ledger"] = oof.sparkSession.read.parquet(ledger).where(F.col("run_id") == run_id)
+    settings = {"baseline": baseline, "protocols": ",".join(protocols), "models": ",".join(parts)}
+    top = ensembles.best(pooled, ["protocol"], ["log_loss", "model"])
+    sinks.append_report(oof.sparkSession, f"{folder}/report", run_id, settings, out["metrics"].where("fold >= 0"), top)
     return out
 
 
+def ledger_rows(pooled: DataFrame, run_id: str) -> DataFrame:
+    """Rows of the ledger from pooled metrics by protocol and model."""
+    return pooled.select(
+        F.lit(run_id).alias("run_id"), F.current_timestamp().alias("timestamp_utc"), "model", F.col("protocol").alias("fold_scheme"), "log_loss",
+        F.col("auc").alias("roc_auc"), F.col("brier").alias("brier_score"), F.col("ece").alias("ece_10"), F.lit("completed").alias("status"),
+    )
+
+
+def baselines(responses: DataFrame, folder: str, ledger: str | None = None, alpha: float = 20.0) -> dict[str, DataFrame]:
+    """The validation of both priors over both protocols, and the priors of all rows, which scoring loads, by name."""
+    parts = {"global_prior": global_predictions, "objective_prior": prior_predictions(alpha)}
+    out = validation(protocols(responses), parts, "global_prior", folder, ledger=ledger)
+    priors = splits.objective_priors(responses, alpha=alpha).select("objective_id", "prior", "global_prior")
+    return out | {"objective_priors": _reread(priors, f"{folder}/objective_priors")}
+
+
 def _with_fold_prior(oof: DataFrame) -> DataFrame:
     """oof with prior: the mean target of the other folds of the same protocol and model, totals less those of the fold."""
     sums = oof.groupBy("protocol", "model", "fold").agg(F.sum("target").alias("_y"), F.count("*").alias("_n"))

@@ -24,11 +24,11 @@ def simple_metrics(df: DataFrame, by: Sequence[str], p: str = "p", target: str =
 
 
 def auc(df: DataFrame, by: Sequence[str], p: str = "p", target: str = "target") -> DataFrame:
-    """Mann-Whitney with ties counted half; null where a slice has one class only.
+    """Mann-Whitney of clipped probabilities with ties counted half; null where a slice has one class only.
 
     Counts by distinct probability are ranked within 1,024 ranges of it; a range's start is the sum of those before.
     """
-    values = df.select(*by, F.col(p).alias("_p"), F.col(target).alias("_y")).groupBy(*by, "_p").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")).withColumn("_r", F.floor(F.col("_p") * RANGES))
+    values = df.select(*by, clip(F.col(p)).alias("_p"), F.col(target).alias("_y")).groupBy(*by, "_p").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")).withColumn("_r", F.floor(F.col("_p") * RANGES))
     before = lambda c, w: F.sum(c).over(w) - F.col(c)
     ranges = values.groupBy(*by, "_r").agg(F.sum("neg").alias("rneg"))
     ranges = ranges.withColumn("start", before("rneg", Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))).drop("rneg")

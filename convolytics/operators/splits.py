@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from convolytics.sources import sinks
+
 
 def _drawn(seed: int, *cols: str):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
@@ -43,9 +45,10 @@ def purged_pairs(df: DataFrame, purge: str = "session_id", k: int = 5) -> DataFr
     return long.join(df.select(F.col("fold").alias("eval_fold"), purge).distinct(), ["eval_fold", purge], "left_anti")
 
 
-def fold_summary(df: DataFrame, k: int = 5) -> DataFrame:
+def fold_summary(df: DataFrame, k: int = 5, family: str | None = None) -> DataFrame:
+    """Figures of each fold and of the training rows purged for it; with the families in it, if a column names them."""
     train = purged_pairs(df, k=k).groupBy(F.col("eval_fold").alias("fold")).agg(F.count("*").alias("train_rows"), F.avg("target").alias("train_prior"))
-    own = df.groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("objective_id").alias("objectives"), F.avg("target").alias("positive_rate"))
+    own = df.groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("objective_id").alias("objectives"), F.avg("target").alias("positive_rate"), *([F.count_distinct(family).alias("families")] if family else []))
     return own.join(train, "fold", "left")
 
 
@@ -96,12 +99,17 @@ def objective_families(objectives: DataFrame, k: int, seed: int, tries: int = 20
     n = objectives.count()
     if k > n:
         raise ValueError(f"{k} families of {n} objectives")
-    rows = objectives.select(objective, array_to_vector(vector).alias("_v")).repartition(objective).persist()
+    whole = objectives.select(objective, array_to_vector(vector).alias("_given"))
+    rows = sinks.materialize(Normalizer(inputCol="_given", outputCol="_v").transform(whole).select(objective, "_v"), "objectives")
     fits = [KMeans(k=k, seed=seed + i, maxIter=500, featuresCol="_v", predictionCol="family").fit(rows) for i in range(tries)]
-    rows.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost).transform(rows).select(objective, "family")
 
 
+def first_fold(df: DataFrame, group: str = "family") -> DataFrame:
+    """The group's first fold; folds of whole groups have no other."""
+    return df.groupBy(group).agg(F.min("fold").alias("fold"))
+
+
 def family_folds(df: DataFrame, objectives: DataFrame, k: int, cluster_seed: int = 7, fold_seed: int = 7, folds: int = 5, tries: int = 20) -> DataFrame:
     """df with family and fold: whole families of like objectives share a fold. Purge sessions with purged_pairs."""
     if k < folds:
@@ -109,7 +117,6 @@ def family_folds(df: DataFrame, objectives: DataFrame, k: int, cluster_seed: int
     return group_folds(df.join(objective_families(objectives, k, cluster_seed, tries), "objective_id"), "family", k=folds, seed=fold_seed)
 
 
-def protocol_sweep(df: DataFrame, objectives: DataFrame, protocols: Mapping[str, tuple[int, int, int]] = PROTOCOLS, folds: int = 5, tries: int = 20) -> DataFrame:
-    """family_folds for each protocol, below one another, with the protocol's name."""
-    parts = [family_folds(df, objectives, k, c, f, folds, tries).withColumn("protocol", F.lit(name)) for name, (k, c, f) in protocols.items()]
-    return reduce(DataFrame.unionByName, parts)
+def family_protocols(df: DataFrame, objectives: DataFrame, protocols: Mapping[str, tuple[int, int, int]] = PROTOCOLS, folds: int = 5, tries: int = 20) -> dict[str, DataFrame]:
+    """family_folds of each protocol by name, as jobs.validation takes them."""
+    return {name: family_folds(df, objectives, k, c, f, folds, tries) for name, (k, c, f) in protocols.items()}

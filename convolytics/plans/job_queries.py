@@ -70,11 +70,6 @@ def documents_digest(spark, d):
     return files.manifest_tree_digest(listed)
 
 
-def _protocols(df):
-    """Folds of whole sessions, and of whole objectives, whose training rows are purged of a fold's sessions."""
-    return {"session": splits.group_folds(df, "session_id"), "objective": splits.group_folds(df, "objective_id")}
-
-
 def _prior_sql(protocol, group):
     f = f"f_{protocol}"
     return f"""{folds_sql(group, f)}, g_{protocol} AS (SELECT a.fold, avg(b.target) AS g FROM (SELECT DISTINCT fold FROM {f}) a JOIN {f} b ON b.fold <> a.fold GROUP BY a.fold),
@@ -89,11 +84,43 @@ _OOF = f"""{R}, {_prior_sql('session', 'session_id')}, {_prior_sql('objective',
 @query(f"WITH {_OOF} {metrics_sql('scoped', ['protocol', 'model', 'fold'])}")
 def baseline_job(spark, d):
     """The validation of both priors over both protocols: metrics by fold and pooled (-1), as written."""
-    parts = {"global_prior": jobs.global_predictions, "objective_prior": jobs.prior_predictions()}
-    out = jobs.validation(_protocols(B.responses(spark, d)), parts, "global_prior", sinks.scratch(spark, "baselines"))
+    out = jobs.baselines(B.responses(spark, d), sinks.scratch(spark, "baselines"))
     return rounded(out["metrics"], "positive_rate", "log_loss", "brier", "prediction_mean", "auc", "ece")
 
 
+@query(f"""WITH {_OOF} SELECT model, protocol AS fold_scheme, log_loss, auc AS roc_auc, brier AS brier_score, ece AS ece_10, 'completed' AS status FROM ({metrics_sql('oof', ['protocol', 'model'])})""")
+def experiment_ledger(spark, d):
+    """What the baseline job adds to the ledger, without run and time."""
+    out = jobs.baselines(B.responses(spark, d), sinks.scratch(spark, "baselines"))
+    return rounded(out["ledger"].drop("run_id", "timestamp_utc"), "log_loss", "roc_auc", "brier_score", "ece_10")
+
+
+_FAMILIES = f"""{R}, related AS (SELECT *, objective_id % 25 AS family FROM responses), {folds_sql('family', source='related')},
+ pairs AS (SELECT e.f AS eval_fold, a.* FROM folded a, (SELECT unnest(range(5)) AS f) e WHERE a.fold <> e.f AND NOT EXISTS (SELECT 1 FROM folded h WHERE h.fold = e.f AND h.session_id = a.session_id))"""
+
+
+def _in_families(spark, d):
+    """Responses in folds of whole families; here a family is a remainder of the objective's id, which SQL can say."""
+    return splits.group_folds(B.responses(spark, d).withColumn("family", F.col("objective_id") % 25), "family")
+
+
+@query(f"""WITH {_FAMILIES}, first AS (SELECT family, min(fold) AS fold FROM folded GROUP BY family), t AS (SELECT eval_fold AS fold, count(*) AS train_rows, round(avg(target), 6) AS train_prior FROM pairs GROUP BY eval_fold)
+ SELECT fold, count(*) AS rows, count(DISTINCT session_id) AS sessions, count(DISTINCT objective_id) AS objectives, round(avg(target), 6) AS positive_rate, count(DISTINCT family) AS families, any_value(t.train_rows) AS train_rows, any_value(t.train_prior) AS train_prior,
+ (SELECT count(*) FROM first WHERE first.fold = folded.fold) AS first_families FROM folded LEFT JOIN t USING (fold) GROUP BY fold""")
+def family_summary(spark, d):
+    """Figures of folds of whole families, and the families that a fold is the first of: all that it has."""
+    f = _in_families(spark, d)
+    first = splits.first_fold(f).groupBy("fold").agg(F.count("*").alias("first_families"))
+    return rounded(splits.fold_summary(f, family="family"), "positive_rate", "train_prior").join(first, "fold", "left")
+
+
+@query(f"""WITH {_FAMILIES} SELECT unnest(['session_id leakage', 'objective_id leakage', 'family leakage', 'target leakage']) AS rule, unnest([
+ {', '.join(f"(SELECT count(*) FROM (SELECT DISTINCT p.eval_fold, p.{k} FROM pairs p JOIN folded h ON h.fold = p.eval_fold AND h.{k} = p.{k}))" for k in ('session_id', 'objective_id', 'family', 'target'))}]) AS violations""")
+def family_leakage(spark, d):
+    """Keys shared by a fold and its training rows: no session, objective or family; targets, of course, are shared."""
+    return jobs.leakage(_in_families(spark, d), ["session_id", "objective_id", "family", "target"])
+
+
 @query(f"WITH {Q.audited_sql(Q.BLENDED)} {Q.GATES} WHERE model = 'nbsvm'")
 def audit_job(spark, d):
     """The audit of one candidate: blends, scorecard and gates, as written."""
@@ -149,6 +176,15 @@ def validation_rows(spark, d, name: str):
     return rows.drop("fold")
 
 
-def run_validation(spark, d, name: str, folder: str | None = None):
-    """A named validation job over both protocols; the tables it writes, by name."""
-    return jobs.validation(_protocols(validation_rows(spark, d, name)), validation_parts(name, spark, d), "global_prior", folder or sinks.scratch(spark, name))
+def run_validation(spark, d, name: str, folder: str | None = None, families: dict[str, tuple[int, int, int]] | None = None):
+    """A named validation job over both protocols, with `families` also over folds of families of like objectives.
+
+    families: clusters, cluster seed and fold seed by name, such as splits.PROTOCOLS; like objectives are those near each
+    other in a projection of their words. Gives the tables that the job writes, by name.
+    """
+    rows = validation_rows(spark, d, name)
+    protocols = jobs.protocols(rows)
+    if families:
+        about = vectors.projected(B.responses(spark, d).select("objective_id", "objective").distinct(), "objective_id", T.tokens(F.col("objective")), out="about")
+        protocols |= splits.family_protocols(rows, about.withColumnRenamed("about", "vector"), families)
+    return jobs.validation(protocols, validation_parts(name, spark, d), "global_prior", folder or sinks.scratch(spark, name))

@@ -163,7 +163,7 @@ def metrics_sql(source, by, p="p"):
     return f"""SELECT {b}, rows, positive_rate, log_loss, brier, prediction_mean, auc, ece FROM (
  SELECT {b}, count(*) AS rows, round(avg(target), 6) AS positive_rate, round(avg(-(target * ln(q) + (1 - target) * ln(1 - q))), 6) AS log_loss, round(avg((q - target) ** 2), 6) AS brier, round(avg(q), 6) AS prediction_mean FROM (SELECT *, least(greatest({p}, 1e-6), 1 - 1e-6) AS q FROM {source}) GROUP BY {b})
  JOIN (SELECT {b}, CASE WHEN np > 0 AND nn > 0 THEN round((rs - np * (np + 1) / 2) / (np * nn), 6) END AS auc FROM (SELECT {b}, sum(target) AS np, sum(1 - target) AS nn, sum(r * target) AS rs FROM (
-   SELECT *, rank() OVER (PARTITION BY {b} ORDER BY {p}) + (count(*) OVER (PARTITION BY {b}, {p}) - 1) / 2 AS r FROM {source}) GROUP BY {b})) USING ({using})
+   SELECT *, rank() OVER (PARTITION BY {b} ORDER BY q) + (count(*) OVER (PARTITION BY {b}, q) - 1) / 2 AS r FROM (SELECT *, least(greatest({p}, 1e-6), 1 - 1e-6) AS q FROM {source})) GROUP BY {b})) USING ({using})
  JOIN (SELECT {b}, round(sum(n * abs(y - q)) / sum(n), 6) AS ece FROM (SELECT {b}, bin, count(*) AS n, avg(target) AS y, avg(q) AS q FROM (SELECT *, {' + '.join(f'(q >= {i / 10})::INT' for i in range(1, 10))} AS bin FROM (SELECT *, least(greatest({p}, 1e-6), 1 - 1e-6) AS q FROM {source})) GROUP BY {b}, bin) GROUP BY {b}) USING ({using})"""
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolytics.operators.expect import exact_columns
-from convolytics.operators.splits import objective_priors
 
 # The columns of the ledger.
 LEDGER = ["run_id", "timestamp_utc", "model", "fold_scheme", "log_loss", "roc_auc", "brier_score", "ece_10", "status"]
@@ -71,11 +70,6 @@ def aligned(wanted: DataFrame, scores: DataFrame, key: str = "response_id", valu
     return out.withColumn(value, F.when(F.col(value).isNull(), F.raise_error(F.concat(F.lit(f"no {value} for {key} "), F.col(key).cast("string"))).cast("double")).otherwise(F.col(value)))
 
 
-def write_priors(responses: DataFrame, path: str, objective: str = "objective_id", alpha: float = 20.0) -> None:
-    """The prior of each objective with the global one; what scoring loads."""
-    write_table(objective_priors(responses, objective, alpha).select(objective, "prior", "global_prior"), path)
-
-
 def cached(spark: SparkSession, path: str, digest: str, version: int, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at path if it was built from this digest and version, else built, written and read again.
 

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from convolytics.operators import expect, jobs, models
+from convolytics.operators import expect, jobs, models, splits
 from convolytics.plans import job_queries
+from convolytics.sources import sinks
 
 
 def made(spark, n=40):
@@ -65,3 +66,53 @@ def test_named_jobs_name_their_models():
     assert all(parts.values()) and parts["role"] == {"role"} and parts["retrieval"] == {"retrieval"} and parts["multiview"] == {"multiview"}
     with pytest.raises(ValueError, match="unknown job"):
         job_queries.validation_parts("none", None, "")
+
+
+def test_runs_add_to_one_ledger_and_report(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    for run in ("r1", "r2"):
+        out = jobs.baselines(made(spark).drop("fold"), str(tmp_path / run), ledger)
+    rows = spark.read.parquet(ledger)
+    assert rows.columns == sinks.LEDGER and rows.count() == 8 and out["ledger"].count() == 4
+    assert {(r.run_id, r.model, r.fold_scheme, r.status) for r in rows.collect()} == {(run, m, p, "completed") for run in ("r1", "r2") for m in ("global_prior", "objective_prior") for p in ("session", "objective")}
+    pooled = {(r.protocol, r.model): r.log_loss for r in out["metrics"].where("fold = -1").collect()}
+    assert {(r.fold_scheme, r.model): r.log_loss for r in out["ledger"].collect()} == pooled
+    report = spark.read.json(str(tmp_path / "r2" / "report")).collect()
+    assert [r.run_id for r in report] == ["r2"] and report[0].settings.models == "global_prior,objective_prior"
+    assert len(report[0].folds) == out["metrics"].where("fold >= 0").count()
+    assert {t.protocol: t.log_loss for t in report[0].top_models} == {p: min(v for (q, _), v in pooled.items() if q == p) for p in ("session", "objective")}
+    priors = {r.objective_id: (r.prior, r.global_prior) for r in out["objective_priors"].collect()}
+    assert priors["o1"] == pytest.approx(((10 + 20 * 0.5) / (10 + 20), 0.5)) and len(priors) == 4
+
+
+def related(spark):
+    """20 objectives in four directions, whatever their length; two responses of a session for each."""
+    at = {0: (1.0, 0.0), 1: (0.0, 1.0), 2: (-1.0, 0.0), 3: (0.0, -1.0)}
+    objectives = [(f"o{i}", [x * (1 + 50 * (i % 3)) + 0.001 * i for x in at[i % 4]]) for i in range(20)]
+    rows = [(i, f"s{i // 2}", f"o{i % 20}", i % 3 % 2) for i in range(80)]
+    return spark.createDataFrame(rows, "response_id int, session_id string, objective_id string, target int"), spark.createDataFrame(objectives, "objective_id string, vector array<double>")
+
+
+def test_families_are_found_by_direction_and_share_a_fold(spark):
+    rows, objectives = related(spark)
+    families = splits.objective_families(objectives, 4, 7, tries=5)
+    assert families.groupBy("family").agg(F.collect_set(F.expr("int(substring(objective_id, 2)) % 4")).alias("of")).where("size(of) > 1").count() == 0
+    folded = splits.family_folds(rows, objectives, 4, folds=4, tries=5)
+    first = {r.family: r.fold for r in splits.first_fold(folded).collect()}
+    assert all(first[r.family] == r.fold for r in folded.collect()) and len(first) == 4
+
+
+def test_families_are_protocols_of_a_job(spark, tmp_path):
+    rows, objectives = related(spark)
+    protocols = splits.family_protocols(rows, objectives, {"a": (6, 1, 1), "b": (8, 2, 3)}, tries=3)
+    out = jobs.validation(protocols, {"global_prior": jobs.global_predictions, "objective_prior": jobs.prior_predictions()}, "global_prior", str(tmp_path))
+    assert {r.protocol for r in out["metrics"].collect()} == {"a", "b"} and out["oof"].count() == 320
+    with pytest.raises(ValueError, match="3 families for 5 folds"):
+        splits.family_protocols(rows, objectives, {"a": (3, 1, 1)})
+
+
+def test_leakage_counts_keys_of_both_sides(spark):
+    rows = [(0, "s0", "o0", 0), (1, "s1", "o1", 0), (2, "s2", "o0", 1), (3, "s3", None, 1), (4, "s4", None, 0)]
+    folded = spark.createDataFrame(rows, "response_id int, session_id string, objective_id string, fold int")
+    got = {r.rule: r.violations for r in jobs.leakage(folded, ["session_id", "objective_id"], folds=2).collect()}
+    assert got == {"session_id leakage": 0, "objective_id leakage": 2}  # o0, for either fold; nulls are no objective
