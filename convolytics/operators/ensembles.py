@@ -74,8 +74,25 @@ def audit_scorecard(card: DataFrame, baseline: str, outside: Sequence[str] = ("o
     return out.withColumns({"gain_gate": F.col("median_gain") >= 0.002, "all_gate": F.col("protocol_loss_wins") == F.col("protocols"), "win_gate": F.col("fold_loss_wins") >= 0.7, "regression_gate": F.coalesce(F.col("worst_regime") <= 0.001, F.lit(False))})
 
 
+# The least gains for which a model is taken on.
+LEAST_LOSS_GAIN, LEAST_AUC_GAIN = 0.0015, 0.005
+
+
 def promoted(delta_loss: Column, delta_auc: Column) -> Column:
-    return ((delta_loss <= -0.0015) & (delta_auc >= 0)) | ((delta_auc >= 0.005) & (delta_loss <= 0))
+    return ((delta_loss <= -LEAST_LOSS_GAIN) & (delta_auc >= 0)) | ((delta_auc >= LEAST_AUC_GAIN) & (delta_loss <= 0))
+
+
+def best_settings(metrics: DataFrame, encoder: str = "encoder", setting: str = "c") -> DataFrame:
+    """The row of each encoder with the least log loss, then the greatest AUC, then the least setting."""
+    ordered = metrics.withColumn("_auc", -F.coalesce("auc", F.lit(0.0)))
+    return best(ordered, [encoder], ["log_loss", "_auc", setting]).drop("_auc")
+
+
+def encoder_decision(best: DataFrame, candidate: str, base: str, encoder: str = "encoder") -> DataFrame:
+    """One row: what the candidate's best setting gains over that of the base, and whether to go on with it."""
+    of = lambda name, c: F.max(F.when(F.col(encoder) == name, F.col(c)))
+    one = best.agg(*[F.round(of(candidate, c) - of(base, c), 6).alias(f"delta_{c}") for c in ("log_loss", "auc")])
+    return one.select(F.lit(candidate).alias("candidate"), F.lit(base).alias("base"), "*", promoted(F.col("delta_log_loss"), F.col("delta_auc")).alias("go_on"))
 
 
 def pair_blends(df: DataFrame, models: Sequence[str], prior: str, by: Sequence[str] = ("protocol",), first: Sequence[float] = tuple(i / 20 for i in range(21)), model: Sequence[float] = tuple(0.4 + 0.02 * i for i in range(31)), target: str = "target") -> DataFrame:

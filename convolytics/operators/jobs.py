@@ -174,3 +174,33 @@ def candidate_audit(predictions: DataFrame, regimes: DataFrame, baseline: str, c
     out["scorecard"] = _reread(card.withColumns({c: F.round(c, digits) for c in ("log_loss", "auc")}), f"{folder}/scorecard")
     out["gates"] = _reread(ensembles.audit_scorecard(out["scorecard"], baseline), f"{folder}/gates")
     return out
+
+
+def encoder_pilot(rows: DataFrame, encoders: Mapping[str, DataFrame], candidate: str, base: str, folder: str, c_values: Sequence[float] = (0.03, 0.1, 0.3), n: int = 12_000, seed: int = 7, digits: int = 6) -> dict[str, DataFrame]:
+    """A small trial of encoders before all texts are encoded: is the candidate worth it? Tables below folder, by name.
+
+    rows: response_id, session_id, target, fold; a sample of n of them (all, if fewer), balanced by fold and target, is
+    what every encoder is tried on. encoders: response_id and vector (spark.ml) of at least the sampled responses, by
+    name. Every encoder is fitted with each c out of fold; a run that was broken off goes on with the fits that are
+    missing. Decision: the best c of the candidate against that of the base.
+    """
+    if missing := sorted({candidate, base} - set(encoders)):
+        raise expect.ExpectationFailed(f"no encoder {', '.join(missing)}")
+    sample = _reread(splits.stratified_sample(rows, ["fold", "target"], n, "response_id", seed), f"{folder}/sample")
+    # the sample's vectors are made once, then checked and fitted as written
+    own = {name: _reread(sample.join(df.select("response_id", "vector"), "response_id"), f"{folder}/vectors/{name}") for name, df in encoders.items()}
+    known = [rules.references(f"vectors of {name}", "sample", ["response_id"], name) for name in own]
+    once = [rules.unique(f"one vector each of {name}", name, ["response_id"]) for name in own]
+    rules.check({"sample": sample, **own}, known + once)
+    found = []
+    for name in own:
+        for c in c_values:
+            part = lambda size, c=c: models.embedding_logistic("vector", c, size)
+            p = models.out_of_fold(own[name], part, store=f"{folder}/fits", settings=f"{name}|{c}")
+            found.append(p.select(F.lit(name).alias("encoder"), F.lit(float(c)).alias("c"), "response_id", "fold", "target", "p"))
+    out = {"sample": sample, "oof": _reread(reduce(DataFrame.unionByName, found), f"{folder}/oof")}
+    figures = metrics.all_metrics(out["oof"], ["encoder", "c"])
+    out["metrics"] = _reread(figures.withColumns({x: F.round(x, digits) for x in ("log_loss", "auc")}), f"{folder}/metrics")
+    out["best"] = _reread(ensembles.best_settings(out["metrics"]), f"{folder}/best")
+    out["decision"] = _reread(ensembles.encoder_decision(out["best"], candidate, base), f"{folder}/decision")
+    return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
-from convolytics.operators import builds, jobs, models, sessions, splits, trees, vectors
+from convolytics.operators import builds, ensembles, jobs, metrics, models, sessions, splits, trees, vectors
 from convolytics.plans import block_queries as K
 from convolytics.plans import evidence_queries as E
 from convolytics.plans import feature_queries as Q
@@ -17,10 +20,11 @@ from convolytics.sources import files, sinks
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def query(sql: str):
+def query(sql: str | None):
     def put(f):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return put
@@ -130,6 +134,47 @@ def audit_job(spark, d):
     return rounded(out["gates"], *Q.GAINS, digits=5)
 
 
+_DRAWN = 200
+_ENCODERS = ("v02", "semantic", "bge_base")
+
+
+@query(f"""WITH {P}, pool AS (SELECT *, response_id % 5 AS fold FROM predictions WHERE protocol = 'p0'), total AS (SELECT count(*) AS t, least({_DRAWN}, count(*)) AS n FROM pool),
+ e AS (SELECT fold, target, count(*) * n / t AS exact FROM pool, total GROUP BY fold, target, n, t),
+ quotas AS (SELECT fold, target, floor(exact) + (row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, fold, target) <= (SELECT n FROM total) - (SELECT sum(floor(exact)) FROM e))::INT AS quota FROM e),
+ drawn AS (SELECT * FROM (SELECT pool.*, quota, row_number() OVER (PARTITION BY fold, target ORDER BY md5('7|' || response_id), response_id) AS nth FROM pool JOIN quotas USING (fold, target)) WHERE nth <= quota),
+ tried AS (SELECT encoder, unnest([0.3e0, 0.6e0, 1e0]) AS c, target, unnest([0.5 + 0.3e0 * (p - 0.5), 0.5 + 0.6e0 * (p - 0.5), p]) AS p FROM ({" UNION ALL ".join(f"SELECT '{x}' AS encoder, target, {x} AS p FROM drawn" for x in _ENCODERS)})),
+ figures AS (SELECT * FROM ({metrics_sql('tried', ['encoder', 'c'])})), chosen AS (SELECT * FROM figures QUALIFY row_number() OVER (PARTITION BY encoder ORDER BY log_loss, auc DESC, c) = 1),
+ d AS (SELECT a.encoder AS candidate, b.encoder AS base, round(a.log_loss - b.log_loss, 6) AS delta_log_loss, round(a.auc - b.auc, 6) AS delta_auc, a.c AS candidate_c, b.c AS base_c FROM chosen a, chosen b WHERE a.encoder <> b.encoder)
+ SELECT *, (delta_log_loss <= -0.0015 AND delta_auc >= 0) OR (delta_auc >= 0.005 AND delta_log_loss <= 0) AS go_on FROM d""")
+def encoder_decisions(spark, d):
+    """The pilot's decision for each pair of given predictions, shrunk by three settings, on a balanced sample."""
+    pool = B.predictions(spark, d).where("protocol = 'p0'").withColumn("fold", F.col("response_id") % 5)
+    drawn = splits.stratified_sample(pool, ["fold", "target"], _DRAWN, "response_id")
+    each = F.array(*[F.struct(F.lit(n).alias("encoder"), F.lit(c).alias("c"), (F.col(n) if c == 1 else 0.5 + c * (F.col(n) - 0.5)).alias("p")) for n in _ENCODERS for c in (0.3, 0.6, 1.0)])
+    figures = metrics.all_metrics(drawn.select("target", F.explode(each).alias("r")).select("target", "r.*"), ["encoder", "c"])
+    best = sinks.materialize(ensembles.best_settings(rounded(figures, "log_loss", "auc")), "best")
+    of = lambda side: best.select(F.col("encoder").alias(side), F.col("c").alias(f"{side}_c"))
+    pairs = [ensembles.encoder_decision(best, a, b) for a in _ENCODERS for b in _ENCODERS if a != b]
+    return reduce(DataFrame.unionByName, pairs).join(of("candidate"), "candidate").join(of("base"), "base")
+
+
+@query(None)
+def encoder_pilot(spark, d):
+    """Two projections of contexts and objectives, 64 and 32 numbers wide, tried on a balanced sample: metrics by c."""
+    contexts, asked = Q._contexts(spark, d), B.responses(spark, d).select("objective_id", "objective").distinct()
+    rows = splits.group_folds(B.responses(spark, d), "session_id").select("response_id", "session_id", "objective_id", "target", "fold")
+    encoders = {}
+    for width in (64, 32):
+        said = vectors.projected(contexts, "response_id", T.tokens(F.col("objective_context")), width, "context")
+        about = vectors.projected(asked, "objective_id", T.tokens(F.col("objective")), width, "about")
+        nothing = F.array_repeat(F.lit(0.0), width)
+        joined = rows.join(said, "response_id", "left").join(about, "objective_id", "left")
+        pair = vectors.interaction(F.coalesce("context", nothing), F.coalesce("about", nothing))
+        encoders[f"projection_{width}"] = models.as_vector(joined.select("response_id", pair.alias("pair")), "pair", "vector").select("response_id", "vector")
+    out = jobs.encoder_pilot(rows.drop("objective_id"), encoders, "projection_64", "projection_32", sinks.scratch(spark, "pilot"), c_values=(0.1,))
+    return out["metrics"]
+
+
 def _part(predictions):
     """predictions(rows) -> response_id, fold, target, p, marked as a part for jobs.validation."""
     predictions.predictions = True

@@ -116,3 +116,21 @@ def test_leakage_counts_keys_of_both_sides(spark):
     folded = spark.createDataFrame(rows, "response_id int, session_id string, objective_id string, fold int")
     got = {r.rule: r.violations for r in jobs.leakage(folded, ["session_id", "objective_id"], folds=2).collect()}
     assert got == {"session_id leakage": 0, "objective_id leakage": 2}  # o0, for either fold; nulls are no objective
+
+
+def test_pilot_tries_encoders_on_a_balanced_sample(spark, tmp_path):
+    rows = made(spark, 200).select("response_id", "session_id", "target", "fold")
+    told = lambda x: models.as_vector(rows.select("response_id", F.array(x.cast("double"), F.lit(1.0)).alias("v")), "v", "vector").select("response_id", "vector")
+    encoders = {"old": told(F.col("response_id") % 7), "new": told(F.col("target") + F.col("response_id") % 3)}
+    out = jobs.encoder_pilot(rows, encoders, "new", "old", str(tmp_path), c_values=(0.01, 1.0), n=100)
+    assert {(r.fold, r.target, r["count"]) for r in out["sample"].groupBy("fold", "target").count().collect()} == {(f, t, 10) for f in range(5) for t in (0, 1)}
+    assert out["oof"].groupBy("encoder", "c").count().where("count <> 100").count() == 0 and out["metrics"].count() == 4
+    best = {r.encoder: r for r in out["best"].collect()}
+    assert best["new"].log_loss == min(r.log_loss for r in out["metrics"].collect() if r.encoder == "new")
+    decision = out["decision"].first()
+    assert decision.go_on and decision.delta_log_loss == pytest.approx(best["new"].log_loss - best["old"].log_loss, abs=1e-6)
+    assert jobs.ensembles.encoder_decision(out["best"], "old", "new").first().go_on is False
+    with pytest.raises(expect.ExpectationFailed, match="no encoder none"):
+        jobs.encoder_pilot(rows, encoders, "none", "old", str(tmp_path / "a"))
+    with pytest.raises(expect.ExpectationFailed, match="vectors of old: 1"):
+        jobs.encoder_pilot(rows, {**encoders, "old": encoders["old"].where("response_id <> 3")}, "new", "old", str(tmp_path / "b"), n=1000)
