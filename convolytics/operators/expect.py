@@ -70,12 +70,9 @@ def same_cardinality(df: DataFrame, group: str, key: str, name: str = "same_card
     return n.select(F.lit(name).alias("rule"), (F.col("k") - 1).alias("violations"))
 
 
-def non_empty(names: DataFrame, groups: DataFrame, key: str, name: str = "non_empty") -> DataFrame:
-    return _rule(name, names.join(groups, key, "left_anti"))
-
-
-def allowed_licenses(df: DataFrame, commercial: str = "commercial_use", license_col: str = "license") -> DataFrame:
-    return df.where((F.lower(commercial) == "yes") & ~F.upper(license_col).contains("NC"))
+def forbidden_license(commercial: str = "commercial_use", license_col: str = "license") -> Column:
+    """True for a row whose license doesn't say yes to commercial use, or has NC in it; nulls are no yes."""
+    return ~F.coalesce((F.lower(commercial) == "yes") & ~F.upper(license_col).contains("NC"), F.lit(False))
 
 
 def finite(vector: str) -> Column:
@@ -98,12 +95,6 @@ def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "aligne
     return either.agg(F.sum("violations").alias("violations")).select(F.lit(name).alias("rule"), "violations")
 
 
-def named_by_file(df: DataFrame, key: str, name: str = "named_by_file") -> DataFrame:
-    """Rows whose file isn't named by their key; df must come straight from files."""
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return _rule(name, df.where(~stem.eqNullSafe(F.col(key).cast("string"))))
-
-
 def purged(pairs: DataFrame, folded: DataFrame, keys: Sequence[str], name: str = "purged") -> DataFrame:
     """Keys that stand on both sides of a fold, over all folds: pairs has the training rows by eval_fold."""
     held = folded.withColumnRenamed("fold", "eval_fold")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convolytics.functions import text as T
+from convolytics.operators.expect import ExpectationFailed
+
 
 def _joined(value: Column, keep: Column) -> Column:
     """Kept values of a group in order of utterance, joined by line ends."""
@@ -110,6 +112,13 @@ def changed_rows(before: DataFrame, after: DataFrame, allowed: Column) -> DataFr
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
+def audited(before: DataFrame, after: DataFrame, allowed: Column) -> DataFrame:
+    """after, if it differs from before only in rows for which `allowed` holds; else an error."""
+    if lost := changed_rows(before, after, allowed).limit(1).collect():  # one row, for the message
+        raise ExpectationFailed(f"a row that was to stay changed: {lost[0].asDict()}")
+    return after
+
+
 def remaining(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What isn't done yet: a run that was broken off goes on with these."""
     return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")

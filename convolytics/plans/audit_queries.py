@@ -9,6 +9,7 @@ from convolytics.operators import ensembles, expect, metrics, sessions, splits,
 from convolytics.plans.feature_queries import _AUDITED, REGIMES, _base, candidate_regime_card, regime_columns
 from convolytics.plans.session_queries import METRIC_COLUMNS, PLACED, P, R, folds_sql, long_predictions, metrics_sql, rounded, tokens_sql
 from convolytics.sources import bindings as B
+from convolytics.sources import sinks
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -131,11 +132,11 @@ def token_lengths(spark, d):
 
 @query("SELECT doc_id, CASE WHEN n_chars > 2000 THEN md5(text) ELSE 'kept' END AS digest FROM documents")
 def replaced_rows(spark, d):
-    """Only long texts are computed anew; the audit of the others would raise."""
+    """Only long texts are computed anew; the audit finds that the others stayed."""
     docs = B.table(spark, d, "documents")
     stored = docs.select("doc_id", F.lit("kept").alias("digest"), "n_chars")
     out = sessions.replace_rows(stored, docs.select("doc_id", F.md5("text").alias("digest"), "n_chars"), "doc_id", F.col("n_chars") > 2000)
-    return out.select("doc_id", "digest")
+    return sessions.audited(stored, sinks.materialize(out, "replaced"), F.col("n_chars") > 2000).select("doc_id", "digest")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

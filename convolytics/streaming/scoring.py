@@ -18,8 +18,3 @@ def score_stream(spark: SparkSession, source: str, schema: str, priors: DataFram
     scored = with_prior(arriving, priors, objective, default).select(key, objective, "probability")
     scored.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(scored.schema).parquet(out)
-
-
-def late_counts(events: DataFrame, time: str = "ts", by: str = "role", window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    """Counts by window and column of a stream (or table); rows later than `late` are left out of a stream."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from convolytics.operators import expect, rules
+from convolytics.functions import text as T
+from convolytics.operators import expect, rules, sessions
 
 A = "g string, seq int, v int, ref string"
 
@@ -77,3 +78,24 @@ def test_rules_need_names_and_tables(spark):
         rules.violations({"a": spark.range(1)}, [rules.unique("k", "a", ["id"])] * 2)
     with pytest.raises(ValueError, match="no tables: b"):
         rules.violations({"a": spark.range(1)}, [rules.references("k", "a", ["id"], "b")])
+
+
+def test_licenses_are_a_rule_on_rows(spark):
+    rows = [("a", "yes", "MIT"), ("b", "Yes", "CC-BY-NC-4.0"), ("c", "no", "MIT"), ("d", None, "MIT"), ("e", "yes", None)]
+    tables = {"resources": spark.createDataFrame(rows, "name string, commercial_use string, license string")}
+    found = broken(tables, rules.rows("licenses", "resources", ["name"], expect.forbidden_license()))
+    assert [key for _, key, _, _ in found] == ['["b"]', '["c"]', '["d"]', '["e"]']
+
+
+def test_replacement_of_other_rows_is_refused(spark):
+    before = spark.createDataFrame([(1, "x", 5), (2, "y", 50)], "id int, v string, n int")
+    after = sessions.replace_rows(before, before.withColumn("v", F.lit("new")), "id", F.col("n") > 9)
+    assert {(r.id, r.v) for r in sessions.audited(before, after, F.col("n") > 9).collect()} == {(1, "x"), (2, "new")}
+    with pytest.raises(expect.ExpectationFailed, match="'id': 1"):
+        sessions.audited(before, after.withColumn("v", F.lit("new")), F.col("n") > 9)
+
+
+def test_texts_of_queries(spark):
+    t = spark.createDataFrame([(" adding \n  halves ", "head\nrest\nmore"), ("", "head"), (None, None)], "o string, c string")
+    got = t.select(T.query_text("Find it", F.col("o")), T.body(F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [("Instruct: Find it\nQuery: adding halves", "rest\nmore"), ("Instruct: Find it\nQuery: ", ""), (None, "")]
