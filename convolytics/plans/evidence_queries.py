@@ -223,4 +223,5 @@ def session_weighted_oof(spark, d):
 @query()
 def embedding_oof(spark, d):
     e = splits.group_folds(_embedded(spark, d), "session_id").withColumn("pair", vectors.interaction(F.col("context"), F.col("objective")))
-    return models.out_of_fold(models.as_vector(e, "pair", "vector"), lambda n=1000: models.embedding_logistic("vector", n=n))
+    rows = models.as_vector(e, "pair", "vector").select("response_id", "session_id", "target", "fold", "vector")
+    return models.out_of_fold(rows, lambda n=1000: models.embedding_logistic("vector", n=n))
