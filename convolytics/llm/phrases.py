@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convolytics.llm.common import materialize, release
+from convolytics.llm.common import give_back, materialize, release
 
 MOST, LEAST = 4, 30
 SHARD_BYTES, SLICE_BYTES, RANGE_WORDS = 24 << 20, 1 << 20, 4 << 20
@@ -255,9 +255,18 @@ def _emit(rows: Iterable[tuple], schema: pa.Schema, size: int = 8 << 20) -> Iter
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[str, tuple[Words, np.ndarray]]]:
-    """For each shard and language its words and the stream of their numbers, texts apart by breaks."""
+    """For each shard and language its words and the stream of their numbers, texts apart by breaks. Nothing of a shard is
+    held here once it is given; who takes it empties it, so that two shards are never in memory at a time."""
     held: dict[str, tuple[Words, list[np.ndarray]]] = {}
     size = 0
+
+    def closed() -> dict[str, tuple[Words, np.ndarray]]:
+        out = {}
+        while held:
+            lang, (words, stream) = held.popitem()
+            out[lang] = words, np.concatenate(stream)
+        return out
+
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             data = text.as_py()
@@ -267,10 +276,12 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[str,
             stream.append(np.zeros(1, np.int32))
             size += len(data)
             if size >= most:
-                yield {k: (w, np.concatenate(s)) for k, (w, s) in held.items()}
-                held, size = {}, 0
+                words = stream = None
+                yield closed()
+                size = 0
+    words = stream = None
     if held:
-        yield {k: (w, np.concatenate(s)) for k, (w, s) in held.items()}
+        yield closed()
 
 
 _COUNT = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("f", pa.int64())])
@@ -280,10 +291,13 @@ def _word_counts(shard_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for shard in _shards(batches, shard_bytes):
-            for lang, (words, stream) in shard.items():
+            while shard:
+                lang, (words, stream) = shard.popitem()
                 counts = np.bincount(stream, minlength=len(words))[1:]
                 if len(counts):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(words)[1:], pa.binary()), pa.array(counts, pa.int64())], schema=_COUNT)
+                del words, stream, counts
+        give_back()
 
     return run
 
@@ -294,7 +308,16 @@ def _phrase_counts(length: int, shard_bytes: int, bounds, bitmaps) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         maps = [np.frombuffer(m, np.uint8) for m in bitmaps.value]
-        yield from _emit(((i, lang, a.dump()) for shard in _shards(batches, shard_bytes) for lang, one in shard.items() for i, a in count(lang, *one, maps)), _BLOB)
+        yield from _emit(rows(batches, maps), _BLOB)
+        give_back()
+
+    def rows(batches: Iterator[pa.RecordBatch], maps: list[np.ndarray]) -> Iterator[tuple]:
+        for shard in _shards(batches, shard_bytes):
+            while shard:
+                lang, one = shard.popitem()
+                for i, a in count(lang, *one, maps):
+                    yield i, lang, a.dump()
+                del one
 
     def count(lang: str, numbers: Words, stream: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[int, Automaton]]:
         words = list(numbers)
@@ -348,6 +371,7 @@ def _united(least: int) -> Callable:
                 yield *key, unite(held, least)
 
         yield from _emit(((i, lang, a.dump()) for i, lang, a in rows() if len(a.label)), _BLOB)
+        give_back()
 
     return run
 
