@@ -327,6 +327,14 @@ def test_components(spark):
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_plan_what_made_the_links_once(spark, monkeypatch):
+    """A round's plan reads its links several times, which have to be written by then."""
+    planned, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: planned.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or write(df, name))
+    links = spark.range(1, 6).selectExpr("id a", "id - 1 b").mapInArrow(lambda batches: batches, "a long, b long")
+    assert {r.component for r in components.components(links, "a", "b").collect()} == {0} and max(planned) == 1
+
+
 def test_components_of_a_hub_that_is_no_least_node(spark):
     links = [(500, i) for i in range(1, 1000) if i != 500] + [(5000, 999)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
