@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from convolytics.functions import text as T
-from convolytics.operators import ensembles, expect, metrics, sessions, splits, vectors
+from convolytics.operators import ensembles, expect, metrics, sessions, sparse, splits, vectors
 from convolytics.plans.feature_queries import _AUDITED, REGIMES, _base, candidate_regime_card, regime_columns
 from convolytics.plans.session_queries import METRIC_COLUMNS, PLACED, P, R, folds_sql, long_predictions, metrics_sql, rounded, tokens_sql
 from convolytics.sources import bindings as B
@@ -157,6 +158,13 @@ _FIELD_ROWS = " UNION ALL ".join(f"SELECT session_id, '{n}' AS field, unnest({to
 _BUCKET = "('0x' || substr(md5(term), 1, 8))::BIGINT % {}"
 
 
+def _field_lists(spark, d):
+    """session_id and, by name, (slot, n) of the words of the five role texts. Each is counted within its row."""
+    names = [*_FIELDS, "opening_text"]
+    texts = sessions.role_texts(B.utterances(spark, d))
+    return texts.select("session_id", *[sparse.slot_counts(T.tokens(F.col(n)), 1 << 16).alias(n) for n in names]), names
+
+
 def _field_terms(spark, d):
     """session_id, field, term of the five role texts."""
     names = [*_FIELDS, "opening_text"]
@@ -167,7 +175,10 @@ def _field_terms(spark, d):
 
 @query(f"WITH {PLACED}, t AS ({_FIELD_ROWS}) SELECT session_id, field, {_BUCKET.format(65536)} AS bucket, count(*) AS tf FROM t GROUP BY ALL")
 def role_field_hashes(spark, d):
-    return vectors.hashed_counts(_field_terms(spark, d), ["session_id", "field"], 1 << 16)
+    lists, names = _field_lists(spark, d)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("counts")) for n in names])).alias("f")
+    rows = lists.select("session_id", each).select("session_id", "f.field", F.inline("f.counts"))
+    return rows.select("session_id", "field", F.col("slot").alias("bucket"), F.col("n").alias("tf"))
 
 
 _UNIT = "SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {0})) AS w FROM {1}"
@@ -178,12 +189,22 @@ _UNIT = "SELECT *, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {0})) AS w FROM {1}
  SELECT response_id, field, round(sum(f.w * o.w), 6) AS cosine FROM responses JOIN f USING (session_id) JOIN o ON o.objective_id = responses.objective_id AND o.bucket = f.bucket GROUP BY ALL""")
 def role_alignment(spark, d):
     """Cosines of each role's words with the objective's; pairs without a common word are left out."""
-    r = B.responses(spark, d)
-    fields = vectors.unit_counts(vectors.hashed_counts(_field_terms(spark, d), ["session_id", "field"], 1 << 16), ["session_id", "field"])
+    r, (lists, names) = B.responses(spark, d), _field_lists(spark, d)
     words = r.select("objective_id", "objective").distinct().select("objective_id", F.explode(T.tokens(F.col("objective"))).alias("term"))
-    asked = vectors.unit_counts(vectors.hashed_counts(words, ["objective_id"], 1 << 16), ["objective_id"]).withColumnRenamed("w", "ow")
-    near = r.select("response_id", "session_id", "objective_id").join(fields.select("session_id", "field", "bucket", "w"), "session_id").join(asked.select("objective_id", "bucket", "ow"), ["objective_id", "bucket"])
-    return rounded(near.groupBy("response_id", "field").agg(F.sum(F.col("w") * F.col("ow")).alias("cosine")), "cosine")
+    asked = vectors.unit_counts(vectors.hashed_counts(words, ["objective_id"], 1 << 16), ["objective_id"])
+    asked = asked.groupBy("objective_id").agg(F.collect_list(F.struct("bucket", "w")).alias("asked"))  # as long as the objective
+    both = r.select("response_id", "session_id", "objective_id").join(asked, "objective_id").join(lists, "session_id")
+
+    def products(counts: Column) -> Column:
+        """Of the objective's words that a role has, their weights times its weight; its words aren't made rows."""
+        values = sparse.slot_values(counts)
+        shared = lambda v: F.transform(F.filter("asked", lambda x: F.array_contains(v["slot"], x["bucket"])), lambda x: x["w"] * F.get(v["value"], F.array_position(v["slot"], x["bucket"]).cast("int") - 1))
+        return F.get(F.transform(F.array(values), shared), F.lit(0))
+
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), products(F.col(n)).alias("p")) for n in names])).alias("f")
+    near = both.select("response_id", each).select("response_id", "f.*").where(F.size("p") > 0)
+    near = near.select("response_id", "field", F.aggregate("p", F.lit(0.0), lambda s, x: s + x).alias("cosine"))
+    return rounded(near.groupBy("response_id", "field").agg(F.sum("cosine").alias("cosine")), "cosine")
 
 
 @query(f"""WITH {R}, {folds_sql('objective_id')}, docs AS (SELECT DISTINCT fold, objective_id, objective FROM folded), bt AS (SELECT fold, objective_id, unnest({tokens_sql('objective')}) AS term FROM docs), tf AS (SELECT fold, objective_id, term, count(*) AS tf FROM bt GROUP BY ALL),
