@@ -54,7 +54,7 @@ def foundation_from_files(spark: SparkSession, folder: str, responses: DataFrame
     only of sessions that this build read; those of others stay where an earlier build put them, and a lost file's session
     leaves the manifest. The manifest is written last: a build that broke off is overwritten by the next one. Raises where
     a file is empty, not named by its session, has gaps, goes back in time or isn't alone for its session, where a response
-    breaks a rule, or where there are no files. Names of changed files, nothing else, reach the driver.
+    breaks a rule, or where there are no files. Where only some files changed, their names, nothing else, reach the driver.
     """
     files.found(spark, folder, 1)
     number, known = _last(spark, out)
@@ -67,9 +67,12 @@ def foundation_from_files(spark: SparkSession, folder: str, responses: DataFrame
     if listed.isEmpty():
         raise rules.ExpectationFailed(f"{folder}: no files")
     changed = listed.where(F.col("built") == number)
-    paths = [r.path for r in changed.select("path").collect()]
-    if paths:
-        read = files.transcripts(spark, paths).withColumn("named", F.regexp_extract("source_path", named, 1))
+    if not changed.isEmpty():
+        if listed.where(F.col("built") < number).isEmpty():
+            read = files.transcripts(spark, folder, deep=True)
+        else:
+            read = files.transcripts(spark, [r.path for r in changed.select("path").collect()])
+        read = sinks.materialize(read.withColumn("named", F.regexp_extract("source_path", named, 1)), "transcripts")  # parsed once
         rules.check({"read": read, "listed": changed}, file_rules())
         sinks.write_table(read.drop("named", "source_path", "source_file"), f"{out}/utterances/build={number}")
         u = spark.read.parquet(f"{out}/utterances/build={number}")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolytics.operators.expect import ExpectationFailed, columns_present
+from convolytics.sources import sinks
 
 TRANSCRIPT = "session_id string, utterance_id long, role string, content string, timestamp string"
 CSV = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST"}
@@ -25,6 +27,18 @@ def found(spark: SparkSession, pattern: str, wanted: int | None = 1) -> list[str
     return names
 
 
+@contextmanager
+def wide_listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by some tasks a core, each many folders, instead of by up to 10,000 tasks of a few."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a declared schema. A declared column that the header lacks is an error; others are left out.
 
@@ -39,12 +53,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV).schema(whole).csv(path).select(*types)
 
 
-def transcripts(spark: SparkSession, source: str | Sequence[str]) -> DataFrame:
-    """All *.csv files of a folder, or the files named, as utterances, each with name and path of its file."""
-    if isinstance(source, str):
+def transcripts(spark: SparkSession, source: str | Sequence[str], deep: bool = False) -> DataFrame:
+    """All *.csv files of a folder (deep: and of those below it), or the files named, as utterances, each with name and path of its file."""
+    reader = spark.read.options(**CSV, enforceSchema=False).schema(TRANSCRIPT)
+    if deep:
+        reader = reader.options(pathGlobFilter="*.csv", recursiveFileLookup=True)
+    elif isinstance(source, str):
         found(spark, f"{source}/*.csv", None)
         source = f"{source}/*.csv"
-    raw = spark.read.options(**CSV, enforceSchema=False).schema(TRANSCRIPT).csv(source if isinstance(source, str) else list(source))
+    with wide_listing(spark):
+        raw = reader.csv(source if isinstance(source, str) else list(source))
     return raw.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("source_path"))
 
 
@@ -77,27 +95,26 @@ def baseline(predictions: DataFrame, protocols: Sequence[str]) -> DataFrame:
     return kept
 
 
-def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, bytes, modified of the files below a folder; contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+def listing(spark: SparkSession, path: str | Sequence[str], pattern: str = "*", *more: Column) -> DataFrame:
+    """path, bytes, modified of the files below a folder, or named; contents are read only where `more` has columns of them."""
+    with wide_listing(spark):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), *more)
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*", known: DataFrame | None = None) -> DataFrame:
-    """path, bytes, modified, sha256 of each file; a file whose size and time stand in the manifest `known` isn't read."""
+    """path, bytes, modified, sha256 of each file; a file whose size and time stand in the manifest `known` isn't read.
+
+    The folder is listed once.
+    """
     same = ["path", "bytes", "modified"]
-    files = listing(spark, path, pattern)
-    old = files.join(known.select(*same, "sha256"), same) if known is not None else None
-    todo = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    if old is None:
-        read = todo.load(path)
-    else:
-        fresh = [r.path for r in files.join(old, same, "left_anti").select("path").collect()]  # names of changed files
-        if not fresh:
-            return old
-        read = spark.read.format("binaryFile").load(fresh)
-    new = read.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
-    return new if old is None else old.unionByName(new)
+    hashed = F.sha2("content", 256).alias("sha256")
+    if known is None:
+        return listing(spark, path, pattern, hashed)
+    files = sinks.materialize(listing(spark, path, pattern), "listing")
+    old = files.join(known.select(*same, "sha256"), same)
+    fresh = [r.path for r in files.join(old, same, "left_anti").select("path").collect()]  # names of changed files
+    return old.unionByName(listing(spark, fresh, pattern, hashed)) if fresh else old
 
 
 def manifest_digest(files: DataFrame) -> DataFrame:

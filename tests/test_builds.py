@@ -1,6 +1,7 @@
 """Builds from files: what is read again, what is kept, what is refused."""
 
 import os
+import re
 
 import pytest
 
@@ -70,6 +71,41 @@ def test_a_lost_file_loses_its_session(spark, project):
     assert len(builds.table(spark, out, "utterances", 1).select("session_id").distinct().collect()) == 10
 
 
+def test_a_file_is_parsed_once_in_a_build(spark, project, monkeypatch):
+    folder, responses, out = project
+    (folder / "deep").mkdir()
+    put(folder / "deep", "s10", talk("hi"))
+    transcripts, parsed = files.transcripts, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            parsed.add(b.num_rows)
+            yield b
+
+    def read(*args, **kwargs):
+        rows = transcripts(*args, **kwargs)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(files, "transcripts", read)
+    listed = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    builds.foundation_from_files(spark, str(folder), responses, out)
+    assert parsed.value == 31 and sizes(spark, out)["s10"] == (1, 1)
+    put(folder, "s3", talk("hi", "a"))
+    builds.foundation_from_files(spark, str(folder), responses, out)
+    assert parsed.value == 33
+    builds.foundation_from_files(spark, str(folder), responses, out)
+    assert parsed.value == 33 and sizes(spark, out)["s3"] == (2, 2)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == listed
+
+
+def test_transcripts_are_written_by_several_tasks(spark):
+    from convolytics.plans import job_queries
+
+    job_queries.QUERIES["foundation_files"](spark, "/root/testdata/sf0.001")
+    written = [str(f.input_file_name) for f in spark.read.text(spark.conf.get("spark.checkpoint.dir") + "/transcripts-*/of=*/").selectExpr("input_file_name() AS input_file_name").distinct().collect()]
+    assert len(written) % 20 == 0 and len({re.search(r"part-(\d+)", f)[1] for f in written}) > 1
+
+
 def test_a_build_that_breaks_off_is_done_again(spark, project, monkeypatch):
     folder, responses, out = project
     builds.foundation_from_files(spark, str(folder), responses, out)
