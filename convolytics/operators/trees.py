@@ -42,14 +42,16 @@ class Grower:
     """One tree over binned rows: (feature, bin, left, right, value) by node; a row goes left if its bin is not above."""
 
     def __init__(self, bins: np.ndarray, leaves: int, least: int, l2: float):
-        self.codes, self.bins = bins + np.arange(bins.shape[1]) * (BINS + 1), bins
+        self.columns, self.bins = np.ascontiguousarray(bins.T, np.intp), bins
         self.leaves, self.least, self.l2 = leaves, least, l2
 
     def sums(self, rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Counts and sums of both gradients by feature and bin."""
-        codes, width = self.codes[rows].ravel(), self.bins.shape[1]
-        each = (np.bincount(codes, w, width * (BINS + 1)) for w in (None, np.repeat(g[rows], width), np.repeat(h[rows], width)))
-        return np.stack([s.reshape(width, BINS + 1) for s in each])
+        out, weights = np.empty((3, len(self.columns), BINS + 1)), (None, g[rows], h[rows])
+        for j, column in enumerate(self.columns):
+            codes = column[rows]
+            out[:, j] = [np.bincount(codes, w, BINS + 1) for w in weights]
+        return out
 
     def best(self, sums: np.ndarray) -> tuple[float, int, int]:
         """(gain, feature, bin) of the best split; gain 0 if none is allowed."""
@@ -65,14 +67,14 @@ class Grower:
         value = lambda rows: -step * float(g[rows].sum() / (h[rows].sum() + self.l2 + 1e-12))
         rows = np.arange(len(g))
         nodes, held = [[-1, 0, 0, 0, value(rows)]], {0: (rows, self.sums(rows, g, h))}
-        queue = [(-self.best(held[0][1])[0], 0)]
+        first = self.best(held[0][1])
+        queue = [(-first[0], 0, *first[1:])]
         leaves = 1
         while queue and leaves < self.leaves:
-            gain, node = heapq.heappop(queue)
+            gain, node, feature, cut = heapq.heappop(queue)
             if gain > -1e-9:
                 break
             rows, sums = held.pop(node)
-            _, feature, cut = self.best(sums)
             goes = self.bins[rows, feature] <= cut
             left, right = rows[goes], rows[~goes]
             small = self.sums(left if len(left) <= len(right) else right, g, h)
@@ -80,7 +82,8 @@ class Grower:
             nodes[node][:4] = feature, cut, len(nodes), len(nodes) + 1
             for own, s in ((left, both[0]), (right, both[1])):
                 held[len(nodes)] = own, s
-                heapq.heappush(queue, (-self.best(s)[0], len(nodes)))
+                gain, *at = self.best(s)
+                heapq.heappush(queue, (-gain, len(nodes), *at))
                 nodes.append([-1, 0, 0, 0, value(own)])
             leaves += 1
         added = np.zeros(len(g))
@@ -116,6 +119,15 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
+def alone(df: DataFrame, column: str, values: int) -> DataFrame:
+    """df dealt so that each of about so many, about equally frequent values of the column has a task of its own.
+
+    By hash several of a few values meet in one task, and Spark joins small ones, however long their work takes. Ranges
+    of a quarter of a value's rows end at each value, and keep their number.
+    """
+    return df.repartitionByRange(4 * values, column)
+
+
 def trees_out_of_fold(
     df: DataFrame, columns: Sequence[str], sizes: Mapping[str, int] = TREE_LEAVES, rounds: int = 250, step: float = 0.03, least: int = 100, l2: float = 1.0,
     folds: int = 5, key: str = "response_id", purge: str = "session_id", target: str = "target", max_rows: int = 65_536,
@@ -126,18 +138,23 @@ def trees_out_of_fold(
     filled = df.select(key, purge, "fold", target, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x"))
     filled.write.parquet(path)
     rows = spark.read.schema(filled.schema).parquet(path)
-    train = purged_pairs(rows, purge, folds)
+    counts = purged_pairs(rows.select(purge, "fold"), purge, folds).groupBy("eval_fold").agg(F.count("*").alias("n")).collect()  # a row a fold
+    n = spark.createDataFrame(counts, "eval_fold int, n long")
     share = F.least(F.lit(1.0), F.lit(float(max_rows)) / F.col("n"))
-    n = train.groupBy("eval_fold").agg(F.count("*").alias("n"))  # a row a fold
-    drawn = train.join(F.broadcast(n), "eval_fold").where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20))
-    named = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("leaves")) for m, k in sizes.items()]))
-    drawn = drawn.select("eval_fold", F.col(target).cast("double").alias("y"), "x", named.alias("m")).select("eval_fold", "y", "x", "m.*")
+    most = min(1.0, max_rows / min((r.n for r in counts), default=1))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    few = rows.where(place < most * (1 << 20))  # what no fold draws needn't be paired
+    drawn = purged_pairs(few, purge, folds, rows).join(F.broadcast(n), "eval_fold").where(place < share * (1 << 20))
+    kinds = list(sizes.items())
+    nth = F.explode(F.sequence(F.lit(0), F.lit(len(kinds) - 1))).alias("nth")
+    drawn = drawn.select("eval_fold", F.col(target).cast("double").alias("y"), "x", nth).select((F.col("eval_fold") * len(kinds) + F.col("nth")).alias("fit"), "y", "x")
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        model = fit(np.stack(part.x.to_numpy()), part.y.to_numpy(), int(key[2]), rounds, step, least, l2)
-        return pd.DataFrame({"eval_fold": [key[0]], "model": [key[1]], "trees": [pickle.dumps(model)]})
+        fold, nth = divmod(int(key[0]), len(kinds))
+        model = fit(np.stack(part.x.to_numpy()), part.y.to_numpy(), kinds[nth][1], rounds, step, least, l2)
+        return pd.DataFrame({"eval_fold": [fold], "model": [kinds[nth][0]], "trees": [pickle.dumps(model)]})
 
-    fitted = drawn.groupBy("eval_fold", "model", "leaves").applyInPandas(one, "eval_fold int, model string, trees binary")
+    fitted = alone(drawn, "fit", folds * len(kinds)).groupBy("fit").applyInPandas(one, "eval_fold int, model string, trees binary")
     models = spark.sparkContext.broadcast({(r.eval_fold, r.model): bytes(r.trees) for r in fitted.collect()})  # some kB a tree size and fold
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +168,8 @@ def trees_out_of_fold(
                         p[fold == f] = predict(known[f, name], x[fold == f])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "fold", target)), pa.array(p), pa.array([name] * batch.num_rows)], names=[key, "fold", target, "p", "model"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(key, "fold", target, "x").mapInArrow(score, f"{key} {kinds[key]}, fold {kinds['fold']}, {target} {kinds[target]}, p double, model string")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(key, "fold", target, "x").mapInArrow(score, f"{key} {types[key]}, fold {types['fold']}, {target} {types[target]}, p double, model string")
 
 
 def gradient_sums(df: DataFrame, edges: Mapping[str, Sequence[float]], folds: int = 5, purge: str = "session_id", target: str = "target") -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convolytics.operators import ensembles, models, sparse, trees, vectors
+from convolytics.operators import ensembles, models, sparse, splits, trees, vectors
 
 
 def one(spark, column):
@@ -123,6 +123,32 @@ def test_trees_predict_out_of_fold(spark):
     assert all(r.p > 0.99 for r in trees.trees_out_of_fold(alike, ["x"], rounds=5).collect())
 
 
+def test_each_fit_has_a_task_of_its_own(spark):
+    rows = spark.range(4000).select((F.col("id") % 10).cast("int").alias("fit"), "id").repartition(3)
+    where = trees.alone(rows, "fit", 10).select("fit", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(where) == 10 == len({r.task for r in where})
+    sc = spark.sparkContext
+    sc.setJobGroup("trees", "fits side by side")
+    try:
+        got = trees.trees_out_of_fold(responses(spark), ["x"], rounds=1, least=5)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("trees") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    assert max(tasks) >= 10 and got.count() == 240
+
+
+def test_a_bounded_fit_draws_by_hash_and_purges_by_all_rows(spark):
+    rows = responses(spark, 400)
+    few = rows.where("response_id < 100")
+    assert splits.purged_pairs(few, held=rows).count() == splits.purged_pairs(rows).where("response_id < 100").count() > 0
+    odd = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 2, 1)], "response_id int, session_id int, fold int")
+    part = splits.purged_pairs(odd.where("response_id <> 1"), k=2, held=odd).collect()
+    assert sorted((r.eval_fold, r.response_id) for r in part) == [(0, 3)]
+    got = trees.trees_out_of_fold(rows, ["x"], rounds=30, step=0.3, least=5, max_rows=100).collect()
+    assert len(got) == 800 and all((r.p > 0.5) == r.target for r in got)
+
+
 def test_models_on_blocks_learn(spark):
     rows = responses(spark)
     words = sparse.hashed_rows(rows, ["response_id"], sparse.word_terms(F.col("text")), 64)
